@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contactloom.llm import packing, quality_rules, token_counts, token_files
+from contactloom.llm import language_id, packing, quality_rules, sharding, token_counts, token_files
 from contactloom.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_identified(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules.measured(table(spark, sf_dir, "documents")).select(*names)
@@ -31,6 +39,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_hilbert_shards": op3_hilbert_shards,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
     "op8_token_counts": op8_token_counts,
