@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from contactloom.llm.common import batches
-from contactloom.llm.tokens import DISPUTED, FULL, STRETCH, Encoder, library
+from contactloom.llm.tokens import FULL, STRETCH, Encoder, disputed, library
 
 
 def byte_signs() -> dict[str, int]:
@@ -56,16 +56,18 @@ class Counter(Encoder):
     def _add(self, stretches: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         self.known.update(zip(stretches, counts.tolist(), strict=True))
 
+    def _learn(self, new: list[str]) -> None:
+        proven = self.proven.intersection(new)
+        self.known.update(dict.fromkeys(proven, 1))
+        super()._learn([s for s in new if s not in proven])
+
     def count(self, texts: list[str | None]) -> np.ndarray:
-        whole = {i: len(self.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if t and DISPUTED.search(t)}
+        whole = {i: len(self.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if t and disputed(t)}
         split = [STRETCH.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         if len(self.known) > FULL:
             self._forget()
         flat = list(chain.from_iterable(split))
-        new = set(flat).difference(self.known)
-        self.known.update(dict.fromkeys(new & self.proven, 1))
-        self._learn(sorted(new - self.proven))
-        counts = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        counts = self._found(flat)
         total = np.concatenate([[0], np.cumsum(counts)])
         out = np.diff(total[np.cumsum([0] + [len(s) for s in split])])
         for i, n in whole.items():

@@ -63,27 +63,38 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             width += more
         np.maximum(holds, fits[:, :GROUP] * np.uint8(count), out=holds)
     holds = holds.reshape(-1)[:n]
-    left = np.minimum(GROUP - np.arange(n) % GROUP, n - np.arange(n))
-    step = np.minimum(np.maximum(holds, 1), left)
-    following, chosen, i = (np.arange(n) + step).tolist(), [], 0
+    step = np.maximum(holds, 1)
+    for end in [*range(GROUP, n, GROUP), n]:
+        # no word reaches over the end of a group
+        near = slice(max(0, end - room), end)
+        step[near] = np.minimum(step[near], np.arange(end - near.start, 0, -1))
+    steps, chosen, i = step.tobytes(), [], 0
+    take = chosen.append
     while i < n:
-        chosen.append(i)
-        i = following[i]
+        take(i)
+        i += steps[i]
     first = np.array(chosen, dtype=np.int64)
-    picked = np.array([OF_COUNT.get(c, 0) for c in range(PACKS[0][0] + 1)])[holds[first]]
-    place = np.arange(len(first)) + np.concatenate([[0], np.cumsum(picked == 0)[:-1]])
+    picked = np.array([OF_COUNT.get(c, 0) for c in range(room + 1)])[holds[first]]
+    place = np.arange(len(first))
+    if not picked.all():
+        place += np.concatenate([[0], np.cumsum(picked == 0)[:-1]])
     words = np.zeros(len(first) + int((picked == 0).sum()), dtype=np.uint64)
-    padded = np.concatenate([ids, np.zeros(120, np.uint64)])
+    padded = np.concatenate([ids, np.zeros(room, np.uint64)])
     for s in np.unique(picked).tolist():
-        p, w = first[picked == s], place[picked == s]
+        own = picked == s
+        p, w = first[own], place[own]
         if s == 0:
             words[w + 1] = ids[p]
             continue
         count, bits = PACKS[s - 1]
         packed = np.full(len(p), s << 60, dtype=np.uint64)
+        short = np.flatnonzero(step[p] < count)
         if bits:
             for j in range(count):
-                packed |= np.where(j < step[p], padded[p + j], np.uint64(0)) << np.uint64(j * bits)
+                packed |= padded[p + j] << np.uint64(j * bits)
+            for k in short.tolist():
+                held = ids[p[k] : p[k] + step[p[k]]].tolist()
+                packed[k] = (s << 60) | sum(v << (j * bits) for j, v in enumerate(held))
         words[w] = packed
     starts = np.searchsorted(first, np.arange(0, n, GROUP))
     return words, place[starts].astype(np.uint32), place[picked == 0].astype(np.uint64)

@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 STRETCH = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?#$%&*|]|$)|\s*\S+|\s+")
 #: Python counts these as white space, the Unicode property that the tokenizers use does not.
-DISPUTED = re.compile("[\x1c-\x1f]")
+DISPUTED = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Stretches and ids that a worker remembers at most.
 FULL, FULL_IDS = 1_500_000, 12_000_000
 #: Stands between stretches that are encoded in one call; its last id belongs to no other text.
@@ -29,6 +29,10 @@ _LIBRARY: dict[str, object] = {}
 _ENCODER: dict[str, Encoder] = {}
 
 
+def disputed(text: str) -> bool:
+    return any(c in text for c in DISPUTED)
+
+
 def library(path: str):
     """The tokenizers library's object for a ``.json`` file, one for each process."""
     if path not in _LIBRARY:
@@ -94,16 +98,23 @@ class Encoder:
                 of_mark[ends - k] = True
             self._add(part, ids[~of_mark], np.diff(ends, prepend=-1) - len(mark))
 
+    def _found(self, flat: list[str]) -> np.ndarray:
+        """What is known of each stretch; unknown ones are learned."""
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list({flat[i] for i in missing}))
+            at[missing] = [self.known[flat[i]] for i in missing]
+        return at
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has. A null text has none."""
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if t and DISPUTED.search(t)}
+        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if t and disputed(t)}
         split = [STRETCH.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         if len(self.known) > FULL or self.used > FULL_IDS:
             self._forget()
         flat = list(chain.from_iterable(split))
-        new = set(flat).difference(self.known)
-        self._learn(sorted(new))
-        at = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        at = self._found(flat)
         starts, counts = self.ends[at], self.ends[at + 1] - self.ends[at]
         after = np.cumsum(counts)
         total = int(after[-1]) if len(after) else 0
