@@ -45,6 +45,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id inside Python workers, where a column of whole numbers with nulls would become floating.
+NO_ID = -(1 << 63)
+
+
+def filled_id(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID)).alias(column)
+
+
+def restored_id(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.nullif(F.col(column), F.lit(NO_ID)))
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -64,12 +76,17 @@ def word_spans(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.
     """Lower-cased words of many texts at once.
 
     A word is a longest run of letters, any character above ASCII counting as one.
-    Returns the bytes, the starts and ends of the words in them, and for text ``i`` the
+    Returns what :func:`spans` does.
+    """
+    return spans([b"" if t is None else t.lower().encode() for t in texts], LETTER)
+
+
+def spans(parts: Sequence[bytes], inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Longest runs of bytes for which the 256-entry table ``inside`` is true. Returns the bytes, the starts and ends of the words in them, and for text ``i`` the
     word range ``bounds[i]:bounds[i + 1]``. Null texts have no words.
     """
-    parts = [b"" if t is None else t.lower().encode() for t in texts]
     data = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8)
-    letter = LETTER[data]
+    letter = inside[data]
     edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
     text_at = np.concatenate([[1], np.cumsum([len(p) + 1 for p in parts]) + 1])
@@ -79,8 +96,8 @@ def word_spans(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.
 def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: Iterable[int | None]) -> list[np.ndarray]:
     """64-bit hashes of the first ``n`` bytes of each word (None: all bytes), one array for each length.
 
-    A word's byte ``j`` is multiplied by a fixed odd number of ``j``, so one running sum
-    serves every prefix length.
+    A word's byte ``j`` is multiplied by a fixed number of ``j``, so one running sum serves
+    every prefix length.
     """
     sizes = ends - starts
     total = int(sizes.sum())
@@ -88,7 +105,8 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length
     inner = np.arange(total, dtype=np.int64) - np.repeat(first[:-1], sizes)
     letters = data[inner + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)
     running = np.zeros(total + 1, dtype=np.uint64)
-    np.cumsum(letters * MULTIPLIERS[inner & 63], out=running[1:])
+    place = MULTIPLIERS[inner & 63] + (inner >> 6).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4E)
+    np.cumsum(letters * place, out=running[1:])
     out = []
     for n in lengths:
         taken = sizes if n is None else np.minimum(sizes, n)

@@ -15,7 +15,7 @@ be within the limit. That test loses nothing. All of it runs where the document
 nothing is shuffled but found (document, item) pairs. Items are taken in blocks of a
 fixed size, so what is broadcast is bounded whatever the benchmark's size.
 
-Defined results: null or empty texts leak nothing; null items and items of fewer than
+Defined results: null or empty texts leak nothing; items without a text or an id and items of fewer than
 ``least_words`` words are no evidence and match nothing; repeated items (equal item_id)
 give a pair once with the least distance; repeated documents give equal rows once; empty tables give an
 empty table.
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import batches, prefix_hashes, word_spans
+from contactloom.llm.common import batches, filled_id, prefix_hashes, restored_id, word_spans
 
 
 @dataclass(frozen=True)
@@ -212,9 +212,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     """doc_id, item_id, distance (word edits) and end_word (where the closest stretch ends) of each document and item it leaks."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, end_word long"
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-items.count() // settings.items_in_block))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    texts = docs.select(filled_id("doc_id"), "text").where(F.col("text").isNotNull())
     parts = []
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -222,16 +222,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
 
         def search(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                own, keys, out = frame["text"].tolist(), frame["doc_id"].astype("Int64").tolist(), []
+                own, keys, out = frame["text"].tolist(), frame["doc_id"].tolist(), []
                 for a, b in batches(own, 2_000_000):
                     data, starts, ends, bounds = word_spans(own[a:b])
                     [words] = prefix_hashes(data, starts, ends, [None])
                     out += [(keys[a + t], i, d, e) for t, i, d, e in held.value.search(words, bounds)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "end_word"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "end_word"])
 
         parts.append(texts.mapInPandas(search, schema))
     found = reduce(DataFrame.unionByName, parts)
-    return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "end_word")).alias("_best")).select("doc_id", "item_id", "_best.distance", "_best.end_word")
+    best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "end_word")).alias("_best"))
+    return restored_id(best.select("doc_id", "item_id", "_best.distance", "_best.end_word"), "doc_id")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import stored
+from contactloom.llm.common import filled_id, restored_id, stored
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:[^>"']|"[^"]*"|'[^']*')*+>|<[a-zA-Z/!?][^>]*>|<|[^<]+""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -239,7 +239,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     spark: SparkSession = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html"), host.alias("host"))
+    rows = pages.select(filled_id("page_id"), "url", F.col("html").cast("string").alias("html"), host.alias("host"))
     templates = stored(deduce(rows.select("host", "html")), "templates")
     common = templates.where(F.col("host") == COMMON).select("main").first()
     common_main = common["main"] if common else None
@@ -255,4 +255,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": out, "n_chars": [len(t) for t in out]})
 
     joined = rows.join(F.broadcast(own) if n_hosts <= BROADCAST_HOSTS else own, "host", "left")
-    return joined.select("page_id", "url", "html", "main", "template_blocks").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    return restored_id(joined.select("page_id", "url", "html", "main", "template_blocks").mapInPandas(texts, "page_id long, url string, text string, n_chars long"), "page_id")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from contactloom.llm.common import batches
+from contactloom.llm.common import batches, filled_id, restored_id
 from contactloom.llm.tokens import encoder
 
 
@@ -153,11 +153,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits =
                 if left == length:
                     del held[key]
                 out.append((doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), base + sequence, offset))
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            return frame.astype({"doc_id": "Int64"})
+            return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for frame in frames:
-            texts, keys = frame["text"].tolist(), frame["doc_id"].astype("Int64").tolist()
+            texts, keys = frame["text"].tolist(), frame["doc_id"].tolist()
             for a, b in batches(texts):
                 ids, sizes = encoder(path).encode(texts[a:b])
                 for doc_id, own in zip(keys[a:b], np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
@@ -170,7 +169,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits =
         yield rows()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInPandas(pack, schema)
+    return restored_id(docs.select(filled_id("doc_id"), "text").mapInPandas(pack, schema), "doc_id")
 
 
 def pack_examples(examples: DataFrame, limits: Limits = Limits(), id_column: str = "id") -> DataFrame:

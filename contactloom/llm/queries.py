@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from contactloom.llm import decontamination, html_extraction, language_id, packing, quality_rules, sharding, token_counts, token_files, toxicity
+from contactloom.llm import decontamination, html_extraction, language_id, minhash, packing, quality_rules, sharding, token_counts, token_files, toxicity
 from contactloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(table(spark, sf_dir, "documents")).select(*names)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_token_files(files)
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_minhash": op6_minhash,
     "op7_token_files": op7_token_files,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,

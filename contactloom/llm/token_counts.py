@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from contactloom.llm.common import batches
+from contactloom.llm.common import batches, filled_id, restored_id
 from contactloom.llm.tokens import FULL, STRETCH, Encoder, disputed, library
 
 
@@ -104,5 +104,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_column: str =
             sizes = np.array([0 if t is None else len(t.encode()) for t in texts], dtype=np.int64)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": sizes, "n_tokens": tokens, "over_limit": tokens > limit})
 
-    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return rows.mapInPandas(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    rows = docs.select(filled_id(id_column).alias("doc_id"), docs[text_column].alias("text"))
+    return restored_id(rows.mapInPandas(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"), "doc_id")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import batches, stored
+from contactloom.llm.common import NO_ID, batches, restored_id, stored
 from contactloom.llm.tokens import encoder
 
 GROUP = 8192
@@ -36,7 +36,6 @@ BLOCK = 1 << 18
 PACKS = ((120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 OF_COUNT = {count: s for s, (count, _) in enumerate(PACKS, 1)}
 HEAD = struct.Struct("<4sIQQQQ")
-NO_ID = -(1 << 63)
 
 
 def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,11 +196,10 @@ def read_token_files(files: DataFrame, digest: bool = True) -> DataFrame:
                 ids = ids.astype("<u4")
                 ends = np.cumsum(lengths)
                 first = ends - lengths
-                out = pd.DataFrame({"doc_id": pd.array(doc_ids, dtype="Int64"), "start": base.value[shard] + before + first, "n_tokens": lengths})
-                out.loc[doc_ids == NO_ID, "doc_id"] = pd.NA
+                out = pd.DataFrame({"doc_id": doc_ids, "start": base.value[shard] + before + first, "n_tokens": lengths})
                 own = [ids[a:b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
                 out["ids_crc32" if digest else "ids"] = [zlib.crc32(x.tobytes()) for x in own] if digest else [x.astype(np.int64) for x in own]
                 yield out
 
     last = "ids_crc32 long" if digest else "ids array<long>"
-    return files.select("shard", "ids_before", "payload").mapInPandas(decode, f"doc_id long, start long, n_tokens long, {last}")
+    return restored_id(files.select("shard", "ids_before", "payload").mapInPandas(decode, f"doc_id long, start long, n_tokens long, {last}"), "doc_id")
