@@ -11,8 +11,8 @@ sidebar, notice, advert, form or comments, are left out. Hosts with too few diff
 pages for a template of their own use the one deduced over all pages together.
 
 Vectors are never built: each token's vector is represented by two sums over the pages of
-page number times occurrences in a prime field, which combine on the map side. So a host
-with a third of all pages costs one row per token and task. The deduced templates are one
+page number times occurrences in a prime field, which combine on the map side. Pages are
+parsed once; their blocks are stored for the second look. So a host with a third of all pages costs one row per token and task. The deduced templates are one
 small row per host; they are broadcast when their number is below ``BROADCAST_HOSTS``, else
 joined on the host.
 
@@ -31,7 +31,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm.common import filled_id, restored_id, stored
@@ -164,53 +164,59 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, str]], dict[str, int]]:
     return blocks, found
 
 
-def _page_number(page: str, seed: int) -> int:
-    return (zlib.crc32(page.encode(), seed) * 2654435761 + seed) % PRIME
+def parsed(pages: DataFrame) -> DataFrame:
+    """One row for each page: its element paths with their occurrences and the characters of text below
+    them, its blocks, two page numbers in the prime field and a hash of the whole page."""
 
-
-def deduce(pages: DataFrame) -> DataFrame:
-    """One row for each host: host, n_pages (different ones), main (path of the main slot, or null) and
-    template_blocks (hashes of text blocks of the template within it). Host '' stands for all pages."""
-    distinct = pages.where(F.col("html").isNotNull()).select("host", "html", F.xxhash64("html").alias("content"))
-
-    def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
-            for host, page in zip(frame["host"], frame["html"], strict=True):
+            rows = []
+            for page_id, url, page in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
+                page = page or ""
                 blocks, found = blocks_of(page)
-                one, two = _page_number(page, 1), _page_number(page, 77)
-                chars: dict[str, int] = defaultdict(int)
-                texts: dict[tuple[str, int], int] = defaultdict(int)
-                for path, other, text in blocks:
-                    at = path
+                below: dict[str, int] = defaultdict(int)
+                for at, other, text in blocks:
                     while at and not other:
-                        chars[at] += len(text)
+                        below[at] += len(text)
                         at = at.rpartition("/")[0]
-                    if not other:
-                        texts[path, zlib.crc32(text.encode())] += 1
-                rows = [(p, 0, n, chars.get(p, 0)) for p, n in found.items()] + [(p, h + 1, n, 0) for (p, h), n in texts.items()] + [("", 0, 1, sum(len(t) for _, o, t in blocks if not o))]
-                for at in {host, COMMON}:
-                    for path, block, n, size in rows:
-                        if block and at == COMMON:
-                            continue
-                        s = sums[at, path, block]
-                        s[0] = (s[0] + one * n) % PRIME
-                        s[1] = (s[1] + two * n) % PRIME
-                        s[2] += 1
-                        s[3] += n
-                        s[4] += size
-            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "path", "block", "one", "two", "pages", "times", "chars"])
+                code = page.encode()
+                numbers = [(zlib.crc32(code, seed) * 2654435761 + seed) % PRIME for seed in (1, 77)]
+                paths = list(found)
+                texts = [[b[i] for b in blocks] for i in range(3)]
+                rows.append((page_id, url, *numbers, paths, [found[p] for p in paths], [below.get(p, 0) for p in paths], sum(len(t) for _, o, t in blocks if not o), *texts))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "one", "two", "paths", "times", "below", "chars", "block_paths", "block_other", "block_texts"])
+
+    kinds = "one long, two long, paths array<string>, times array<int>, below array<long>, chars long, block_paths array<string>, block_other array<int>, block_texts array<string>"
+    return stored(pages.select("page_id", "url", "html").mapInPandas(parse, f"page_id long, url string, {kinds}"), "parsed-pages").withColumn("host", host_of(F.col("url")))
 
-    # equal pages are one page of evidence; only their hashes are compared
-    first = distinct.dropDuplicates(["host", "content"]).select("host", "html")
-    summed = (
-        first.mapInPandas(tokens, "host string, path string, block long, one long, two long, pages long, times long, chars long")
-        .groupBy("host", "path", "block")
-        .agg(*[F.pmod(F.sum(c), F.lit(PRIME)).alias(c) for c in ("one", "two")], *[F.sum(c).alias(c) for c in ("pages", "times", "chars")])
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+
+
+def deduce(pages: DataFrame) -> DataFrame:
+    """From parsed pages, one row for each host: host, n_pages (different ones), main (path of the main
+    slot, or null) and template_blocks (hashes of text blocks of the template). Host '' stands for all pages."""
+    of_page = pages.where(F.size("paths") > 0)
+    elements = of_page.select("host", "one", "two", F.explode(F.arrays_zip("paths", "times", "below")).alias("e")).select(
+        "host", F.col("e.paths").alias("path"), F.lit(0).cast("long").alias("block"), "one", "two", F.col("e.times").cast("long").alias("n"), F.col("e.below").alias("chars")
     )
-    whole = summed.where("path = '' and block = 0").select("host", F.col("one").alias("one_all"), F.col("two").alias("two_all"), F.col("pages").alias("n_pages"), F.col("chars").alias("chars_all"))
-    # the class of the tokens that every page has once: their vector is that of the page itself
-    valid = summed.join(whole, "host").where("path <> '' and one = one_all and two = two_all and pages = n_pages and times = n_pages")
+    texts = of_page.select("host", "one", "two", F.explode(F.arrays_zip("block_paths", "block_other", "block_texts")).alias("b")).where("b.block_other = 0")
+    texts = texts.select("host", F.col("b.block_paths").alias("path"), (F.crc32(F.encode("b.block_texts", "UTF-8")) + 1).alias("block"), "one", "two", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("chars"))
+    field = lambda c: F.pmod(F.sum(c), F.lit(PRIME)).alias(c)
+    vector = [F.pmod(F.sum(F.col(c) * F.col("n")), F.lit(PRIME)).alias(c) for c in ("one", "two")]
+    summed = stored(elements.unionByName(texts).groupBy("host", "path", "block").agg(*vector, F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum("chars").alias("chars")), "tokens")
+    differ = of_page.select("host", "one", "two").distinct()
+    whole = of_page.groupBy("host").agg(field("one"), field("two"), F.count("*").alias("n"), F.sum("chars").alias("chars_all"))
+    whole = stored(whole.join(differ.groupBy("host").agg(F.count("*").alias("n_pages")), "host"), "hosts")
+    # the common template: the hosts' sums once more, by path
+    common = summed.where("block = 0").groupBy("path", "block").agg(field("one"), field("two"), *[F.sum(c).alias(c) for c in ("pages", "times", "chars")]).withColumn("host", F.lit(COMMON))
+    common_whole = whole.agg(field("one"), field("two"), *[F.sum(c).alias(c) for c in ("n", "chars_all", "n_pages")]).where("n is not null").withColumn("host", F.lit(COMMON))
+    whole = whole.where(F.col("host") != COMMON).unionByName(common_whole)
+    tokens = summed.where(F.col("host") != COMMON).unionByName(common.select(summed.columns))
+    # the class of the tokens that every page has once: their vector is that of the pages themselves
+    every = whole.select("host", F.col("one").alias("one_all"), F.col("two").alias("two_all"), "n", "chars_all", "n_pages")
+    valid = stored(tokens.join(every, "host").where("one = one_all and two = two_all and pages = n and times = n").select("host", "path", "block", "chars", "chars_all", "n_pages"), "classes")
     slot = valid.where((F.col("block") == 0) & (F.col("chars") >= MAIN_SHARE * F.col("chars_all")) & (F.col("n_pages") >= LEAST_PAGES) & (F.col("chars_all") > 0))
     depth = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
     main = slot.groupBy("host").agg(F.max(F.struct(depth.alias("depth"), F.col("chars"), F.col("path")))["path"].alias("main"))
@@ -218,41 +224,18 @@ def deduce(pages: DataFrame) -> DataFrame:
     return whole.select("host", "n_pages").join(main, "host", "left").join(blocks, "host", "left")
 
 
-def main_text(page: str | None, main: str | None, template_blocks: frozenset[str] = frozenset()) -> str:
-    """The blocks of a page in its main slot, joined by spaces. If the page lacks the slot, all of its body counts."""
-    if not page:
-        return ""
-    blocks, found = blocks_of(page)
-    if main and main not in found:
-        main = None
-    kept = []
-    for path, other, text in blocks:
-        if other or main and path != main and not path.startswith(main + "/"):
-            continue
-        if template_blocks and f"{zlib.crc32(text.encode())}:{path}" in template_blocks:
-            continue
-        kept.append(text)
-    return " ".join(kept)
-
-
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each page."""
-    spark: SparkSession = pages.sparkSession
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    rows = pages.select(filled_id("page_id"), "url", F.col("html").cast("string").alias("html"), host.alias("host"))
-    templates = stored(deduce(rows.select("host", "html")), "templates")
+    """page_id, url, text and n_chars of each page. A page that lacks the main slot counts with its whole body."""
+    rows = parsed(pages.select(filled_id("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
+    templates = stored(deduce(rows), "templates")
     common = templates.where(F.col("host") == COMMON).select("main").first()
-    common_main = common["main"] if common else None
     own = templates.where((F.col("host") != COMMON) & F.col("main").isNotNull()).select("host", "main", "template_blocks")
-    n_hosts = own.count()
-
-    def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [
-                main_text(page, main if isinstance(main, str) else common_main, frozenset(blocks) if blocks is not None else frozenset())
-                for page, main, blocks in zip(frame["html"], frame["main"], frame["template_blocks"], strict=True)
-            ]
-            yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": out, "n_chars": [len(t) for t in out]})
-
-    joined = rows.join(F.broadcast(own) if n_hosts <= BROADCAST_HOSTS else own, "host", "left")
-    return restored_id(joined.select("page_id", "url", "html", "main", "template_blocks").mapInPandas(texts, "page_id long, url string, text string, n_chars long"), "page_id")
+    joined = rows.join(F.broadcast(own) if own.count() <= BROADCAST_HOSTS else own, "host", "left")
+    main = F.coalesce("main", F.lit(common["main"] if common else None).cast("string"))
+    main = F.when(F.array_contains("paths", main), main)
+    joined = joined.withColumns({"_main": main, "_blocks": F.arrays_zip("block_paths", "block_other", "block_texts")})
+    part_of_template = lambda b: F.coalesce(F.array_contains("template_blocks", F.concat_ws(":", F.crc32(F.encode(b.block_texts, "UTF-8")), b.block_paths)), F.lit(False))
+    inside = lambda b: F.col("_main").isNull() | (b.block_paths == F.col("_main")) | b.block_paths.startswith(F.concat("_main", F.lit("/")))
+    kept = F.filter("_blocks", lambda b: (b.block_other == 0) & inside(b) & ~part_of_template(b))
+    joined = joined.withColumn("text", F.array_join(F.transform(kept, lambda b: b.block_texts), " "))
+    return restored_id(joined.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")), "page_id")
