@@ -57,6 +57,14 @@ def restored_id(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.nullif(F.col(column), F.lit(NO_ID)))
 
 
+def without_ids(docs: DataFrame, gone: DataFrame, broadcast_ids: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone``; rows without an id stay. The ids are broadcast
+    if their count is below the bound, else both sides are shuffled."""
+    gone = stored(gone.select(F.col("doc_id").cast("long").alias("_gone")).where("_gone is not null").distinct(), "gone")
+    few = gone.count() <= broadcast_ids
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import batches, filled_id, prefix_hashes, restored_id, word_spans
+from contactloom.llm.common import batches, filled_id, prefix_hashes, restored_id, without_ids, word_spans
 
 
 @dataclass(frozen=True)
@@ -236,6 +236,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` without the documents that leak an item. Rows without an id are judged as one document."""
-    bad = leaks(docs, benchmark, settings).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    """``docs`` without the documents that leak an item; rows without an id stay."""
+    return without_ids(docs, leaks(docs, benchmark, settings))

@@ -24,8 +24,8 @@ Nothing is dropped: long postings take the exact way of step 4. Every table is w
 the shared folder; the driver holds counts and two arrays of fixed size.
 
 Defined results: a text without words has an empty set, is linked with nothing and kept;
-equal texts are one group; rows that share a doc_id are one document; rows without an id are
-grouped like others and kept only if no row with an id is in their group; an empty table
+equal texts are one group; rows that share a doc_id are one document; rows without an id join
+no group's name: they are kept only if no row with an id has an equal set; an empty table
 gives an empty table. Extra columns are ignored by :func:`groups` and kept by
 :func:`deduplicated`.
 """
@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import batches, filled_id, prefix_hashes, restored_id, spans, stored
+from contactloom.llm.common import batches, filled_id, prefix_hashes, restored_id, spans, stored, without_ids
 
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -355,6 +355,13 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One document of each group, with the columns of ``docs``."""
-    kept = groups(docs, settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group, with the columns of ``docs``. Rows without an id stay; of rows that
+    share an id one stays."""
+    found = stored(groups(docs, settings), "groups")
+    left = without_ids(docs, found.where("not kept"))
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not again.limit(1).count():
+        return left
+    again = stored(again.select(F.col("doc_id").alias("_again")), "again")
+    same = left["doc_id"].cast("long") == again["_again"]
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

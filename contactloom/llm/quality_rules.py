@@ -39,7 +39,7 @@ class LineRules:
     navigation: str = r"(?:[|»›•>][^|»›•>]*){2}"
     navigation_marks: tuple[str, ...] = ("|", "»", "›", "•", ">")
     #: Three words that end in two or more signs, or in exclamation marks.
-    noise: str = r"(?:(?:[#*$%&<>]{2,}|!!)[^#*$%&<>!]*){3}"
+    noise: str = r"(?:(?:[#*$%&<>]{2,}+|!!)[^#*$%&<>!]*){3}"
     noise_marks: tuple[str, ...] = ("!!", "##", "**", "$$", "%%", "&&", "<<", ">>")
     #: Fixed phrases of notices and menus, in lower case.
     boilerplate: tuple[str, ...] = (
@@ -85,7 +85,7 @@ def measured(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost (part of the
     characters in failing lines), clean_text, base_failed and kept."""
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost", "clean_text", "base_failed", "kept"]
-    inner = ["_text", "_words", "_lines", "_hashes", "_mask", "_keys", "_pairs", "_sum", "_good"]
+    inner = ["_text", "_words", "_lines", "_hashes", "_mask", "_keys", "_pairs", "_sum", "_good", "_result"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {*results, *inner}])
     carried = docs.columns
     t = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
@@ -121,7 +121,10 @@ def measured(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     t = t.withColumn("lost", F.when(whole > 0, 1 - F.length("clean_text") / whole).otherwise(F.lit(0.0)))
     t = t.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeated_percent * F.col("n_words")))
     t = t.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= rules.max_lost))
-    return t.select(*[F.col(f"`{c}`") for c in carried], *results)
+    # a filter on a result must not be pushed down into the expressions that it comes from: they would be
+    # computed anew for each word
+    t = t.select(*[F.col(f"`{c}`") for c in carried], F.explode(F.array(F.struct(*results))).alias("_result"))
+    return t.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"_result.{c}") for c in results])
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
