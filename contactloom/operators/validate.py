@@ -13,7 +13,7 @@ def counts(rows: DataFrame) -> DataFrame:
     """One row: records of either quality and, for alignments, reads with a record of either quality."""
     q = F.col("mapq" if "mapq" in rows.columns else "mapping_quality")
     out = [F.count("*").alias("q0_records"), F.count(F.when(q >= 1, 1)).alias("q1_records")]
-    if "read_idx" not in rows.columns:
+    if "mapq" in rows.columns:
         return rows.agg(*out)
     reads = rows.groupBy("read_idx").agg(F.count("*").alias("_n"), F.count(F.when(q >= 1, 1)).alias("_q"))
     return reads.agg(F.sum("_n").alias("q0_records"), F.sum("_q").alias("q1_records"), F.count("*").alias("q0_reads"), F.count(F.when(F.col("_q") > 0, 1)).alias("q1_reads"))

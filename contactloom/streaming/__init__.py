@@ -1 +1 @@
-
+"""Bounded batches out of datasets, and ordered ingestion into them."""
