@@ -126,7 +126,7 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length
     return out
 
 
-def batches(texts: Sequence[str | None], budget: int = 4_000_000) -> Iterable[tuple[int, int]]:
+def batches(texts: Sequence[str | None], budget: int = 1_000_000) -> Iterable[tuple[int, int]]:
     """Ranges of rows with about ``budget`` characters each; a longer text is alone in its range."""
     start, size = 0, 0
     for i, t in enumerate(texts):

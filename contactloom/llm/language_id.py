@@ -127,7 +127,7 @@ def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
     def predict(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for own in frames:
             texts, names, scores = own.tolist(), [], []
-            for a, b in batches(texts, 1_000_000):
+            for a, b in batches(texts, 500_000):
                 lang, score = model.value.score(texts[a:b])
                 names += lang
                 scores.append(score)

@@ -9,8 +9,8 @@ partitions. With ``cut``, examples may be cut: to fill a gap that nothing fits,
 partition's end, where the last tokens form sequences whose lengths are powers of two.
 
 Defined results: an example without tokens is left out (documents always have their end
-id); an example over a limit is cut, or without ``cut`` stands alone in a sequence with
-``oversize`` true, never dropped. Repeated rows are packed each for itself. An empty
+id); an example over a limit is cut; without ``cut``, or with too many segments, it stands alone
+in a sequence with ``oversize`` true, never dropped. Repeated rows are packed each for itself. An empty
 table gives an empty table.
 """
 
@@ -62,7 +62,7 @@ class Packer:
     def add(self, key, tokens: int, segments: int, loss: int, start: int = 0) -> None:
         """An example; with cut, whole sequences come off its front first. A cut keeps the loss
         tokens at the end of the example, as a reply stands behind its prompt."""
-        if not self.cut and (tokens > self.limits.tokens or segments > self.limits.segments or loss > self.limits.loss_tokens):
+        if segments > self.limits.segments or not self.cut and (tokens > self.limits.tokens or loss > self.limits.loss_tokens):
             self.pieces.append((key, start, tokens, self.sequence, 0, True))
             self.sequence += 1
             return
@@ -114,7 +114,7 @@ class Packer:
         self.sequence += 1
 
     def finish(self) -> None:
-        while len(self) and (not self.cut or self.demand[:, 0].sum() > self.limits.tokens):
+        while len(self) and (not self.cut or (self.demand.sum(axis=0) > self.capacity).any()):
             self.fill()
         rest = int(self.demand[:, 0].sum())
         for bit in range(rest.bit_length() - 1, -1, -1):

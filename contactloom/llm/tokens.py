@@ -20,7 +20,7 @@ STRETCH = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?#$%&*|]|$)|\s*\S+|
 #: Python counts these as white space, the Unicode property that the tokenizers use does not.
 DISPUTED = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Stretches and ids that a worker remembers at most.
-FULL, FULL_IDS = 1_500_000, 12_000_000
+FULL, FULL_IDS = 600_000, 5_000_000
 #: Stands between stretches that are encoded in one call; its last id belongs to no other text.
 MARK = " \0"
 CALL = 4000
