@@ -12,12 +12,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.functions.text import bin_size, to_json
-from contactloom.operators import binning, expand, imports, inspect, merge, query, stats, subset
+from contactloom.operators import binning, copynum, expand, imports, index, inspect, merge, query, stats, subset
 from contactloom.operators.regions import parse_region
 from contactloom.schema import InvalidInput
 from contactloom.sources import dataset, export, paf
 from contactloom.sources.bam import read_bam
-from contactloom.sources.files import contig_frame
+from contactloom.sources.files import Folder, contig_frame
 
 CONVERSIONS = ("bam2pairs", "bam2concat", "paf2pairs", "paf2concat", "concat2pairs", "pairs2cool")
 
@@ -51,6 +51,8 @@ def parser() -> argparse.ArgumentParser:
     for name in ("export", "query"):
         verb(name, *shown, output, (("-n", "--limit"), {"type": int}), (("--format",), {"choices": ["pairs", "concat", "tsv"]}), (("--filter-mode",), {"choices": ["matching_alignments", "complete_reads"], "default": "matching_alignments"}))
     verb("subset", path, output, quality, region, mode, (("--chrom",), {"action": "append"}), (("--read-id",), {"action": "append"}), (("--mode",), {"choices": ["matching_alignments", "complete_reads"], "default": "matching_alignments"}))
+    p = verb("index", (("action",), {"choices": ["build", "status", "rebuild"]}), path)
+    p.add_argument("--quality", choices=["q0", "q1"], default="q0")
     verb("merge", (("inputs",), {"nargs": "+"}), output)
     return top
 
@@ -98,9 +100,14 @@ def convert(spark: SparkSession, a: argparse.Namespace, mode: str) -> dict:
         numbers = imports.import_reads(records, a.min_mapq, low, a.max_order, a.include_secondary).drop("n")
         rows = chosen.join(numbers, ["rg", "name", "mate"]).withColumns({"_shard": F.lit(0), "_row": F.col("ordinal")})
     found = dataset.write_dataset(rows, a.output, "pairs" if wants_pairs else "concat", contigs)
+    if not wants_pairs:
+        names = numbers.select("read_idx", F.col("name").alias("read_name"), F.col("rg").alias("read_group"), F.nullif("mate", F.lit(0)).alias("mate"))
+        names.write.json(f"{a.output}/_import_read_names")
     counters = imports.import_statistics(records, a.min_mapq, low, a.max_order, a.include_secondary, not wants_pairs).first().asDict()
     options = {"min_mapq": a.min_mapq, "min_order": low, "max_order": a.max_order, "include_secondary": a.include_secondary, "pair_position": "five_prime" if a.five_prime else "leftmost", "contigsizes": a.contigsizes}
-    return {"source": a.path, "mode": mode, "output": a.output, "format": "pairs" if wants_pairs else "concat", "options": options, "counts": found, "statistics": counters}
+    report = {"source": a.path, "mode": mode, "output": a.output, "format": "pairs" if wants_pairs else "concat", "options": options, "counts": found, "statistics": counters, "read_names": None if wants_pairs else "_import_read_names"}
+    Folder(spark, a.output).write("_import.json", to_json(report))
+    return report
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -145,6 +152,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
             rows = subset.subset_alignments(rows, a.min_mapq, chroms, regions, [int(i) for i in a.read_id] if a.read_id else None, a.mode)
         sidecar = {"_subset.json": to_json({"source": a.path, "min_mapq": a.min_mapq, "chroms": a.chrom, "regions": a.region, "read_ids": a.read_id})}
         print(to_json({"output": a.output, "format": data.kind, "counts": dataset.write_dataset(rows, a.output, data.kind, data.contigs, sidecars=sidecar), "full_scan": True, "index_used": False}))
+    elif a.verb == "index":
+        data = dataset.open_dataset(spark, a.path)
+        found = index.status(data, a.quality) if a.action == "status" else index.build(data, a.quality, a.action == "rebuild")
+        print(to_json(found))
     elif a.verb == "merge":
         if len(set(a.inputs)) < len(a.inputs):
             raise InvalidInput("an input is named twice")
@@ -154,7 +165,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         union = [(r["contig"], r["length"]) for r in merge.contig_union([d.contig_table() for d in sets]).orderBy("new_id").collect()]
         parts = [(d.scan(complete=True), d.contig_table()) for d in sets]
         rows = merge.merge_pairs(parts) if sets[0].kind == "pairs" else merge.merge_alignments(parts)
-        print(to_json({"output": a.output, "format": sets[0].kind, "counts": dataset.write_dataset(rows, a.output, sets[0].kind, union), "sources": [{"source_index": i, "path_label": p} for i, p in enumerate(a.inputs)]}))
+        sources = [{"schema_version": 1, "source_index": i, "path_label": d.path, "format_version": d.metadata["format-version"], "input_read_id_scope": d.scope, "input_records": str(parts[i][0].count())} for i, d in enumerate(sets)]
+        lines = "".join(to_json(s) + "\n" for s in sources)
+        found = dataset.write_dataset(rows, a.output, sets[0].kind, union, sidecars={"_merge_sources.jsonl": lines})
+        if sets[0].kind == "concat":
+            merge.merged_ids([r for r, _ in parts]).select(F.col("source").alias("source_index"), F.col("new_id").alias("output_read_id"), F.col("old_id").alias("logical_read_id")).write.json(f"{a.output}/_merge_reads")
+        numbers = [copynum.read(spark, d.path, [n for n, _ in d.contigs]) for d in sets]
+        if any(n.present for n in numbers):
+            declared = [spark.createDataFrame(sorted(n.explicit.items()), "contig string, cn decimal(20,0)") for n in numbers if n.present]
+            copynum.replace(spark, a.output, [n for n, _ in union], {r["contig"]: int(r["cn"]) for r in merge.merge_copy_numbers(declared).collect()})
+        print(to_json({"output": a.output, "format": sets[0].kind, "counts": found, "sources": sources}))
     return 0
 
 

@@ -55,7 +55,7 @@ def merge_copy_numbers(sources: list[DataFrame]) -> DataFrame:
     if not sources:
         raise InvalidInput("nothing to merge")
     joined = reduce(DataFrame.unionByName, sources).groupBy("contig").agg(F.min("cn").alias("cn"), F.max("cn").alias("_most"))
-    return joined.select("contig", F.when(F.col("cn") == F.col("_most"), F.col("cn")).otherwise(F.raise_error(F.concat(F.lit("copy numbers differ for "), F.col("contig"))).cast("bigint")).alias("cn"))
+    return joined.select("contig", F.when(F.col("cn") == F.col("_most"), F.col("cn")).otherwise(F.raise_error(F.concat(F.lit("copy numbers differ for "), F.col("contig"))).cast(joined.schema["cn"].dataType)).alias("cn"))
 
 
 def effective_copy_numbers(contigs: DataFrame, declared: DataFrame) -> DataFrame:

@@ -58,23 +58,29 @@ class Dataset:
         number = lambda n: (0, int(n[:-8]), n) if n[:-8].isdigit() else (1, 0, n)
         return sorted(names, key=number)
 
-    def scan(self, min_mapq: int = 0, complete: bool = False, ordered: bool = False) -> DataFrame:
-        """Rows with contig numbers; ``ordered`` adds _shard and _row. Ids that count within shards become
-        running ids over all rows before anything is filtered."""
+    def scan(self, min_mapq: int = 0, complete: bool = False, ordered: bool = False, files: list[str] | None = None, with_file: bool = False) -> DataFrame:
+        """Rows with contig numbers; ``ordered`` adds _shard and _row, ``with_file`` the name of the file. ``files``:
+        those to read, relative to the dataset. Ids that count within shards become running ids over all rows
+        before anything is filtered."""
         local = self.kind == "concat" and self.scope == "shard"
         columns = PAIRS_COLUMNS if self.kind == "pairs" else CONCAT_COLUMNS
         if self.native:
-            return quality(read_buckets(self.spark, self.path, self.kind), min_mapq).select(*columns)
+            rows = read_buckets(self.spark, self.path, self.kind, files)
+            rows = rows.withColumn("_file", F.col("_metadata.file_name")) if with_file else rows
+            return quality(rows, 0 if complete else min_mapq).select(*columns, *(["_file"] if with_file else []))
         name = "q1" if min_mapq and not complete and not local else "q0"
-        files = self.shards(name)
-        if not files:
+        shards = self.shards(name)
+        taken = shards if files is None else [f.rpartition("/")[2] for f in files]
+        if not taken:
             empty = self.spark.createDataFrame([], PAIRS_DDL if self.kind == "pairs" else CONCAT_DDL)
             return empty.withColumns({"_shard": F.lit(0), "_row": F.lit(0).cast("bigint")}) if ordered else empty
-        rows = self.spark.read.parquet(*[f"{self.path}/{name}/{f}" for f in files])
+        rows = self.spark.read.parquet(*[f"{self.path}/{name}/{f}" for f in taken])
+        if with_file:
+            rows = rows.withColumn("_file", F.col("_metadata.file_name"))
         for old, new in NAMES[self.kind].items():
             rows = rows.withColumnRenamed(old, new)
         if ordered or local:
-            place = F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)])
+            place = F.create_map(*[F.lit(x) for i, f in enumerate(shards) for x in (f, i)])
             rows = rows.withColumns({"_shard": place[F.col("_metadata.file_name")].cast("int"), "_row": F.col("_metadata.row_index")})
         numbers = self.contig_table()
         for c in ("chrom1_id", "chrom2_id") if self.kind == "pairs" else ("chrom_id",):
@@ -88,13 +94,14 @@ class Dataset:
                 rows = rows.withColumn(n, F.col(n).cast("decimal(20,0)" if n == "read_idx" else t))
         if local:
             rows = logical_ids(rows).withColumn("read_idx", F.col("logical_id")).drop("logical_id")
-        return quality(rows, min_mapq if not complete else 0).select(*columns, *(["_shard", "_row"] if ordered else []))
+        return quality(rows, min_mapq if not complete else 0).select(*columns, *(["_shard", "_row"] if ordered else []), *(["_file"] if with_file else []))
 
 
-def read_buckets(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read_buckets(spark: SparkSession, path: str, kind: str, files: list[str] | None = None) -> DataFrame:
     """Rows of the native layout with ``qbucket``; the folders are named, as the dataset's own files lie beside them."""
     ddl = (PAIRS_DDL if kind == "pairs" else CONCAT_DDL) + ", qbucket int"
     found = [f"{path}/qbucket={q}" for q in (0, 1) if Folder(spark, f"{path}/qbucket={q}").exists()]
+    found = found if files is None else [f"{path}/{f}" for f in files]
     return spark.read.schema(ddl).option("basePath", path).parquet(*found) if found else spark.createDataFrame([], ddl)
 
 
