@@ -365,3 +365,21 @@ def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     again = stored(again.select(F.col("doc_id").alias("_again")), "again")
     same = left["doc_id"].cast("long") == again["_again"]
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def oracle_sql(settings: Settings = Settings()) -> str:
+    """The groups in DuckDB's SQL, by all shared shingles and the closure of the links."""
+    upper = "".join(map(chr, range(65, 91)))
+    n = settings.words
+    shingle = " || chr(10) || ".join(f"words[i + {k}]" for k in range(n))
+    return f"""
+WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+long AS (SELECT doc_id, words, unnest(range(1, len(words) - {n - 2})) AS i FROM split WHERE len(words) >= {n}),
+sets AS (SELECT DISTINCT doc_id, {shingle} AS s FROM long UNION SELECT doc_id, array_to_string(words, chr(10)) FROM split WHERE len(words) BETWEEN 1 AND {n - 1}),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= {settings.percent} * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT doc_id, doc_id AS other FROM split UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)"""

@@ -32,14 +32,14 @@ class LineRules:
 
     max_lost: float = 0.5
     #: A line has to end a sentence; closing quotes and brackets may follow. Held against the line's last 16 characters.
-    ends: str = r"""[.!?…。:;,]["'”’»)\]]*\s*$"""
+    ends: str = r"""[.!?…。:;,]["'”’»)\]]*\s*\z"""
     #: Failing that, it has to hold a whole sentence.
     inner_end: str = r"[.!?…。]\s"
     #: A menu: parts set off by bars, arrows or bullets.
     navigation: str = r"(?:[|»›•>][^|»›•>]*){2}"
     navigation_marks: tuple[str, ...] = ("|", "»", "›", "•", ">")
     #: Three words that end in two or more signs, or in exclamation marks.
-    noise: str = r"(?:(?:[#*$%&<>]{2,}+|!!)[^#*$%&<>!]*){3}"
+    noise: str = r"(?:(?:[#*$%&<>]{2,}|!!)[^#*$%&<>!]+){2}(?:[#*$%&<>]{2,}|!!)"
     noise_marks: tuple[str, ...] = ("!!", "##", "**", "$$", "%%", "&&", "<<", ">>")
     #: Fixed phrases of notices and menus, in lower case.
     boilerplate: tuple[str, ...] = (
@@ -132,3 +132,28 @@ def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     t = measured(docs, rules).where("kept")
     changed = {"text": F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast("long")} if "n_chars" in docs.columns else {})
     return t.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns if c in t.columns])
+
+
+def oracle_sql(rules: LineRules = LineRules()) -> str:
+    """The counts and verdicts in DuckDB's SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    any_of = lambda text, marks: " OR ".join(f"contains({text}, {quote(m)})" for m in marks)
+    passes = (
+        f"(regexp_matches(right(x, 16), {quote(rules.ends)}) OR regexp_matches(x, {quote(rules.inner_end)}))"
+        f" AND NOT regexp_matches(x, {quote(rules.navigation)}) AND NOT regexp_matches(x, {quote(rules.noise)})"
+        f" AND NOT ({any_of('lower(x)', rules.boilerplate)})"
+    )
+    return f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, k, text, list_filter(regexp_split_to_array(text, {quote(SPACE)}), lambda x: x <> '') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {quote(NOT_SPACE)})) AS lines FROM texts),
+windows AS (SELECT k, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] AS w FROM (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM split)),
+counted AS (SELECT k, i, count(*) OVER (PARTITION BY k, w) AS c FROM windows),
+covered AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM counted WHERE c > 1) GROUP BY k),
+base AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words, length(array_to_string(lines, chr(10))) AS whole, length(coalesce(array_to_string(list_filter(lines, lambda x: {passes}), chr(10)), '')) AS good
+  FROM split LEFT JOIN covered USING (k)),
+judged AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeated_percent} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (whole = 0 OR 1 - good / CAST(whole AS DOUBLE) <= {rules.max_lost}) AS kept FROM judged"""
