@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.operators import copynum, stats
 from contactloom.operators.validate import counts, read_issues, row_issues, sequence_mismatches
 from contactloom.sources import metadata as meta
-from contactloom.sources.dataset import Dataset, open_dataset
+from contactloom.sources.dataset import DECLARED, Dataset, open_dataset
 from contactloom.sources.files import Folder
 
 COORDINATES = {"pairs": "1-based", "concat": "0-based half-open"}
@@ -56,6 +58,42 @@ def info(data: Dataset, with_stats: bool = False) -> dict:
     return out
 
 
+def type_class(name: str) -> str | None:
+    """What a declared type or a Spark type is: text, whole, real or truth."""
+    plain = name.rpartition(".")[2].lower()
+    if plain in ("string", "categorical", "utf8"):
+        return "text"
+    if re.fullmatch(r"u?int(?:8|16|32|64)?|tinyint|smallint|bigint|decimal\(\d+,0\)", plain):
+        return "whole"
+    return {"float32": "real", "float64": "real", "float": "real", "double": "real", "boolean": "truth"}.get(plain)
+
+
+def schema_issues(data: Dataset) -> list[tuple[str, str]]:
+    """code and message of differences between needed, declared and stored columns of the exchange layout."""
+    needed = DECLARED[data.kind]
+    out, declared = [], data.metadata.get("schema")
+    columns = data.metadata.get("columns")
+    if columns is not None and (not isinstance(columns, list) or set(columns) != set(needed)):
+        out.append(("COLUMNS_MISMATCH", f"columns are {columns}"))
+    if declared is None:
+        return [*out, ("MISSING_SCHEMA", "the metadata declares no schema")]
+    if not isinstance(declared, dict):
+        return [*out, ("INVALID_DECLARED_SCHEMA", "the declared schema isn't a dictionary")]
+    for c, t in declared.items():
+        if not isinstance(t, str) or type_class(t) is None:
+            out.append(("INVALID_DECLARED_DTYPE", f"{c}: {t}"))
+    out += [("MISSING_DECLARED_FIELD", c) for c in needed if c not in declared]
+    if data.native or not data.shards():
+        return out
+    stored = {f.name: f.dataType.simpleString() for f in data.spark.read.parquet(f"{data.path}/q0/{data.shards()[0]}").schema}
+    for c, t in needed.items():
+        if c not in stored or type_class(stored[c]) != type_class(t):
+            out.append(("SCHEMA_MISMATCH", f"{c}: {stored.get(c)}"))
+        elif isinstance(declared.get(c), str) and type_class(declared[c]) not in (None, type_class(stored[c])):
+            out.append(("DECLARED_SCHEMA_MISMATCH", f"{c}: {declared[c]} declared, {stored[c]} found"))
+    return out
+
+
 def validate(spark: SparkSession, path: str, level: str = "quick", max_issues: int = 100) -> dict:
     """status valid, invalid or incomplete, and the issues. Once invalid, a report stays so."""
     issues: list[dict] = []
@@ -102,6 +140,10 @@ def validate(spark: SparkSession, path: str, level: str = "quick", max_issues: i
     except ValueError as e:
         issue("INVALID_CONTIGS", str(e), file="_contigsizes")
         return report()
+    for code, message in schema_issues(opened):
+        issue(code, message, file="_metadata")
+    if any(i["code"] == "SCHEMA_MISMATCH" for i in issues):
+        return report()
     done.append("metadata")
     try:
         copynum.read(spark, path, [n for n, _ in opened.contigs])

@@ -196,7 +196,16 @@ def _number_shards(folder: Folder) -> None:
             folder.remove(n)
 
 
+#: Columns of each kind in the exchange layout, with the class of their type.
+DECLARED = {
+    "pairs": {"read_idx": "String", "chrom1": "Categorical", "pos1": "Int64", "chrom2": "Categorical", "pos2": "Int64", "strand1": "Categorical", "strand2": "Categorical", "mapq": "Int16"},
+    "concat": {
+        "read_idx": "Int64", "read_length": "Int64", "read_start": "Int64", "read_end": "Int64", "strand": "Categorical", "chrom": "Categorical",
+        "start": "Int64", "end": "Int64", "mapping_quality": "Int16", "identity": "Float32", "filter_reason": "Categorical",
+    },
+}
+
+
 def _describe(kind: str, chunk_size: int) -> dict:
-    columns = {"pairs": ["read_idx", "chrom1", "pos1", "chrom2", "pos2", "strand1", "strand2", "mapq"], "concat": ["read_idx", "read_length", "read_start", "read_end", "strand", "chrom", "start", "end", "mapping_quality", "identity", "filter_reason"]}[kind]
-    out = {"format-version": meta.VERSIONS[kind], "creation_time": datetime.datetime.now(datetime.UTC).isoformat(), "format": kind, "chunksize": chunk_size, "is_with_mapq": True, "columns": columns}
+    out = {"format-version": meta.VERSIONS[kind], "creation_time": datetime.datetime.now(datetime.UTC).isoformat(), "format": kind, "chunksize": chunk_size, "is_with_mapq": True, "columns": list(DECLARED[kind]), "schema": DECLARED[kind]}
     return out | ({"read_idx_scope": "global", "complete_groups": True, "q1_min_mapq": 1} if kind == "concat" else {})
