@@ -18,8 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from contactloom.llm.common import batches, filled_id, restored_id
-from contactloom.llm.tokens import FULL, STRETCH, Encoder, disputed, library
+from contactloom.llm.common import batches, filled_id, python_ready, restored_id
+from contactloom.llm.tokens import STRETCH, Encoder, disputed, library
 
 
 def byte_signs() -> dict[str, int]:
@@ -49,9 +49,12 @@ class Counter(Encoder):
         self.proven = proven
         super().__init__(path)
 
-    def _forget(self) -> None:
+    def _begin(self) -> None:
         self.known = {}
-        self.used = 0
+        self.ids = self.ends = np.zeros(0, dtype=np.int64)
+
+    def _move(self, stretches: list[str]) -> None:
+        self.known.update((s, self.aside[0][s]) for s in stretches)
 
     def _add(self, stretches: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         self.known.update(zip(stretches, counts.tolist(), strict=True))
@@ -64,8 +67,7 @@ class Counter(Encoder):
     def count(self, texts: list[str | None]) -> np.ndarray:
         whole = {i: len(self.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if t and disputed(t)}
         split = [STRETCH.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        if len(self.known) > FULL:
-            self._forget()
+        self._turn()
         flat = list(chain.from_iterable(split))
         counts = self._found(flat)
         total = np.concatenate([[0], np.cumsum(counts)])
@@ -87,6 +89,7 @@ def _counter(path: str, proven: frozenset[str]) -> Counter:
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). ``.model`` files are counted by
     sentencepiece, whose pieces cross any split that could be seen from outside, text by text."""
+    docs = python_ready(docs)
     spark = docs.sparkSession
     proven = spark.sparkContext.broadcast(frozenset() if path.endswith(".model") else proven_strings(path))
 

@@ -3,8 +3,8 @@
 Both tokenizer files split their input before merging, and some of the splits can be seen
 from outside: before white space, and between a run of Latin letters and the stops after
 it. A stretch between two such places gets the same ids wherever it stands. So a worker
-asks the library once for each stretch and looks the rest up. Its memory is bounded: the
-table is emptied when it is full. Texts with one of the four control characters on which
+asks the library once for each stretch and looks the rest up. Its memory is bounded: a full
+table is set aside and a new one begun, into which what is still used moves over. Texts with one of the four control characters on which
 Python and the library disagree about white space go to the library whole.
 """
 
@@ -19,8 +19,10 @@ import numpy as np
 STRETCH = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?#$%&*|]|$)|\s*\S+|\s+")
 #: Python counts these as white space, the Unicode property that the tokenizers use does not.
 DISPUTED = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Stretches and ids that a worker remembers at most.
-FULL, FULL_IDS = 600_000, 5_000_000
+#: A stretch that is one pre-token, and so shows its own end in the ids of many such stretches.
+PLAIN = re.compile("[ ][A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Stretches in a table; a worker holds two.
+FULL = 600_000
 #: Stands between stretches that are encoded in one call; its last id belongs to no other text.
 MARK = " \0"
 CALL = 4000
@@ -53,14 +55,28 @@ def encoder(path: str) -> Encoder:
     return _ENCODER[path]
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges ``start`` to ``start + count``, one range after another."""
+    after = np.cumsum(counts)
+    return np.arange(int(after[-1]) if len(after) else 0) + np.repeat(starts - after + counts, counts)
+
+
 class Encoder:
     """Ids of texts as the library gives them for ``path``, without added special tokens."""
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
-        self._forget()
-
-    def _forget(self) -> None:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        ending = self.tokenizer.model.end_of_word_suffix
+        #: Ids that end a plain stretch, or without such an ending those that begin one.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith(ending) if ending else t.startswith("Ġ"))]] = True
+        self.edge_ends = bool(ending)
+        self._begin()
+        self.aside = (self.known, self.ids, self.ends)
+        self._begin()
+
+    def _begin(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 14, dtype=np.int64)
@@ -78,13 +94,26 @@ class Encoder:
         self.used += len(ids)
 
     def _learn(self, new: list[str]) -> None:
-        """Ask the library for stretches. Those between white space go many to a call, parted by a mark."""
-        joined, single = [], []
+        """Ask the library for stretches, many to a call: plain ones as they are, others between white space
+        parted by a mark, the rest as texts of their own."""
+        joined, single, plain = [], [], []
         for s in new:
+            if PLAIN.fullmatch(s):
+                plain.append(s)
+                continue
             (joined if s[0].isspace() and not s[-1].isspace() and "\0" not in s else single).append(s)
         found = [e.ids for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)]
         if single:
             self._add(single, np.fromiter(chain.from_iterable(found), dtype=np.uint32), np.array([len(x) for x in found]))
+        for i in range(0, len(plain), CALL):
+            part = plain[i : i + CALL]
+            [e] = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, dtype=np.uint32)
+            edges = np.flatnonzero(self.edge[ids])
+            counts = np.diff(edges, prepend=-1) if self.edge_ends else np.diff(edges, append=len(ids))
+            if len(edges) != len(part) or counts.sum() != len(ids):
+                raise ValueError("the tokenizer doesn't split at white space")
+            self._add(part, ids, counts)
         mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, dtype=np.uint32)
         for i in range(0, len(joined), CALL):
             part = joined[i : i + CALL]
@@ -103,22 +132,36 @@ class Encoder:
         at = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            self._learn(list({flat[i] for i in missing}))
+            new = {flat[i] for i in missing}
+            used = list(new.intersection(self.aside[0]))
+            self._move(used)
+            self._learn(list(new.difference(used)))
             at[missing] = [self.known[flat[i]] for i in missing]
         return at
 
+    def _move(self, stretches: list[str]) -> None:
+        """Take stretches over from the table that was set aside."""
+        known, ids, ends = self.aside
+        at = np.array([known[s] for s in stretches], dtype=np.int64)
+        if len(at):
+            counts = ends[at + 1] - ends[at]
+            self._add(stretches, ids[_ranges(ends[at], counts)], counts)
+
+    def _turn(self) -> None:
+        if len(self.known) > FULL:
+            self.aside = (self.known, self.ids, self.ends)
+            self._begin()
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has. A null text has none."""
         whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if t and disputed(t)}
         split = [STRETCH.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        if len(self.known) > FULL or self.used > FULL_IDS:
-            self._forget()
+        self._turn()
         flat = list(chain.from_iterable(split))
         at = self._found(flat)
         starts, counts = self.ends[at], self.ends[at + 1] - self.ends[at]
         after = np.cumsum(counts)
-        total = int(after[-1]) if len(after) else 0
-        ids = self.ids[np.arange(total) + np.repeat(starts - after + counts, counts)]
+        ids = self.ids[_ranges(starts, counts)]
         bounds = np.concatenate([[0], after])[np.cumsum([0] + [len(s) for s in split])]
         sizes = np.diff(bounds)
         if whole:

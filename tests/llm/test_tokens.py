@@ -35,11 +35,12 @@ def test_memoised_ids_are_the_librarys(path, texts):
     assert token_counts.Counter(path, frozenset()).count(texts).tolist() == [len(ids(path, t)) for t in texts]
 
 
-def test_a_full_table_is_emptied(monkeypatch):
+def test_a_full_table_is_set_aside(monkeypatch):
     monkeypatch.setattr("contactloom.llm.tokens.FULL", 3)
-    e = Encoder(BYTE)
-    for t in ("a b c d e", "a b c", "f g h i", "a"):
-        assert e.encode([t])[0].tolist() == ids(BYTE, t)
+    e, c = Encoder(BYTE), token_counts.Counter(BYTE, frozenset(["a"]))
+    for t in ("a b c d e", "a b c", "f g h i", "a", "d xylophones", "a d", "f g", "c xylophones b"):
+        assert e.encode([t])[0].tolist() == ids(BYTE, t) and c.count([t]).tolist() == [len(ids(BYTE, t))]
+        assert len(e.known) <= 8
 
 
 def test_proven_strings_are_single_tokens():
