@@ -6,43 +6,34 @@ goes to the folder named by ``spark.checkpoint.dir`` through Spark's own writers
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+from contactloom.session import shared_dir, stored  # noqa: F401
 
+MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+#: Bytes of an Arrow batch. Workers hold a batch several times over, and a batch of long texts may be large.
+BATCH_BYTES = 8 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one is set only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
 
+def python_ready(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands batches of bounded size to Python workers from now on."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the written table.
 
-    This cuts the lineage: a lost executor costs the tasks that read its shuffle files,
-    never the work before this table. The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return python_ready(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 #: Stands for a null id inside Python workers, where a column of whole numbers with nulls would become floating.
@@ -126,8 +117,18 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after their task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def batches(texts: Sequence[str | None], budget: int = 1_000_000) -> Iterable[tuple[int, int]]:
     """Ranges of rows with about ``budget`` characters each; a longer text is alone in its range."""
+    give_back()
     start, size = 0, 0
     for i, t in enumerate(texts):
         n = 0 if t is None else len(t)

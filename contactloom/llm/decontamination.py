@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import batches, filled_id, prefix_hashes, restored_id, without_ids, word_spans
+from contactloom.llm.common import batches, filled_id, prefix_hashes, python_ready, restored_id, without_ids, word_spans
 
 
 @dataclass(frozen=True)
@@ -210,6 +210,7 @@ def _regions(at: list[int], reach: int) -> Iterator[tuple[int, int]]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, distance (word edits) and end_word (where the closest stretch ends) of each document and item it leaks."""
+    docs = python_ready(docs)
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, end_word long"
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")

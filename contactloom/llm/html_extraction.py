@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import filled_id, restored_id, stored
+from contactloom.llm.common import filled_id, python_ready, restored_id, stored
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:[^>"']|"[^"]*"|'[^']*')*+>|<[a-zA-Z/!?][^>]*>|<|[^<]+""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -226,6 +226,7 @@ def deduce(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page. A page that lacks the main slot counts with its whole body."""
+    pages = python_ready(pages)
     rows = parsed(pages.select(filled_id("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
     templates = stored(deduce(rows), "templates")
     common = templates.where(F.col("host") == COMMON).select("main").first()

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import LETTER, batches, id_bucket, spread
+from contactloom.llm.common import LETTER, batches, id_bucket, python_ready, spread
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
@@ -119,6 +119,7 @@ def fit(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE) -> Mod
 
 def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
     """The columns of ``docs`` (but for results of the same names) with lang_pred and score."""
+    docs = python_ready(docs)
     kept = [c for c in docs.columns if c.lower() not in {"lang_pred", "score"}]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, F.lit(True) if train is None else train))

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import batches, filled_id, prefix_hashes, restored_id, spans, stored, without_ids
+from contactloom.llm.common import batches, filled_id, prefix_hashes, python_ready, restored_id, spans, stored, without_ids
 
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -308,6 +308,7 @@ def _exact_pairs(members: DataFrame, sets: DataFrame, settings: Settings) -> Dat
 
 def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept."""
+    docs = python_ready(docs)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     rows = stored(_features(docs, settings), "features")
     full = rows.where("n > 0 and doc_id is not null")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from contactloom.llm.common import batches, filled_id, restored_id
+from contactloom.llm.common import batches, filled_id, python_ready, restored_id
 from contactloom.llm.tokens import encoder
 
 
@@ -132,12 +132,14 @@ class Packer:
         return out
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits = Limits()) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits = Limits(), remember: int | None = None) -> DataFrame:
     """Every id of every text (ids of ``path``, then ``end_id``) in exactly one piece.
 
     All ids bear loss and each piece is one segment. Columns: doc_id, start, length,
-    ids_crc32, doc_tokens, sequence_id, offset. A null text is an empty one.
+    ids_crc32, doc_tokens, sequence_id, offset. A null text is an empty one. ``remember``: stretches of text in a
+    worker's table of ids, where less memory than usual is to be had for more time.
     """
+    docs = python_ready(docs)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 33
@@ -158,7 +160,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits =
         for frame in frames:
             texts, keys = frame["text"].tolist(), frame["doc_id"].tolist()
             for a, b in batches(texts):
-                ids, sizes = encoder(path).encode(texts[a:b])
+                ids, sizes = encoder(path, remember).encode(texts[a:b])
                 for doc_id, own in zip(keys[a:b], np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
                     own = np.append(own, np.uint32(end_id)).astype("<u4")
                     held[count] = (doc_id, own, len(own))

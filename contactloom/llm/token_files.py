@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import NO_ID, batches, restored_id, stored
+from contactloom.llm.common import NO_ID, batches, python_ready, restored_id, stored
 from contactloom.llm.tokens import encoder
 
 GROUP = 8192
@@ -147,6 +147,7 @@ def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def write_token_files(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """Encode every text and write the blocks; returns the written table: shard, block, ids_before
     (ids of the shard before the block), n_docs, n_ids, payload."""
+    docs = python_ready(docs)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, block, before = TaskContext.get().partitionId(), 0, 0

@@ -48,10 +48,11 @@ def library(path: str):
     return _LIBRARY[path]
 
 
-def encoder(path: str) -> Encoder:
-    """The process's encoder, which later tasks of the same worker use again."""
+def encoder(path: str, full: int | None = None) -> Encoder:
+    """The process's encoder, which later tasks of the same worker use again. ``full``: stretches in a table, in place of FULL."""
     if path not in _ENCODER:
         _ENCODER[path] = Encoder(path)
+    _ENCODER[path].full = full
     return _ENCODER[path]
 
 
@@ -64,6 +65,8 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts as the library gives them for ``path``, without added special tokens."""
 
+    full: int | None = None
+
     def __init__(self, path: str):
         self.tokenizer = library(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -148,7 +151,7 @@ class Encoder:
             self._add(stretches, ids[_ranges(ends[at], counts)], counts)
 
     def _turn(self) -> None:
-        if len(self.known) > FULL:
+        if len(self.known) > (self.full or FULL):
             self.aside = (self.known, self.ids, self.ends)
             self._begin()
 
