@@ -6,12 +6,14 @@ edit distance at most ``rate`` times the item's words. The CGK embedding walks o
 sequence with random steps that depend on step and word; two sequences at a small edit
 distance stay together for most of the walk, so edit distance becomes Hamming distance. Item-sized
 windows of the documents and the items are embedded, a few positions of the walk are
-sampled as a key, repeated until the target recall is met, and windows that share a key
-with an item are candidates. Each is then verified by exact edit distance.
+sampled as a key, and windows that share a key with an item are candidates. Hamming distance
+grows faster than the number of edits, most for insertions or deletions only, so no fixed number of
+keys finds all: a window that holds enough of one item's word pairs is a candidate too. Each
+candidate is then verified by exact edit distance, so the result is that of the rule.
 
 Embedding every window would be waste: an edit spoils at most two neighbouring word pairs
 of an item, so a window that doesn't hold enough of the pairs of items of its size can't
-be within the limit. That test loses nothing. All of it runs where the document lies;
+be within the limit. Neither pair test loses anything. All of it runs where the document lies;
 nothing is shuffled but found (document, item) pairs. Items are taken in blocks of a
 fixed size, so what is broadcast is bounded whatever the benchmark's size.
 
@@ -38,8 +40,8 @@ from contactloom.llm.common import batches, filled_id, prefix_hashes, python_rea
 
 @dataclass(frozen=True)
 class Settings:
-    """``hamming``: the part of the walk's positions in which sequences within the limit may differ
-    and still have to be found with probability ``recall``; from it follows the number of keys."""
+    """``hamming``: the part of the walk's positions in which sequences may differ and still share a key
+    with probability ``recall``; from it follows the number of keys. What shares none is found by its word pairs."""
 
     rate: float = 0.15
     least_words: int = 8
@@ -48,6 +50,8 @@ class Settings:
     hamming: float = 0.5
     recall: float = 0.99
     items_in_block: int = 20_000
+    #: Occurrences of items' word pairs that are looked at together.
+    pairs_at_once: int = 2_000_000
     seed: int = 5
 
     def edits(self, words: int) -> int:
@@ -126,15 +130,19 @@ class Items:
         self.sizes = sorted(by_size)
         self.items: dict[int, list[tuple[np.ndarray, list[int]]]] = {s: list(by_size[s].values()) for s in self.sizes}
         self.keys: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.holders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         masks: dict[int, int] = defaultdict(int)
         for place, s in enumerate(self.sizes):
             self.keys[s] = []
             for keys in sample_keys(np.stack([w for w, _ in self.items[s]]), settings):
                 order = np.argsort(keys, kind="stable")
                 self.keys[s].append((keys[order], order))
-            for w, _ in self.items[s]:
-                for h in pair_hashes(w).tolist():
-                    masks[h] |= 1 << place % 64
+            own = [np.unique(pair_hashes(w)) for w, _ in self.items[s]]
+            for h in np.unique(np.concatenate(own)).tolist():
+                masks[h] |= 1 << place % 64
+            pairs, holder = np.concatenate(own), np.repeat(np.arange(len(own)), [len(h) for h in own])
+            order = np.argsort(pairs, kind="stable")
+            self.holders[s] = (pairs[order], holder[order])
         order = sorted(masks)
         self.pairs = np.array(order, dtype=np.uint64)
         self.masks = np.array([masks[h] for h in order], dtype=np.uint64)
@@ -168,7 +176,15 @@ class Items:
             # a window may run over its text's end by as much as an item may have lost
             own = np.concatenate([[0], np.cumsum(((mask >> np.uint64(place % 64)) & np.uint64(1)).astype(np.int32))])
             use = (own[np.minimum(starts + size - 1, end)] - own[starts] >= least) & (starts + size - edits <= end)
-            candidates = self._candidates(padded, starts[use], end[use], text[use], size)
+            starts = starts[use]
+            if not len(starts):
+                continue
+            candidates = self._candidates(padded, starts, end[use], text[use], size)
+            steps = np.zeros(n + 1, dtype=np.int32)
+            steps[starts] += 1
+            steps[np.minimum(starts + size - 1, n)] -= 1
+            spots = np.flatnonzero((np.cumsum(steps)[:-1] > 0) & (mask[:n] != 0))
+            self._sharing(hashes, spots, bounds, size, 0, len(self.items[size]), candidates)
             for (t, k), at in candidates.items():
                 item, ids = self.items[size][k]
                 best, where = edits + 1, 0
@@ -196,6 +212,30 @@ class Items:
                         out[int(text[a + row]), k].add(int(starts[a + row]))
         return out
 
+    def _sharing(self, hashes: np.ndarray, spots: np.ndarray, bounds: np.ndarray, size: int, a: int, b: int, out: dict[tuple[int, int], set[int]]) -> None:
+        """Add to ``out`` the windows that hold enough pairs of one of the items ``a`` to ``b`` of this size, by their first and last start."""
+        least, (pairs, holder) = self.settings.pairs(size), self.holders[size]
+        if b - a < len(self.items[size]):
+            part = (holder >= a) & (holder < b)
+            pairs, holder = pairs[part], holder[part]
+        low = np.searchsorted(pairs, hashes[spots], side="left")
+        times = np.searchsorted(pairs, hashes[spots], side="right") - low
+        total = int(times.sum())
+        if total > self.settings.pairs_at_once and b - a > 1:
+            self._sharing(hashes, spots, bounds, size, a, (a + b) // 2, out)
+            self._sharing(hashes, spots, bounds, size, (a + b) // 2, b, out)
+            return
+        k = holder[np.arange(total) + np.repeat(low - np.cumsum(times) + times, times)]
+        at = np.repeat(spots, times)
+        order = np.argsort(k, kind="stable")
+        k, at = k[order], at[order]
+        text = np.searchsorted(bounds, at, side="right") - 1
+        first, last = slice(0, max(0, total - least + 1)), slice(least - 1, None)
+        near = np.flatnonzero((k[first] == k[last]) & (text[first] == text[last]) & (at[last] - at[first] <= size - 2))
+        for e in near.tolist():
+            t = int(text[e])
+            out[t, int(k[e])] |= {max(int(bounds[t]), int(at[e + least - 1]) - size + 2), int(at[e])}
+
 
 def _regions(at: list[int], reach: int) -> Iterator[tuple[int, int]]:
     """Ranges of starts whose windows overlap."""

@@ -208,6 +208,29 @@ def test_leaks_equal_brute_force(spark):
     assert decontamination.leaks(df, bench.limit(0)).count() == 0 and decontamination.leaks(df.limit(0), bench).count() == 0
 
 
+def edited(rng, own, kinds, n):
+    """``own`` with n edits of these kinds, at places of the item itself."""
+    places = {p: rng.choice(kinds) for p in rng.sample(range(len(own)), n)}
+    return [x for p, w in enumerate(own) for x in {"insert": [w, f"new{rng.choice(WORDS)}"], "delete": [], "change": ["changed"], None: [w]}[places.get(p)]]
+
+
+def test_all_edits_within_the_limit_are_found():
+    rng = random.Random(11)
+    S = decontamination.Settings(pairs_at_once=3000)
+    items = [sentence(rng, n)[:-1].split() for n in (50, 59, 100, 150, 200) for _ in range(6)]
+    held = decontamination.Items(list(range(len(items))), [" ".join(w) for w in items], S)
+    for kinds in (["insert"], ["delete"], ["change"], ["insert", "delete", "change"]):
+        texts = []
+        for w in items:
+            around = [sentence(rng, rng.randint(0, 60))[:-1].split() for _ in range(2)]
+            texts.append(" ".join([*around[0], *edited(rng, w, kinds, S.edits(len(w))), *around[1]]))
+        data, starts, ends, bounds = decontamination.word_spans(texts)
+        [words] = decontamination.prefix_hashes(data, starts, ends, [None])
+        found = {(t, i): d for t, i, d, _ in held.search(words, bounds)}
+        assert [t for t in range(len(texts)) if (t, t) not in found] == [], kinds
+        assert all(found[t, t] <= S.edits(len(w)) for t, w in enumerate(items))
+
+
 # --- extraction
 
 
