@@ -4,8 +4,8 @@ Pages of one host come from a template: markup and phrases that every page has,
 slots that each page fills. A token (an element at its path, or a block of text at its
 path) has an occurrence vector over the host's pages; tokens with equal vectors form a
 class. A class is valid here if its tokens occur once in every page of the host; element
-tokens of a valid class nest by their paths, and the innermost one whose subtree holds most
-of the host's text is the main slot. What remains of a page in that slot is the text: blocks
+tokens of a valid class nest by their paths, and the innermost one whose subtree holds all
+of the host's text, but for blocks of the template and slots of other text, is the main slot. What remains of a page in that slot is the text: blocks
 of the template itself, and slots whose element says that they are a menu, header, footer,
 sidebar, notice, advert, form or comments, are left out. Hosts with too few different
 pages for a template of their own use the one deduced over all pages together.
@@ -69,8 +69,6 @@ PRIME = (1 << 31) - 1
 #: Different pages that a host needs for a template of its own, and for text blocks to belong to it.
 LEAST_PAGES = 3
 LEAST_PAGES_FOR_BLOCKS = 8
-#: The part of the host's text that the main slot has to hold.
-MAIN_SHARE = 0.6
 BROADCAST_HOSTS = 100_000
 COMMON = ""
 
@@ -202,25 +200,34 @@ def deduce(pages: DataFrame) -> DataFrame:
         "host", F.col("e.paths").alias("path"), F.lit(0).cast("long").alias("block"), "one", "two", F.col("e.times").cast("long").alias("n"), F.col("e.below").alias("chars")
     )
     texts = of_page.select("host", "one", "two", F.explode(F.arrays_zip("block_paths", "block_other", "block_texts")).alias("b")).where("b.block_other = 0")
-    texts = texts.select("host", F.col("b.block_paths").alias("path"), (F.crc32(F.encode("b.block_texts", "UTF-8")) + 1).alias("block"), "one", "two", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("chars"))
+    texts = texts.select("host", F.col("b.block_paths").alias("path"), (F.crc32(F.encode("b.block_texts", "UTF-8")) + 1).alias("block"), "one", "two", F.lit(1).cast("long").alias("n"), F.length("b.block_texts").cast("long").alias("chars"))
     field = lambda c: F.pmod(F.sum(c), F.lit(PRIME)).alias(c)
     vector = [F.pmod(F.sum(F.col(c) * F.col("n")), F.lit(PRIME)).alias(c) for c in ("one", "two")]
     summed = stored(elements.unionByName(texts).groupBy("host", "path", "block").agg(*vector, F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum("chars").alias("chars")), "tokens")
     differ = of_page.select("host", "one", "two").distinct()
     whole = of_page.groupBy("host").agg(field("one"), field("two"), F.count("*").alias("n"), F.sum("chars").alias("chars_all"))
     whole = stored(whole.join(differ.groupBy("host").agg(F.count("*").alias("n_pages")), "host"), "hosts")
+    # the class of the tokens that every page has once: their vector is that of the pages themselves
+    every = lambda tokens, hosts: tokens.join(hosts.select("host", F.col("one").alias("one_all"), F.col("two").alias("two_all"), "n", "n_pages"), "host").where(
+        "one = one_all and two = two_all and pages = n and times = n"
+    )
+    fixed = stored(every(summed.where((F.col("host") != COMMON) & (F.col("block") > 0)), whole).where(F.col("n_pages") >= LEAST_PAGES).select("host", "path", "block", "chars", "n_pages"), "fixed-blocks")
+    # the text of the template is none that a slot could lose
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+    gone = fixed.select("host", F.explode(above).alias("path"), "chars").groupBy("host", "path").agg(F.sum("chars").alias("gone"))
+    own = summed.where("block = 0").join(gone, ["host", "path"], "left").withColumn("chars", F.col("chars") - F.coalesce("gone", F.lit(0))).select(summed.columns)
+    kept = F.col("chars_all") - F.coalesce("gone", F.lit(0))
+    whole = stored(whole.join(gone.where("path = ''").drop("path"), "host", "left").withColumn("chars_all", kept).drop("gone"), "hosts-own-text")
     # the common template: the hosts' sums once more, by path
-    common = summed.where("block = 0").groupBy("path", "block").agg(field("one"), field("two"), *[F.sum(c).alias(c) for c in ("pages", "times", "chars")]).withColumn("host", F.lit(COMMON))
+    common = own.groupBy("path", "block").agg(field("one"), field("two"), *[F.sum(c).alias(c) for c in ("pages", "times", "chars")]).withColumn("host", F.lit(COMMON))
     common_whole = whole.agg(field("one"), field("two"), *[F.sum(c).alias(c) for c in ("n", "chars_all", "n_pages")]).where("n is not null").withColumn("host", F.lit(COMMON))
     whole = whole.where(F.col("host") != COMMON).unionByName(common_whole)
-    tokens = summed.where(F.col("host") != COMMON).unionByName(common.select(summed.columns))
-    # the class of the tokens that every page has once: their vector is that of the pages themselves
-    every = whole.select("host", F.col("one").alias("one_all"), F.col("two").alias("two_all"), "n", "chars_all", "n_pages")
-    valid = stored(tokens.join(every, "host").where("one = one_all and two = two_all and pages = n and times = n").select("host", "path", "block", "chars", "chars_all", "n_pages"), "classes")
-    slot = valid.where((F.col("block") == 0) & (F.col("chars") >= MAIN_SHARE * F.col("chars_all")) & (F.col("n_pages") >= LEAST_PAGES) & (F.col("chars_all") > 0))
+    slots = every(own.where(F.col("host") != COMMON).unionByName(common.select(summed.columns)), whole).join(whole.select("host", "chars_all"), "host")
+    slot = slots.where((F.col("chars") == F.col("chars_all")) & (F.col("n_pages") >= LEAST_PAGES) & (F.col("chars_all") > 0))
     depth = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
     main = slot.groupBy("host").agg(F.max(F.struct(depth.alias("depth"), F.col("chars"), F.col("path")))["path"].alias("main"))
-    blocks = valid.where((F.col("block") > 0) & (F.col("n_pages") >= LEAST_PAGES_FOR_BLOCKS)).groupBy("host").agg(F.sort_array(F.collect_set(F.concat_ws(":", F.col("block") - 1, "path"))).alias("template_blocks"))
+    blocks = fixed.where(F.col("n_pages") >= LEAST_PAGES_FOR_BLOCKS).groupBy("host").agg(F.sort_array(F.collect_set(F.concat_ws(":", F.col("block") - 1, "path"))).alias("template_blocks"))
     return whole.select("host", "n_pages").join(main, "host", "left").join(blocks, "host", "left")
 
 
@@ -230,7 +237,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = parsed(pages.select(filled_id("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
     templates = stored(deduce(rows), "templates")
     common = templates.where(F.col("host") == COMMON).select("main").first()
-    own = templates.where((F.col("host") != COMMON) & F.col("main").isNotNull()).select("host", "main", "template_blocks")
+    own = templates.where((F.col("host") != COMMON) & (F.col("main").isNotNull() | F.col("template_blocks").isNotNull())).select("host", "main", "template_blocks")
     joined = rows.join(F.broadcast(own) if own.count() <= BROADCAST_HOSTS else own, "host", "left")
     main = F.coalesce("main", F.lit(common["main"] if common else None).cast("string"))
     main = F.when(F.array_contains("paths", main), main)

@@ -268,6 +268,19 @@ def test_template_blocks_are_not_text(spark):
     assert not any("every day" in r.text for r in found) and all(r.n_chars > 60 for r in found)
 
 
+def test_slot_holds_all_text(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for k in range(12):
+        head, lead, body = sentence(rng, 5), sentence(rng, 12), [sentence(rng, 30) for _ in range(3)]
+        inner = "".join(f"<p>{b}</p>" for b in body)
+        rows.append((k, f"http://lead.example/{k}", f"<body><div class=x>About this host</div><article><h1>{head}</h1><p class=lead>{lead}</p><div class=body>{inner}</div></article></body>"))
+        rows.append((100 + k, f"http://one.example/{k}", f"<body><div class=x>About this host</div><h1>{head}</h1><p>{body[0]}</p></body>"))
+        want |= {k: " ".join([head, lead, *body]), 100 + k: f"{head} {body[0]}"}
+    found = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in found} == want
+
+
 # --- the pipeline
 
 
