@@ -42,6 +42,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math".split())
+RAW_END = {name: re.compile(rf"</{name}(?![a-z0-9:-])", re.I) for name in RAW}
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -87,15 +88,15 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, str]], dict[str, int]]:
     found: dict[str, int] = defaultdict(int)
     blocks: list[tuple[str, int, str]] = []
     pieces: list[str] = []
-    raw = ""
+    at = 0
 
     def end_block() -> None:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                at = next(s for s in reversed(stack) if s[0] in BLOCK or not s[0])
-                blocks.append((at[1], max(s[2] for s in stack), text))
+                around = next(s for s in reversed(stack) if s[0] in BLOCK or not s[0])
+                blocks.append((around[1], max(s[2] for s in stack), text))
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -103,13 +104,8 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, str]], dict[str, int]]:
                 end_block()
             stack.pop()
 
-    for m in TOKEN.finditer(page):
-        token = m.group()
-        if raw:
-            if token[:2] != "</" or not (n := NAME.match(token)) or n.group(1).lower() != raw:
-                continue
-            raw = ""
-            continue
+    while m := TOKEN.match(page, at):
+        token, at = m.group(), m.end()
         if token[0] != "<" or token == "<":
             pieces.append(token)
             continue
@@ -135,14 +131,14 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, str]], dict[str, int]]:
                     break
             if name in CLOSES:
                 ends, stops = CLOSES[name]
-                at = 0
+                depth = 0
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in stops:
                         break
                     if stack[i][0] in ends:
-                        at = i
-                if at:
-                    close(at)
+                        depth = i
+                if depth:
+                    close(depth)
         elif name == "br" or name == "hr":
             pieces.append(" ")
         label = " ".join(sorted(f"{k.lower()}={a or b or c}" for k, a, b, c in ATTRIBUTE.findall(token)))
@@ -151,7 +147,9 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, str]], dict[str, int]]:
         if name in VOID or token.endswith("/>") and name in ("svg", "math"):
             continue
         if name in RAW:
-            raw = name
+            # its content is no markup: nothing in it ends it but its own closing tag
+            ending = RAW_END[name].search(page, at)
+            at = ending.start() if ending else len(page)
             continue
         other = is_other(name, re.sub(r"\b(?:class|id|role)=", "", label), [s[0] for s in stack])
         if other:

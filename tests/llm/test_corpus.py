@@ -268,6 +268,12 @@ def test_template_blocks_are_not_text(spark):
     assert not any("every day" in r.text for r in found) and all(r.n_chars > 60 for r in found)
 
 
+def test_raw_content_is_not_markup():
+    for raw in ("<script>for(i=0;i<n;i++){s='a'}</script>", "<SCRIPT>if (a<b && c) x='\"'</Script >", "<style>a<b{}</style>", "<title>1 <a 'b</title>", "<script>'</scripts>'<!--</script>"):
+        blocks, _ = html_extraction.blocks_of(f"<body><p>one</p>{raw}<p>two</p></body>")
+        assert [b[2] for b in blocks] == ["one", "two"], raw
+
+
 def test_slot_holds_all_text(spark):
     rng = random.Random(9)
     rows, want = [], {}
