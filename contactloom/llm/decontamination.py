@@ -1,6 +1,7 @@
 """Benchmark passages in documents, found by the CGK embedding and bit-sampling LSH.
 
-Words are lower-cased runs of letters, so case, punctuation and line breaks don't matter.
+Words are lower-cased runs of letters, marks and digits, and each character of a script written without
+spaces, so case, punctuation, signs and line breaks don't matter.
 A document leaks an item if one of its word sequences is within ``edits`` of the item: word
 edit distance at most ``rate`` times the item's words. The CGK embedding walks over a
 sequence with random steps that depend on step and word; two sequences at a small edit
@@ -17,25 +18,50 @@ be within the limit. Neither pair test loses anything. All of it runs where the
 nothing is shuffled but found (document, item) pairs. Items are taken in blocks of a
 fixed size, so what is broadcast is bounded whatever the benchmark's size.
 
-Defined results: null or empty texts leak nothing; items without a text or an id and items of fewer than
-``least_words`` words are no evidence and match nothing; repeated items (equal item_id)
+Defined results: null or empty texts leak nothing; items without a text, an id or a word
+match nothing; items of fewer than ``least_words`` words match where all their words stand in a row; repeated items (equal item_id)
 give a pair once with the least distance; repeated documents give equal rows once; empty tables give an
 empty table.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import batches, filled_id, prefix_hashes, python_ready, restored_id, without_ids, word_spans
+from contactloom.llm.common import batches, filled_id, prefix_hashes, python_ready, restored_id, without_ids
+
+#: Characters of scripts written without spaces; each is a word.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+@cache
+def kinds() -> np.ndarray:
+    """For each character 0 outside of words, 1 in a word, 2 a word by itself."""
+    out = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), np.uint8, 0x110000)
+    for a, b in UNSPACED:
+        out[a : b + 1] *= 2
+    return out
+
+
+def word_spans(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of many texts, lower-cased, the starts and ends of the words in them, and for text ``i``
+    the word range ``bounds[i]:bounds[i + 1]``."""
+    parts = ["" if t is None else t.lower() for t in texts]
+    data = np.frombuffer(f" {' '.join(parts)} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = kinds()[data]
+    edges = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    starts, ends = np.flatnonzero(edges & (kind[1:] > 0)) + 1, np.flatnonzero(edges & (kind[:-1] > 0)) + 1
+    text_at = np.concatenate([[1], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64) + 1])
+    return data, starts, ends, np.searchsorted(starts, text_at)
 
 
 @dataclass(frozen=True)
@@ -116,6 +142,16 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
+def row_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` words in a row."""
+    n = len(words) - size + 1
+    h = np.full(max(n, 0), size, dtype=np.uint64)
+    for j in range(size if n > 0 else 0):
+        h = (h ^ words[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return h
+
+
 class Items:
     """A block of items by size: their words, word pairs and keys."""
 
@@ -124,8 +160,11 @@ class Items:
         data, starts, ends, bounds = word_spans(texts)
         [words] = prefix_hashes(data, starts, ends, [None])
         by_size: dict[int, dict[bytes, tuple[np.ndarray, list[int]]]] = defaultdict(dict)
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(dict)
         for i, a, b in zip(ids, bounds[:-1], bounds[1:], strict=True):
-            if b - a >= settings.least_words:
+            if 0 < b - a < settings.least_words:
+                self.short[int(b - a)].setdefault(int(row_hashes(words[a:b], int(b - a))[0]), []).append(i)
+            elif b > a:
                 by_size[int(b - a)].setdefault(words[a:b].tobytes(), (words[a:b], []))[1].append(i)
         self.sizes = sorted(by_size)
         self.items: dict[int, list[tuple[np.ndarray, list[int]]]] = {s: list(by_size[s].values()) for s in self.sizes}
@@ -151,8 +190,17 @@ class Items:
 
     def search(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item_id, distance, word at which the stretch ends) of all leaks in texts given by word hashes."""
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for size, known in self.short.items():
+            hashes = row_hashes(words, size)
+            at = np.flatnonzero(np.isin(hashes, np.array(list(known), dtype=np.uint64)))
+            text = np.searchsorted(bounds, at, side="right") - 1
+            for t, start in zip(text.tolist(), at.tolist(), strict=True):
+                if start + size <= bounds[t + 1]:
+                    for i in known[int(hashes[start])]:
+                        found.setdefault((t, i), (0, start + size - int(bounds[t])))
         if not self.sizes or len(words) < 2:
-            return []
+            return [(t, i, d, e) for (t, i), (d, e) in found.items()]
         hashes = pair_hashes(words)
         maybe = self.slots[(hashes >> np.uint64(42)).astype(np.int64)]
         spots = np.flatnonzero(maybe)
@@ -164,7 +212,7 @@ class Items:
         run = np.zeros(len(words) + 1 + self.sizes[-1], dtype=np.int32)
         np.cumsum(mask[:-1] != 0, out=run[1 : len(words) + 1])
         run[len(words) + 1 :] = run[len(words)]
-        n, found = len(words), {}
+        n = len(words)
         padded = np.concatenate([words, np.zeros(self.sizes[-1], np.uint64)])
         for place, size in enumerate(self.sizes):
             edits, least = self.settings.edits(size), self.settings.pairs(size)

@@ -231,6 +231,16 @@ def test_all_edits_within_the_limit_are_found():
         assert all(found[t, t] <= S.edits(len(w)) for t, w in enumerate(items))
 
 
+def test_items_of_any_script_are_found():
+    items = ["天地玄黄，宇宙洪荒。日月盈昃，辰宿列张。", "12 + 7 = 19; 34 - 5 = 29; 8 * 9 = 72", "3 + 4 = 7", "吾輩は猫である", "one two three four’s “five” six—seven eight", "!?", "7"]
+    held = decontamination.Items(list(range(len(items))), items, decontamination.Settings())
+    texts = [f"before {i} after" for i in items] + ["before 天地玄黄宇宙洪荒日月盈昃辰宿列 after", "3 4", "7 of them", "One two, three four's five six - seven eight", "天地玄黄", None, ""]
+    data, starts, ends, bounds = decontamination.word_spans(texts)
+    [words] = decontamination.prefix_hashes(data, starts, ends, [None])
+    found = {(t, i) for t, i, _, _ in held.search(words, bounds)}
+    assert found == {(0, 0), (1, 1), (1, 6), (2, 2), (2, 6), (3, 3), (4, 4), (6, 6), (7, 0), (9, 6), (10, 4)}
+
+
 # --- extraction
 
 
