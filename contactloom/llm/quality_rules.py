@@ -8,12 +8,13 @@ source or a huge group of copies changes nothing.
 
 Defined results: a null or empty text has no words, counts of 0, ``base_failed`` true and
 ``kept`` false. Repeated rows each get their own result. An empty table gives an empty
-table. Only ``doc_id`` and ``text`` are read; other columns of any name are carried
-through by :func:`clean` unless they have the name of a result, which replaces them.
+table. Texts of any length take the same path. Only ``text`` is read; :func:`clean` carries other columns of any name
+through, :func:`measured` those whose names no result has.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
-#: Words beyond which a position no longer leaves enough hash bits beside it in one long.
-PACKED_WORDS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -31,83 +30,92 @@ class LineRules:
     """``max_lost``: the part of the characters that may go with failing lines."""
 
     max_lost: float = 0.5
-    #: A line has to end a sentence; closing quotes and brackets may follow. Held against the line's last 16 characters.
-    ends: str = r"""[.!?…。:;,]["'”’»)\]]*\s*\z"""
+    #: A line has to end a sentence or a part of one, in whatever script; closing quotes, brackets and white space may follow.
+    ends: str = ".!?…:;,。！？．：；，、｡؟۔؛،।॥"
+    closers: str = "\"'”’»›)]」』】）》 \t\x0b\x0c\r\u00a0"
     #: Failing that, it has to hold a whole sentence.
-    inner_end: str = r"[.!?…。]\s"
-    #: A menu: parts set off by bars, arrows or bullets.
-    navigation: str = r"(?:[|»›•>][^|»›•>]*){2}"
-    navigation_marks: tuple[str, ...] = ("|", "»", "›", "•", ">")
-    #: Three words that end in two or more signs, or in exclamation marks.
-    noise: str = r"(?:(?:[#*$%&<>]{2,}|!!)[^#*$%&<>!]+){2}(?:[#*$%&<>]{2,}|!!)"
+    inner_end: str = r"""[.!?…]["'”’»)\]]*[\x20\x09-\x0D]|[。！？।॥؟۔]"""
+    #: A menu: at least two bars, arrows or bullets, and no more than ``words_a_mark`` words for each.
+    navigation_marks: str = "|•›»>"
+    #: Those that close a quotation where one is opened.
+    quote_marks: str = "|•>"
+    opening: str = "[«‹]"
+    words_a_mark: int = 4
+    #: Runs of signs or exclamation marks, at least three and no fewer than one for so many words.
+    noise: str = r"[#*$%&<>]{2,}|!!+"
     noise_marks: tuple[str, ...] = ("!!", "##", "**", "$$", "%%", "&&", "<<", ">>")
-    #: Fixed phrases of notices and menus, in lower case.
-    boilerplate: tuple[str, ...] = (
-        "licensed under", "all rights reserved", "privacy policy", "terms of use", "terms of service",
-        "cookie", "javascript", "lorem ipsum", "click here", "subscribe", "sign in", "sign up",
-        "log in", "copyright", "©", "powered by",
+    words_a_noise: int = 4
+    #: Phrases of notices (in lower case, between characters that are no letters), one for so many words.
+    notices: tuple[str, ...] = (
+        "licensed under", "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "cookie settings",
+        "uses cookies", "use cookies", "accept cookies", "accept all cookies", "enable javascript", "javascript is disabled", "lorem ipsum",
+        "subscribe to our", "subscribe now", "sign up for our", "copyright ©", "copyright [(]c[)]", "copyright [0-9]{4}", "© ?[0-9]{4}",
     )
+    words_a_notice: int = 25
+    #: Phrases of buttons and menus, which prose may hold as well.
+    buttons: tuple[str, ...] = ("click here", "sign in", "sign up", "log in", "log out", "powered by", "read more", "skip to content")
+    words_a_button: int = 6
     min_words: int = 50
     max_repeated_percent: int = 50
 
 
-def passes(line: Column, rules: LineRules) -> Column:
-    """Whether a line with a word is kept. Plain substring tests stand before the patterns, which few lines then reach."""
+def phrases(of: tuple[str, ...]) -> str:
+    return f"(?:^|[^a-z])(?:{'|'.join(of)})(?:[^a-z]|$)"
+
+
+def passes(line: Column, small: Column, rules: LineRules) -> Column:
+    """Whether a line with a word is kept; ``small`` is the line in lower case. What a rule counts is held against the line's words, so a long
+    paragraph isn't lost to one sign or phrase. Plain substring tests stand before the patterns, which few lines then reach."""
     any_of = lambda text, marks: reduce(lambda a, b: a | b, [text.contains(m) for m in marks])
+    words = F.size(F.array_remove(F.split(line, SPACE), ""))
+    shut = F.rtrim(line, F.lit(rules.closers))
+    ends = (shut != "") & F.lit(rules.ends).contains(F.right(shut, F.lit(1)))
+    without = lambda marks: F.length(line) - F.length(F.translate(line, marks, ""))
+    marks = F.when(line.rlike(rules.opening), without(rules.quote_marks)).otherwise(without(rules.navigation_marks))
+    often = lambda of: F.regexp_count(small, F.lit(phrases(of)))
+    some = any_of(small, [re.split(r"[\[?]", p)[0].rstrip() for p in rules.notices + rules.buttons])
+    runs = F.regexp_count(line, F.lit(rules.noise))
     return (
-        (F.substring(line, -16, 16).rlike(rules.ends) | line.rlike(rules.inner_end))
-        & ~(any_of(line, rules.navigation_marks) & line.rlike(rules.navigation))
-        & ~(any_of(line, rules.noise_marks) & line.rlike(rules.noise))
-        & ~any_of(F.lower(line), rules.boilerplate)
+        (ends | line.rlike(rules.inner_end))
+        & ~(any_of(line, rules.navigation_marks) & (marks >= 2) & (rules.words_a_mark * marks >= words))
+        & ~(any_of(line, rules.noise_marks) & (runs >= 3) & (rules.words_a_noise * runs >= words))
+        & ~(some & (((often(rules.notices) > 0) & (rules.words_a_notice * often(rules.notices) >= words)) | ((often(rules.buttons) > 0) & (rules.words_a_button * often(rules.buttons) >= words))))
     )
 
 
-def _repeated_positions(n_words: str) -> Column:
+def _repeated_positions() -> Column:
     """Start positions of 3-word windows that occur at least twice, as an array of longs.
 
-    The hash of each window is sorted together with its position, so equal windows are
-    neighbours: n log n for any text. The position takes the low bits of the long; texts
-    too long for that sort pairs instead.
+    The 64-bit hash of each window is sorted together with its position, so equal windows are
+    neighbours: n log n for a text of any length.
     """
-    mask, keyed, paired = F.col("_mask"), F.col("_keys"), F.col("_pairs")
-    same = lambda a, b: a.bitwiseXOR(b).bitwiseAND(F.bitwise_not(mask)) == 0
-    fast = F.transform(
-        F.filter(keyed, lambda k, i: same(k, F.get(keyed, i + 1)) | same(k, F.get(keyed, i - 1))),
-        lambda k: k.bitwiseAND(mask),
-    )
-    slow = F.transform(
-        F.filter(paired, lambda p, i: (p.h == F.get(paired, i + 1).h) | (p.h == F.get(paired, i - 1).h)), lambda p: p.i
-    )
-    return F.when(F.col(n_words) <= PACKED_WORDS, fast).otherwise(slow)
+    pairs = F.col("_pairs")
+    twice = F.filter(pairs, lambda p, i: (p.h == F.get(pairs, i + 1).h) | (p.h == F.get(pairs, i - 1).h))
+    return F.transform(twice, lambda p: p.i)
 
 
-def measured(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost (part of the
-    characters in failing lines), clean_text, base_failed and kept."""
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost", "clean_text", "base_failed", "kept"]
-    inner = ["_text", "_words", "_lines", "_hashes", "_mask", "_keys", "_pairs", "_sum", "_good", "_result"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {*results, *inner}])
-    carried = docs.columns
-    t = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost", "clean_text", "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, rules: LineRules) -> DataFrame:
+    """The columns of ``docs`` by number (_c0, _c1, …), whatever their names, and _result with all of RESULTS."""
+    names = [c.lower() for c in docs.columns]
+    carried = [f"_c{i}" for i in range(len(names))]
+    t = docs.toDF(*carried)
+    t = t.withColumn("_text", F.coalesce(F.col(carried[names.index("text")]), F.lit("")))
     t = t.withColumn("_words", F.array_remove(F.split("_text", SPACE), ""))
     t = t.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(NOT_SPACE)))
     t = t.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
-            "_good": F.filter("_lines", lambda x: passes(x, rules)),
+            "_good": F.filter(F.transform("_lines", lambda x: F.struct(x.alias("x"), F.lower(x).alias("small"))), lambda p: passes(p.x, p.small, rules)).x,
         }
     )
-    t = t.withColumn("_mask", F.expr("shiftleft(1L, cast(ceil(log2(n_words + 1)) as int)) - 1"))
     starts = F.slice("_hashes", F.lit(1), F.greatest(F.size("_hashes") - 2, F.lit(0)))
     third = lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2))
-    t = t.withColumns(
-        {
-            "_keys": F.when(F.col("n_words") <= PACKED_WORDS, F.sort_array(F.transform(starts, lambda h, i: third(h, i).bitwiseAND(F.bitwise_not(F.col("_mask"))).bitwiseOR(i.cast("long"))))),
-            "_pairs": F.when(F.col("n_words") > PACKED_WORDS, F.sort_array(F.transform(starts, lambda h, i: F.struct(third(h, i).alias("h"), i.cast("long").alias("i"))))),
-        }
-    )
-    t = t.withColumn("_sum", _repeated_positions("n_words"))
+    t = t.withColumn("_pairs", F.sort_array(F.transform(starts, lambda h, i: F.struct(third(h, i).alias("h"), i.cast("long").alias("i")))))
+    t = t.withColumn("_sum", _repeated_positions())
     t = t.withColumns(
         {
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
@@ -123,25 +131,37 @@ def measured(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     t = t.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= rules.max_lost))
     # a filter on a result must not be pushed down into the expressions that it comes from: they would be
     # computed anew for each word
-    t = t.select(*[F.col(f"`{c}`") for c in carried], F.explode(F.array(F.struct(*results))).alias("_result"))
-    return t.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"_result.{c}") for c in results])
+    return t.select(*carried, F.explode(F.array(F.struct(*RESULTS))).alias("_result"))
+
+
+def measured(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost (part of the
+    characters in failing lines), clean_text, base_failed and kept. A column of ``docs`` with such a name gives way."""
+    own = [(i, c) for i, c in enumerate(docs.columns) if c.lower() not in RESULTS]
+    return _judged(docs, rules).select(*[F.col(f"_c{i}").alias(c) for i, c in own], *[F.col(f"_result.{c}") for c in RESULTS])
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """Documents that pass, without the lines that fail; the same columns as ``docs``."""
-    t = measured(docs, rules).where("kept")
-    changed = {"text": F.col("clean_text")} | ({"n_chars": F.length("clean_text").cast("long")} if "n_chars" in docs.columns else {})
-    return t.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns if c in t.columns])
+    """Documents that pass, without the lines that fail; the same columns as ``docs``, whatever their names."""
+    changed = {"text": F.col("_result.clean_text"), "n_chars": F.length("_result.clean_text").cast("long")}
+    kept = _judged(docs, rules).where("_result.kept")
+    return kept.select(*[changed.get(c.lower(), F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def oracle_sql(rules: LineRules = LineRules()) -> str:
     """The counts and verdicts in DuckDB's SQL."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    any_of = lambda text, marks: " OR ".join(f"contains({text}, {quote(m)})" for m in marks)
+    words = f"len(list_filter(regexp_split_to_array(x, {quote(SPACE)}), lambda w: w <> ''))"
+    shut = f"rtrim(x, {quote(rules.closers)})"
+    without = lambda marks: f"length(x) - length(translate(x, {quote(marks)}, ''))"
+    marks = f"(CASE WHEN regexp_matches(x, {quote(rules.opening)}) THEN {without(rules.quote_marks)} ELSE {without(rules.navigation_marks)} END)"
+    runs = f"len(regexp_extract_all(x, {quote(rules.noise)}))"
+    often = lambda of: f"len(regexp_extract_all(lower(x), {quote(phrases(of))}))"
     passes = (
-        f"(regexp_matches(right(x, 16), {quote(rules.ends)}) OR regexp_matches(x, {quote(rules.inner_end)}))"
-        f" AND NOT regexp_matches(x, {quote(rules.navigation)}) AND NOT regexp_matches(x, {quote(rules.noise)})"
-        f" AND NOT ({any_of('lower(x)', rules.boilerplate)})"
+        f"(({shut} <> '' AND contains({quote(rules.ends)}, right({shut}, 1))) OR regexp_matches(x, {quote(rules.inner_end)}))"
+        f" AND NOT ({marks} >= 2 AND {rules.words_a_mark} * {marks} >= {words}) AND NOT ({runs} >= 3 AND {rules.words_a_noise} * {runs} >= {words})"
+        f" AND NOT ({often(rules.notices)} > 0 AND {rules.words_a_notice} * {often(rules.notices)} >= {words})"
+        f" AND NOT ({often(rules.buttons)} > 0 AND {rules.words_a_button} * {often(rules.buttons)} >= {words})"
     )
     return f"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents),
