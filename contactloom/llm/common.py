@@ -7,7 +7,9 @@ goes to the folder named by ``spark.checkpoint.dir`` through Spark's own writers
 from __future__ import annotations
 
 import ctypes
+import unicodedata
 from collections.abc import Iterable, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,21 @@ def spread(column: str, salt: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), F.col(column)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while (wish := f"_{wish}") in taken:
+        pass
+    return wish
+
+
+@cache
+def character_kinds() -> np.ndarray:
+    """For each character 1 a letter or a mark, 2 a digit or another number, 0 anything else."""
+    kind = {"L": 1, "M": 1, "N": 2}
+    return np.fromiter((kind.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
+
+
 LETTER = np.zeros(256, dtype=bool)
 LETTER[ord("a") : ord("z") + 1] = True
 LETTER[128:] = True

@@ -26,7 +26,6 @@ empty table.
 
 from __future__ import annotations
 
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -37,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import batches, filled_id, prefix_hashes, python_ready, restored_id, without_ids
+from contactloom.llm.common import batches, character_kinds, filled_id, prefix_hashes, python_ready, restored_id, without_ids
 
 #: Characters of scripts written without spaces; each is a word.
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
@@ -46,7 +45,7 @@ UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x300
 @cache
 def kinds() -> np.ndarray:
     """For each character 0 outside of words, 1 in a word, 2 a word by itself."""
-    out = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), np.uint8, 0x110000)
+    out = (character_kinds() > 0).astype(np.uint8)
     for a, b in UNSPACED:
         out[a : b + 1] *= 2
     return out

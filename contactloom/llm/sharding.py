@@ -21,14 +21,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.llm.common import stored
+from contactloom.operators.ids import shard_offsets
 
+#: Bits of a coordinate: a column has up to 64 levels.
 BITS = 6
-#: The first bytes of a string that its place in the order is taken from; six fit a double exactly.
-PREFIX = 6
 
 
 def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
@@ -56,43 +56,56 @@ def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def ordered_number(column: str, kind: str) -> Column:
-    """A number in the order of the column: itself, or a string's first bytes."""
-    if kind != "string":
-        return F.coalesce(F.col(column).cast("double"), F.lit(-1.0))
-    hexed = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, PREFIX)), 2 * PREFIX, "0")
-    return F.coalesce(F.conv(hexed, 16, 10).cast("double"), F.lit(-1.0))
+def string_cuts(rows: DataFrame, column: str, levels: int) -> list[str]:
+    """The first value of each level when the values, in their order and weighted by their rows, are cut into levels.
+
+    Distinct values are counted, range partitioned and summed up partition by partition, so a column may
+    have any number of them, of any length; the driver gets a number for each partition and a value for each level.
+    """
+    counted = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n")).repartitionByRange(column).sortWithinPartitions(column)
+    counted = stored(counted.withColumn("_at", F.monotonically_increasing_id()), "values").withColumn("_shard", F.shiftright("_at", 33).cast("int"))
+    sizes = counted.groupBy("_shard").agg(F.sum("_n").alias("_n"))
+    offsets = shard_offsets(sizes, "_n")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_shard").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = F.expr(f"(_before + _inner) * {levels} div {max(total, 1)}")
+    found = counted.withColumn("_inner", inner).join(F.broadcast(offsets), "_shard").groupBy(level.alias("level")).agg(F.min(column).alias("value")).collect()
+    return sorted(r["value"] for r in found)
 
 
 def hilbert_sharded(rows: DataFrame, dimensions: dict[str, str], shards: int, ties: list[str]) -> DataFrame:
     """``rows`` with curve, shard and slot. ``dimensions``: column names to types ('string' or other)."""
     names = list(dimensions)
-    keyed = rows.withColumns({f"_k{i}": ordered_number(c, dimensions[c]) for i, c in enumerate(names)})
+    numbers = [c for c in names if dimensions[c] != "string"]
     shares = [k / (1 << BITS) for k in range(1, 1 << BITS)]
-    row = keyed.agg(*[F.percentile_approx(f"_k{i}", shares, 10_000).alias(f"q{i}") for i in range(len(names))]).first()
-    cuts = [np.unique(np.array(q if q is not None else [], dtype=np.float64)) for q in row]
+    row = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(F.col(c).cast("double"), shares, 10_000).alias(c) for c in numbers]).first()
+    cuts = {c: np.unique(np.array(row[c] if row[c] is not None else [], dtype=np.float64)) for c in numbers}
+    cuts |= {c: np.array(string_cuts(rows, c, 1 << BITS), dtype=object) for c in names if c not in numbers}
 
     @F.pandas_udf("long")
     def curve(*columns: pd.Series) -> pd.Series:
-        levels = [np.searchsorted(c, v.to_numpy(), side="left") for c, v in zip(cuts, columns, strict=True)]
+        levels = []
+        for c, v in zip(names, columns, strict=True):
+            # a value's level is the number of the cut at or before it; nulls take the lowest
+            code, values = pd.factorize(v)
+            at = np.searchsorted(cuts[c], values.to_numpy() if isinstance(values, pd.Index) else values, side="right" if c not in numbers else "left")
+            at = np.maximum(at - 1, 0) if c not in numbers else at
+            levels.append(np.where(code < 0, 0, np.append(at, 0)[code]))
         return pd.Series(hilbert_index(np.stack(levels, axis=1), BITS))
 
-    placed = keyed.withColumn("curve", curve(*[f"_k{i}" for i in range(len(names))])).drop(*[f"_k{i}" for i in range(len(names))])
+    placed = rows.withColumn("curve", curve(*[F.col(c) if c not in numbers else F.col(c).cast("double") for c in names]))
     order = ["curve", *ties]
     # the low 33 bits of this id count the rows of a partition, the others its partition
     placed = stored(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "hilbert")
-    part, row_in = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    sizes = placed.groupBy(part.alias("_part")).count().collect()
-    total, before = 0, []
-    for r in sorted(sizes, key=lambda r: r["_part"]):
-        before.append((r["_part"], total))
-        total += r["count"]
-    offsets = placed.sparkSession.createDataFrame(before, "_part long, _before long")
-    ranked = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_rank", F.col("_before") + row_in)
+    part, row_in = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_shard")).agg(F.count("*").alias("_n"))
+    offsets = shard_offsets(sizes, "_n")
+    total = row["n"]
+    ranked = placed.withColumn("_shard", part).join(F.broadcast(offsets), "_shard").withColumn("_rank", F.col("_before") + row_in)
     shard = F.expr(f"_rank * {shards} div {max(total, 1)}")
     ranked = ranked.withColumn("shard", shard.cast("int"))
     first = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
-    return ranked.withColumn("slot", F.col("_rank") - first).drop("_part", "_before", "_rank", "_at")
+    return ranked.withColumn("slot", F.col("_rank") - first).drop("_shard", "_before", "_rank", "_at")
 
 
 def document_shards(docs: DataFrame, shards: int = 40) -> DataFrame:

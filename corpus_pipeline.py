@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from contactloom.llm import decontamination, language_id, minhash, packing, quality_rules
 from contactloom.llm.common import stored, table
@@ -29,9 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or of uncertain language go. The language column is learned from, not judged."""
-    columns = docs.columns
-    found = language_id.identify(docs)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(*columns)
+    return language_id.of_known_language(docs, LEAST_CERTAIN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
