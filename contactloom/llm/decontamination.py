@@ -16,10 +16,11 @@ Embedding every window would be waste: an edit spoils at most two neighbouring w
 of an item, so a window that doesn't hold enough of the pairs of items of its size can't
 be within the limit. Neither pair test loses anything. All of it runs where the document lies;
 nothing is shuffled but found (document, item) pairs. Items are taken in blocks of a
-fixed size, so what is broadcast is bounded whatever the benchmark's size.
+fixed size, so what is broadcast is bounded whatever the benchmark's size; where there are several, one pass
+with a table of fixed size over all items' pairs leaves the texts that the blocks then search.
 
 Defined results: null or empty texts leak nothing; items without a text, an id or a word
-match nothing; items of fewer than ``least_words`` words match where all their words stand in a row; repeated items (equal item_id)
+match nothing; texts and items may have any length; items of fewer than ``least_words`` words match where all their words stand in a row; repeated items (equal item_id)
 give a pair once with the least distance; repeated documents give equal rows once; empty tables give an
 empty table.
 """
@@ -36,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import batches, character_kinds, filled_id, prefix_hashes, python_ready, restored_id, without_ids
+from contactloom.llm.common import batches, character_kinds, filled_id, prefix_hashes, python_ready, restored_id, stored, without_ids
 
 #: Characters of scripts written without spaces; each is a word.
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
@@ -123,15 +124,29 @@ def sample_keys(windows: np.ndarray, settings: Settings) -> list[np.ndarray]:
 
 
 def edit_distance(item: list[int], text: list[int], limit: int) -> tuple[int, int]:
-    """The least word edit distance of the item to any stretch of the text, and where the stretch ends; (limit + 1, 0) beyond the limit."""
-    row = list(range(len(item) + 1))
-    best, end = row[-1], 0
+    """The least word edit distance of the item to any stretch of the text, and where the stretch ends; (limit + 1, 0) beyond the limit.
+
+    A column of the table of distances is kept as the bits of two whole numbers (where it goes up, where down), so a
+    word of the text costs a few operations whatever the item's length.
+    """
+    at: dict[int, int] = {}
+    for i, word in enumerate(item):
+        at[word] = at.get(word, 0) | 1 << i
+    top, every = 1 << len(item) - 1, (1 << len(item)) - 1
+    up, down, last = every, 0, len(item)
+    best, end = last, 0
     for j, word in enumerate(text, 1):
-        last, row[0] = row[0], 0
-        for i, own in enumerate(item, 1):
-            last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + (own != word))
-        if row[-1] < best:
-            best, end = row[-1], j
+        same = at.get(word, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right = down | every & ~(diagonal | up)
+        left = up & diagonal
+        last += bool(right & top) - bool(left & top)
+        # the item may begin anywhere in the text, so no step comes in at the table's edge
+        right, left = right << 1 & every, left << 1 & every
+        vertical = same | down
+        up, down = left | every & ~(vertical | right), right & vertical
+        if last < best:
+            best, end = last, j
     return (best, end) if best <= limit else (limit + 1, 0)
 
 
@@ -295,6 +310,70 @@ def _regions(at: list[int], reach: int) -> Iterator[tuple[int, int]]:
     yield first, last
 
 
+class Sieve:
+    """A table of fixed size of the word pairs and short items of all items, to tell which texts need a search."""
+
+    BITS = 28
+
+    def __init__(self, settings: Settings):
+        self.settings, self.sizes, self.short = settings, set(), set()
+        self.table = np.zeros(1 << self.BITS - 3, dtype=np.uint8)
+
+    def _place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = hashes >> np.uint64(64 - self.BITS)
+        return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+    def add(self, texts: Sequence[str]) -> None:
+        data, starts, ends, bounds = word_spans(texts)
+        [words] = prefix_hashes(data, starts, ends, [None])
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b > a:
+                few = b - a < self.settings.least_words
+                (self.short if few else self.sizes).add(b - a)
+                place, bit = self._place(row_hashes(words[a:b], b - a) if few else pair_hashes(words[a:b]))
+                np.bitwise_or.at(self.table, place, bit)
+
+    def _holds(self, hashes: np.ndarray) -> np.ndarray:
+        place, bit = self._place(hashes)
+        return (self.table[place] & bit) > 0
+
+    def suspects(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """For each text whether it holds a short item's place in the table, or a window with enough pairs that are in it."""
+        n, found = len(words), np.zeros(len(bounds) - 1, dtype=bool)
+        of_text = lambda at: np.searchsorted(bounds, at, side="right") - 1
+        for size in self.short:
+            found[of_text(np.flatnonzero(self._holds(row_hashes(words, size))))] = True
+        if n > 1 and self.sizes:
+            run = np.zeros(n + max(self.sizes), dtype=np.int32)
+            np.cumsum(self._holds(pair_hashes(words)), out=run[1:n])
+            run[n:] = run[n - 1]
+            for size in self.sizes:
+                found[of_text(np.flatnonzero(run[size - 1 : n + size - 1] - run[:n] >= self.settings.pairs(size)))] = True
+        return found
+
+
+def _suspects(texts: DataFrame, items: DataFrame, blocks: int, settings: Settings) -> DataFrame:
+    """The texts that may hold one of the items, found in one pass however many items there are."""
+    sieve = Sieve(settings)
+    for block in range(blocks):
+        sieve.add([r["text"] for r in _block(items, block, blocks)])
+    held = texts.sparkSession.sparkContext.broadcast(sieve)
+
+    def sift(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = frame["text"].tolist()
+            for a, b in batches(own):
+                data, starts, ends, bounds = word_spans(own[a:b])
+                [words] = prefix_hashes(data, starts, ends, [None])
+                yield frame.iloc[a:b][held.value.suspects(words, bounds)]
+
+    return stored(texts.mapInPandas(sift, texts.schema), "suspects")
+
+
+def _block(items: DataFrame, block: int, blocks: int) -> list:
+    return items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, distance (word edits) and end_word (where the closest stretch ends) of each document and item it leaks."""
     docs = python_ready(docs)
@@ -303,9 +382,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-items.count() // settings.items_in_block))
     texts = docs.select(filled_id("doc_id"), "text").where(F.col("text").isNotNull())
+    if blocks > 1:
+        texts = _suspects(texts, items, blocks, settings)
     parts = []
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        rows = _block(items, block, blocks)
         held = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], settings))
 
         def search(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
