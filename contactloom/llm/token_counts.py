@@ -5,8 +5,8 @@ as one token are proven: wherever such a string is a stretch or pre-token of a t
 counts one. The proven strings (at most the vocabulary) are broadcast. Only what is not
 proven is pre-tokenised and merged, once for each distinct stretch of a worker.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted
-alike; an empty table gives an empty table. Other columns are ignored.
+Defined results: a null or empty text has 0 bytes and 0 tokens; a text of any length is counted whole, in memory
+that grows with its stretches alone; repeated rows are counted alike; an empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from contactloom.llm.common import batches, filled_id, python_ready, restored_id
-from contactloom.llm.tokens import STRETCH, Encoder, disputed, library
+from contactloom.llm.tokens import STRETCH, Encoder, library
 
 
 def byte_signs() -> dict[str, int]:
@@ -65,7 +65,7 @@ class Counter(Encoder):
         super()._learn([s for s in new if s not in proven])
 
     def count(self, texts: list[str | None]) -> np.ndarray:
-        whole = {i: len(self.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if t and disputed(t)}
+        whole = {i: len(ids) for i, ids in self.whole(texts).items()}
         split = [STRETCH.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         self._turn()
         flat = list(chain.from_iterable(split))

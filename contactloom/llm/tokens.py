@@ -1,15 +1,17 @@
 """Exact token ids of whole texts with public tokenizer files, memoised by stretch.
 
-Both tokenizer files split their input before merging, and some of the splits can be seen
+The two shapes of files in ``SHAPES`` split their input before merging, and some of the splits can be seen
 from outside: before white space, and between a run of Latin letters and the stops after
 it. A stretch between two such places gets the same ids wherever it stands. So a worker
 asks the library once for each stretch and looks the rest up. Its memory is bounded: a full
 table is set aside and a new one begun, into which what is still used moves over. Texts with one of the four control characters on which
-Python and the library disagree about white space go to the library whole.
+Python and the library disagree about white space go to the library whole, and so do all texts
+where the file has another shape.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain, repeat
@@ -27,6 +29,22 @@ FULL = 600_000
 MARK = " \0"
 CALL = 4000
 
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+#: Normaliser and pre-tokenizer of files whose splits STRETCH knows. Fixed values.
+SHAPES = (
+    (None, _BYTES | {"use_regex": True}),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                _BYTES | {"use_regex": False},
+            ],
+        },
+    ),
+)
+
 _LIBRARY: dict[str, object] = {}
 _ENCODER: dict[str, Encoder] = {}
 
@@ -35,6 +53,14 @@ def disputed(text: str) -> bool:
     return any(c in text for c in DISPUTED)
 
 
+def known_shape(tokenizer) -> bool:
+    """Whether texts may be cut into stretches: a known normaliser and pre-tokenizer, no randomness in the
+    merges, and no added token that takes white space with it."""
+    file = json.loads(tokenizer.to_str())
+    added = [t for t in file.get("added_tokens") or [] if t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"])]
+    return (file.get("normalizer"), file.get("pre_tokenizer")) in SHAPES and not added and not file["model"].get("dropout") and file["model"]["type"] == "BPE"
+
+
 def library(path: str):
     """The tokenizers library's object for a ``.json`` file, one for each process."""
     if path not in _LIBRARY:
@@ -69,8 +95,9 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
+        self.stretches = known_shape(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        ending = self.tokenizer.model.end_of_word_suffix
+        ending = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         #: Ids that end a plain stretch, or without such an ending those that begin one.
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.edge[[i for t, i in vocabulary.items() if (t.endswith(ending) if ending else t.startswith("Ġ"))]] = True
@@ -155,9 +182,13 @@ class Encoder:
             self.aside = (self.known, self.ids, self.ends)
             self._begin()
 
+    def whole(self, texts: list[str | None]) -> dict[int, list[int]]:
+        """Ids, by number, of texts that must not be cut into stretches."""
+        return {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if t and (not self.stretches or disputed(t))}
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has. A null text has none."""
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if t and disputed(t)}
+        whole = self.whole(texts)
         split = [STRETCH.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         self._turn()
         flat = list(chain.from_iterable(split))
