@@ -5,7 +5,8 @@ sequence is open at a time; the example that goes in next is the one, of those t
 whose weighted demand has the largest dot product with what the sequence has left. Each
 Spark partition packs its own examples from a pool of bounded size, so nothing is
 shuffled, a hot source is packed where it lies, and a lost executor repeats only its
-partitions. With ``cut``, examples may be cut: to fill a gap that nothing fits, and at a
+partitions. Instruction data come in through :func:`conversation_examples`, where all three demands
+differ; of a document each piece is one segment and all ids bear loss. With ``cut``, examples may be cut: to fill a gap that nothing fits, and at a
 partition's end, where the last tokens form sequences whose lengths are powers of two.
 
 Defined results: an example without tokens is left out (documents always have their end
@@ -24,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from contactloom.llm.common import batches, filled_id, python_ready, restored_id
 from contactloom.llm.tokens import encoder
@@ -33,11 +35,12 @@ from contactloom.llm.tokens import encoder
 class Limits:
     """What one sequence may hold, and how the packer works.
 
-    ``pool``: examples to choose from; ``least``: the shortest piece that a cut to fill a gap makes.
+    ``pool``: examples to choose from, or more where they are so small that these don't fill two
+    sequences; ``least``: the shortest piece that a cut to fill a gap makes.
     """
 
     tokens: int = 4096
-    segments: int = 512
+    segments: int = 4096
     loss_tokens: int = 4096
     pool: int = 512
     least: int = 16
@@ -49,6 +52,7 @@ class Packer:
     def __init__(self, limits: Limits, cut: bool):
         self.limits, self.cut = limits, cut
         self.capacity = np.array([limits.tokens, limits.segments, limits.loss_tokens], dtype=np.float64)
+        self.total = np.zeros(3)
         n = 2 * limits.pool + 2
         self.demand = np.zeros((n, 3))
         self.at: list[tuple | None] = [None] * n
@@ -71,20 +75,32 @@ class Packer:
             self.pieces.append((key, start, full, self.sequence, 0, False))
             self.sequence += 1
             start, tokens, loss = start + full, tokens - full, min(loss, tokens - full)
+        if not self.free:
+            n = len(self.at)
+            self.demand = np.concatenate([self.demand, np.zeros((n, 3))])
+            self.at += [None] * n
+            self.free += range(n, 2 * n)
         i = self.free.pop()
         self.demand[i] = tokens, segments, loss
+        self.total += self.demand[i]
         self.at[i] = (key, start)
-        if len(self) >= 2 * self.limits.pool:
-            while len(self) > self.limits.pool:
+        if len(self) >= 2 * self.limits.pool and self._plenty():
+            while len(self) > self.limits.pool and self._plenty():
                 self.fill()
 
+    def _plenty(self) -> bool:
+        """Whether the pool would fill two sequences by one of the limits."""
+        return bool((self.total >= 2 * self.capacity).any())
+
     def _take(self, i: int, n: int, offset: int) -> None:
         key, start = self.at[i]
         self.pieces.append((key, start, n, self.sequence, offset, False))
         left = int(self.demand[i, 0]) - n
+        self.total -= self.demand[i]
         if left:
             self.at[i] = (key, start + n)
             self.demand[i] = left, self.demand[i, 1], min(self.demand[i, 2], left)
+            self.total += self.demand[i]
         else:
             self.at[i] = None
             self.demand[i] = 0
@@ -174,6 +190,27 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, limits: Limits =
     return restored_id(docs.select(filled_id("doc_id"), "text").mapInPandas(pack, schema), "doc_id")
 
 
+def conversation_examples(turns: DataFrame, path: str, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """id, n_tokens, n_segments and n_loss of each conversation (conv_id) of a table of turns (role, text): the ids of
+    its texts with an end id for each turn, its turns, and the ids of turns of the ``learned`` roles.
+
+    Turns are counted where they lie and summed on the map side, so a conversation of any size is three numbers in
+    the shuffle. A null text has its end id alone, a turn of a null role isn't learned, turns without a conv_id are
+    one conversation with a null id.
+    """
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame["text"].tolist()
+            sizes = [encoder(path).encode(texts[a:b])[1] + 1 for a, b in batches(texts)]
+            n = np.concatenate([*sizes, np.zeros(0, dtype=np.int64)])
+            yield pd.DataFrame({"id": frame["id"], "n": n, "loss": np.where(frame["role"].isin(learned), n, 0)})
+
+    rows = python_ready(turns).select(F.col("conv_id").cast("string").alias("id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    counted = rows.mapInPandas(count, "id string, n long, loss long")
+    return counted.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_segments"), F.sum("loss").alias("n_loss"))
+
+
 def pack_examples(examples: DataFrame, limits: Limits = Limits(), id_column: str = "id") -> DataFrame:
     """Pack whole examples by their demands; none is cut.
 

@@ -19,6 +19,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packer of op2 on instruction data: whole conversations under limits on tokens, turns and learned tokens."""
+    examples = packing.conversation_examples(table(spark, sf_dir, "conversations"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_examples(examples, packing.Limits(segments=32, loss_tokens=2048))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "conversation_packing": conversation_packing,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
