@@ -279,9 +279,59 @@ def test_template_blocks_are_not_text(spark):
 
 
 def test_raw_content_is_not_markup():
-    for raw in ("<script>for(i=0;i<n;i++){s='a'}</script>", "<SCRIPT>if (a<b && c) x='\"'</Script >", "<style>a<b{}</style>", "<title>1 <a 'b</title>", "<script>'</scripts>'<!--</script>"):
-        blocks, _ = html_extraction.blocks_of(f"<body><p>one</p>{raw}<p>two</p></body>")
-        assert [b[2] for b in blocks] == ["one", "two"], raw
+    for raw in ("<script>for(i=0;i<n;i++){s='a'}</script>", "<SCRIPT>if (a<b && c) x='\"'</Script >", "<style>a<b{}</style>", "<title>1 <a 'b</title>", "<script>'</scripts>'<!--</script>", "<svg><p>x</p></svg>"):
+        assert html_extraction.parse_page(f"<body><p>one</p>{raw}<p>two</p></body>").texts == ["one", "two"], raw
+    assert html_extraction.parse_page("<p>one</p><noscript><p>two</p>").texts == ["one", "two"]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<a " * 1_700_000, "<a " * 1_700_000 + ">", "<div>x" * 100_000, "<a \"'" * 300_001 + ">", "<div>" * 50_000 + "</x></p>" * 50_000, "<span>" * 50_000 + "<div>a</div>" * 50_000, "<ul>" + "<li><span>" * 60_000, "<!--" * 500_000, "<p><b>" * 60_000):
+        html_extraction.parse_page(page)
+    assert time.process_time() - began < 60
+    deep = html_extraction.parse_page("<div>x" * 100_000)
+    assert len(deep.paths) == len(deep.texts) == 100_000
+
+
+def host_pages(rng, name, n, inside, start):
+    """Pages of a host, ``inside`` making the body of a page's own paragraphs; and their texts."""
+    rows, want = [], {}
+    for k in range(n):
+        own = [sentence(rng, rng.randint(12, 30)) for _ in range(rng.randint(2, 4))]
+        rows.append((start + k, f"http://{name}.example/{k}", f"<html><body>{inside(own, k)}</body></html>"))
+        want[start + k] = " ".join(own)
+    return rows, want
+
+
+def test_templates_tell_slots(spark):
+    rng = random.Random(12)
+    links = lambda: "".join(f"<a href='/{w}'>{w}</a> " for w in rng.sample(WORDS, 5))
+    text = lambda own: "".join(f"<p>{x}</p>" for x in own)
+    hosts = {
+        # a menu whose name says nothing, and names that mislead
+        "plain": lambda own, k: f"<div class=x9f>{links()}</div><div class=b2>{text(own)}</div>",
+        "names": lambda own, k: f"<div class='nav'>{links()}</div><div class='post related'>{text(own)}</div>",
+        "science": lambda own, k: f"<div class='social science'>{text(own)}<div class=related><p>{sentence(rng, 3)}</p></div></div>",
+        "form": lambda own, k: f"<form action=x><div class=page>{text(own)}<footer>{sentence(rng, 4)}</footer></div></form>",
+        # text outside of the article
+        "article": lambda own, k: f"<div class=q1><p>{sentence(rng, 6)}</p></div><article>{text(own)}</article>",
+        # two layouts, each with words of its own
+        "two": lambda own, k: f"<div class=a><p>Words of the first kind of page.</p>{text(own)}</div>" if k % 2 else f"<section><h2>Second kind of page</h2>{text(own)}</section>",
+        # links within an article are text
+        "list": lambda own, k: f"<article><div class=t>{text(own[:-1])}</div><ul><li><a href=x>{own[-1]}</a></ul></article>",
+    }
+    rows, want = [], {}
+    for i, (name, inside) in enumerate(hosts.items()):
+        a, b = host_pages(rng, name, 16, inside, 100 * i)
+        rows, want = rows + a, want | b
+    # an odd page among the others changes nothing
+    rows += [(900 + i, f"http://{name}.example/odd", f"<html><body><h3>Gone {i}</h3></body></html>") for i, name in enumerate(hosts)]
+    want |= {900 + i: f"Gone {i}" for i in range(len(hosts))}
+    found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    wrong = {k: (found[k], want[k]) for k in want if found[k] != want[k]}
+    assert not wrong, list(wrong.items())[:3]
 
 
 def test_slot_holds_all_text(spark):
