@@ -13,14 +13,18 @@ threshold; the groups are the connected components of the links.
 3. Star round: in each posting every class looks at the posting's most typical member. The
    star that a class meets most often is counted in full, then confirmed on the sets.
    Members of one star are one component; a posting within one component is done.
-4. Rest round: pairs from different components. Short postings give all such pairs. Members
-   of long postings are joined exactly on their shingles, by the prefix filter: sets over
+4. Rest round: pairs from different components that meet in short postings. Their collisions are merged: how
+   many there were, and the last places of the two at which one was. What can still come behind those
+   places is bounded, and a pair that can't reach ``matches`` any more is skipped. The coordinates behind the
+   prefix, whose lists are long, are never merged: the pairs that are left look them up, each in the other's signature.
+5. Members of long postings are joined exactly on their shingles, by the prefix filter: sets over
    the threshold share one of their rarest shingles at a place from which enough could
    follow. There classes outside the posting's largest component meet all others, so a large
    group of near copies never pairs with itself.
-5. Surviving pairs are confirmed on the full sets and the components joined.
+6. Surviving pairs are confirmed on the full sets and the components joined.
 
-Nothing is dropped: long postings take the exact way of step 4. Every table is written to
+Nothing is dropped: long postings take the exact way of step 5. Where one class is in very many pairs, as the centre
+of a great star is, its row is copied and its pairs spread over the copies. Every table is written to
 the shared folder; the driver holds counts and two arrays of fixed size.
 
 Defined results: a text without words has an empty set, is linked with nothing and kept;
@@ -54,6 +58,7 @@ class Settings:
     ``matches`` of ``coordinates`` is low enough that a pair at the threshold falls below it with
     probability under 1e-6. Postings over ``long`` members go the exact way. The tables of counts
     have ``token_slots`` and ``shingle_slots`` entries. ``broadcast_ids``: ids of a semi-join's small side.
+    A class in more than ``many`` pairs has its pairs spread over ``copies`` keys.
     """
 
     words: int = 5
@@ -64,6 +69,8 @@ class Settings:
     token_slots: int = 1 << 16
     shingle_slots: int = 1 << 18
     broadcast_ids: int = 500_000
+    many: int = 20_000
+    copies: int = 64
     seed: int = 17
 
 
@@ -161,7 +168,8 @@ def _slot_counts(rows: DataFrame, slots: int, tokens) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, settings: Settings) -> DataFrame:
-    """token, rep, n and how typical a class is (the mean log count of its tokens), for the prefix of each class."""
+    """token, rep, n, the token's place in the class's order and how typical a class is (the mean log count of its
+    tokens), for the prefix of each class."""
     counts = classes.sparkSession.sparkContext.broadcast(_slot_counts(classes.select("signature"), settings.token_slots, lambda f: _tokens(f["signature"], settings)))
     prefix = settings.coordinates - settings.matches + 1
 
@@ -175,15 +183,41 @@ def _postings(classes: DataFrame, settings: Settings) -> DataFrame:
             typical = np.log(often).mean(axis=1)
             kept = np.take_along_axis(tokens, order, axis=1)
             each = lambda c: np.repeat(c.to_numpy() if isinstance(c, pd.Series) else c, prefix)
-            yield pd.DataFrame({"token": kept.ravel(), "rep": each(frame["rep"]), "n": each(frame["n"]), "typical": each(typical)})
+            place = np.tile(np.arange(prefix, dtype=np.int32), len(frame))
+            yield pd.DataFrame({"token": kept.ravel(), "rep": each(frame["rep"]), "n": each(frame["n"]), "place": place, "typical": each(typical)})
 
-    return classes.select("rep", "n", "signature").mapInPandas(post, "token long, rep long, n long, typical double")
+    return classes.select("rep", "n", "signature").mapInPandas(post, "token long, rep long, n long, place int, typical double")
+
+
+def _merged(meetings: DataFrame, settings: Settings) -> DataFrame:
+    """a, b and ``met``, their collisions in the postings, from one row (a, b, place_a, place_b) for each. Tokens that
+    two classes share stand in the same order in both, so behind the last collision in the prefixes there are no more
+    than the coordinates left to either, and pairs that can't come to ``matches`` are skipped. (A pair that also meets in a
+    long posting may go here, as step 5 finds it.)"""
+    merged = meetings.groupBy("a", "b").agg(F.count("*").alias("met"), F.greatest(F.max("place_a"), F.max("place_b")).alias("_last"))
+    return merged.where(F.col("met") + (settings.coordinates - 1 - F.col("_last")) >= settings.matches).drop("_last")
+
+
+def _with(pairs: DataFrame, end: str, table: DataFrame, settings: Settings) -> DataFrame:
+    """``pairs`` joined to ``table`` (rep and other columns) on their column ``end``. A class in very many pairs
+    would make one task of them all: its row is copied and its pairs are spread."""
+    if pairs.count() <= settings.many:
+        return pairs.join(table.withColumnRenamed("rep", end), end)
+    often = stored(pairs.groupBy(end).count().where(F.col("count") > settings.many).select(F.col(end).alias("_often")), "often")
+    if not often.limit(1).count():
+        return pairs.join(table.withColumnRenamed("rep", end), end)
+    # no more classes than pairs / many
+    hot = F.broadcast(often)
+    spread = pairs.join(hot, F.col(end) == F.col("_often"), "left").withColumn("_copy", F.when(F.col("_often").isNotNull(), F.pmod(F.xxhash64("a", "b"), F.lit(settings.copies))).otherwise(F.lit(0)).cast("int")).drop("_often")
+    copies = F.when(F.col("_often").isNotNull(), F.sequence(F.lit(0), F.lit(settings.copies - 1))).otherwise(F.array(F.lit(0)))
+    rows = table.join(hot, F.col("rep") == F.col("_often"), "left").withColumn("_copy", F.explode(copies)).drop("_often")
+    return spread.join(rows.withColumnRenamed("rep", end), [end, "_copy"]).drop("_copy")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose signatures agree in at least ``matches`` coordinates."""
     marks = classes.select("rep", "signature")
-    both = pairs.join(marks.select(F.col("rep").alias("a"), F.col("signature").alias("_sa")), "a").join(marks.select(F.col("rep").alias("b"), F.col("signature").alias("_sb")), "b")
+    both = _with(_with(pairs.select("a", "b"), "a", marks.withColumnRenamed("signature", "_sa"), settings), "b", marks.withColumnRenamed("signature", "_sb"), settings)
 
     def agree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -215,7 +249,7 @@ def _sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame, settings: Set
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The pairs that are linked, by their full sets."""
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("_ma")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("_mb")), "b")
+    both = _with(_with(pairs, "a", sets.withColumnRenamed("members", "_ma"), settings), "b", sets.withColumnRenamed("members", "_mb"), settings)
 
     def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -317,28 +351,28 @@ def groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     postings = stored(_postings(classes, settings), "postings")
     star = postings.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("typical", (-F.col("rep")).alias("minus"))).alias("top")).where("size > 1")
     star = star.select("token", "size", (-F.col("top.minus")).alias("centre"))
-    postings = stored(postings.join(star, "token").select("token", "rep", "n", "size", "centre"), "postings")
+    postings = stored(postings.join(star, "token").select("token", "rep", "n", "place", "size", "centre"), "postings")
 
     # star round: of the centres that a class meets, the one it meets most often
     met = postings.where("rep <> centre").groupBy("rep", "centre").count()
     best = met.groupBy("rep").agg(F.max(F.struct("count", (-F.col("centre")).alias("minus"))).alias("top")).select(F.col("rep").alias("a"), (-F.col("top.minus")).alias("b"))
-    first = stored(_alike(best, classes, settings), "pairs")
+    first = stored(_alike(stored(best, "best"), classes, settings), "pairs")
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("rep"))
     trees = _roots(_confirmed(first, _sets_of(ends(first), classes, docs, settings), settings))
 
     # rest round: what lies between components
     placed = postings.join(trees, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("token")
-    placed = stored(placed.join(mixed, "token").select("token", "rep", "n", "size", "comp"), "postings")
+    placed = stored(placed.join(mixed, "token").select("token", "rep", "n", "place", "size", "comp"), "postings")
     short = placed.where(F.col("size") <= settings.long)
-    x, y = (short.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp")]) for s in "ab")
+    x, y = (short.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "place", "comp")]) for s in "ab")
     near = x.join(y, "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & _fits("n_a", "n_b", settings))
-    near = near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    rest = stored(_alike(near, classes, settings), "pairs")
+    near = near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "place_a", "place_b")
+    rest = stored(_alike(stored(_merged(near, settings), "merged"), classes, settings), "pairs")
     long = stored(placed.where(F.col("size") > settings.long).select("rep", "comp").distinct(), "members")
     sets = _sets_of(ends(rest).unionByName(long.select("rep")), classes, docs, settings)
     exact = _exact_pairs(long, sets.join(long.select("rep"), "rep", "left_semi"), settings)
-    more = _confirmed(rest.unionByName(exact).distinct(), sets, settings)
+    more = _confirmed(stored(rest.unionByName(exact).distinct(), "pairs"), sets, settings)
 
     root = lambda c: trees.select(F.col("rep").alias(c), F.col("comp").alias(f"root_{c}"))
     between = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))

@@ -138,8 +138,8 @@ def test_groups_equal_brute_force(spark):
     rows = near_rows()
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, rep int, n string").repartition(4)
     want = plain_groups(rows)
-    for long in (32, 4, 1):
-        found = {r.doc_id: r for r in minhash.groups(docs, minhash.Settings(long=long)).collect()}
+    for long, many in ((32, 20_000), (4, 3), (1, 20_000)):
+        found = {r.doc_id: r for r in minhash.groups(docs, minhash.Settings(long=long, many=many)).collect()}
         assert {i: (r.n_shingles, r.component_id) for i, r in found.items()} == want, long
         assert all(r.kept == (r.doc_id == r.component_id) for r in found.values())
 
