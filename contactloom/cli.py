@@ -45,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
         verb(name, path, (("--stats",), {"action": "store_true"}))
     verb("validate", path, (("--level",), {"choices": ["quick", "full"], "default": "quick"}), (("--max-issues",), {"type": int, "default": 100}))
     verb("stats", path, quality)
-    shown = [path, quality, region, mode, (("--columns",), {}), (("--no-header",), {"action": "store_true"})]
+    shown = [path, quality, region, mode, (("--index",), {"choices": ["auto", "off", "require"], "default": "auto"}), (("--columns",), {}), (("--no-header",), {"action": "store_true"})]
     verb("head", *shown, (("-n", "--limit"), {"type": int, "default": 10}))
     verb("view", *shown, (("-n", "--limit"), {"type": int, "default": 100}), (("--all",), {"action": "store_true"}))
     for name in ("export", "query"):
@@ -60,11 +60,11 @@ def parser() -> argparse.ArgumentParser:
 def _shown(spark: SparkSession, a: argparse.Namespace):
     data = dataset.open_dataset(spark, a.path)
     regions = [parse_region(r, data.contig_numbers()) for r in a.region] if a.region else None
-    complete = getattr(a, "filter_mode", "") == "complete_reads"
-    if data.kind == "pairs":
-        return data, query.query_pairs(data.scan(0 if regions else a.min_mapq, ordered=not data.native), regions, a.min_mapq, a.pairs_mode)
-    rows = data.scan(0, complete, ordered=not data.native)
-    return data, query.query_alignments(rows, regions, a.min_mapq, "complete_reads" if complete else "matching_alignments")
+    filter_mode = getattr(a, "filter_mode", "matching_alignments")
+    if regions:
+        return data, index.region_query(data, regions, a.min_mapq, a.pairs_mode, filter_mode, getattr(a, "index", "auto"), ordered=True)[0]
+    rows = data.scan(a.min_mapq, filter_mode == "complete_reads", ordered=True)
+    return data, query.query_pairs(rows, None, a.min_mapq) if data.kind == "pairs" else query.query_alignments(rows, None, a.min_mapq, filter_mode)
 
 
 def convert(spark: SparkSession, a: argparse.Namespace, mode: str) -> dict:
@@ -72,8 +72,12 @@ def convert(spark: SparkSession, a: argparse.Namespace, mode: str) -> dict:
         if not a.bin_size:
             raise InvalidInput("--bin-size is needed")
         size = bin_size(a.bin_size)
-        data = dataset.open_dataset(spark, a.path)
-        contigs, pairs = data.contig_table(), data.scan()
+        if Folder(spark, a.path).is_folder():
+            data = dataset.open_dataset(spark, a.path)
+            contigs, pairs = data.contig_table(), data.scan()
+        else:
+            pairs, named = paf.read_pairs_text(spark, a.path, a.contigsizes, a.min_mapq)
+            contigs = contig_frame(spark, named)
         pixels = binning.pixels(pairs, contigs, size, a.min_mapq)
         tables = {"chroms": contigs.select(F.col("contig").alias("name"), "length"), "bins": binning.bin_table(contigs, size), "pixels": pixels.repartitionByRange("bin1", "bin2").sortWithinPartitions("bin1", "bin2"), "chrom_offset": binning.chrom_offset(contigs, size)}
         for name, table in tables.items():
@@ -83,8 +87,7 @@ def convert(spark: SparkSession, a: argparse.Namespace, mode: str) -> dict:
         return {"mode": mode, "format": "cool-tables", "output": a.output, "bin_size": size} | binning.cool_summary(pairs, contigs, size, a.min_mapq).first().asDict()
     if mode == "concat2pairs":
         data = dataset.open_dataset(spark, a.path)
-        rows = data.scan(complete=True, ordered=True) if not data.native else data.scan().withColumns({"_shard": F.lit(0), "_row": F.monotonically_increasing_id()})
-        rows = rows.withColumn("source_row", F.struct("_shard", "_row"))
+        rows = data.scan(complete=True, ordered=True).withColumn("source_row", F.struct("_shard", "_row"))
         pairs, contigs, kind = expand.expand(rows, a.min_mapq, a.min_order or 2, a.max_order), data.contigs, "pairs"
         return {"output": a.output, "mode": mode, "format": kind, "counts": dataset.write_dataset(pairs, a.output, kind, contigs)}
     wants_pairs = mode.endswith("pairs")
@@ -145,7 +148,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
             raise InvalidInput(f"unknown contig: {unknown[0]}")
         chroms = [numbers[c][0] for c in a.chrom] if a.chrom else None
         regions = [parse_region(r, numbers) for r in a.region] if a.region else None
-        rows = data.scan(complete=True, ordered=not data.native)
+        whole = data.kind == "concat" and a.mode == "complete_reads"
+        rows = data.scan(0 if whole else a.min_mapq, whole, ordered=True)
         if data.kind == "pairs":
             rows = subset.subset_pairs(rows, a.min_mapq, chroms, regions, a.read_id, a.pairs_mode)
         else:
@@ -163,7 +167,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         if len({d.kind for d in sets}) > 1:
             raise InvalidInput("pairs and concat don't merge")
         union = [(r["contig"], r["length"]) for r in merge.contig_union([d.contig_table() for d in sets]).orderBy("new_id").collect()]
-        parts = [(d.scan(complete=True), d.contig_table()) for d in sets]
+        parts = [(d.scan(complete=True, ordered=True), d.contig_table()) for d in sets]
         rows = merge.merge_pairs(parts) if sets[0].kind == "pairs" else merge.merge_alignments(parts)
         sources = [{"schema_version": 1, "source_index": i, "path_label": d.path, "format_version": d.metadata["format-version"], "input_read_id_scope": d.scope, "input_records": str(parts[i][0].count())} for i, d in enumerate(sets)]
         lines = "".join(to_json(s) + "\n" for s in sources)

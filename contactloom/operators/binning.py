@@ -7,10 +7,11 @@ one number for each contig on top.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.schema import InvalidInput
+from contactloom.session import stored
 
 
 def bin_counts(contigs: DataFrame, bin_size: int) -> DataFrame:
@@ -35,7 +36,19 @@ def bin_table(contigs: DataFrame, bin_size: int) -> DataFrame:
 
 def pixels(pairs: DataFrame, contigs: DataFrame, bin_size: int, min_mapq: int = 0, check_positions: bool = True) -> DataFrame:
     """bin1 <= bin2 and the number of pairs. Low quality goes before positions are checked."""
-    rows = pairs.where(F.col("mapq") >= min_mapq) if min_mapq else pairs
+    rows = pairs.where(skipped(pairs, min_mapq).isNull()) if min_mapq or "skip" in pairs.columns else pairs
+    return _binned(rows, contigs, bin_size, check_positions).select("bin1", "bin2", "count")
+
+
+def skipped(pairs: DataFrame, min_mapq: int) -> Column:
+    """Why a pair isn't binned ('unmapped' or 'mapq'), or null. Pairs text says so in ``skip``."""
+    reason = F.when(F.col("mapq") < min_mapq, "mapq")
+    return F.coalesce("skip", reason) if "skip" in pairs.columns else reason
+
+
+def _binned(rows: DataFrame, contigs: DataFrame, bin_size: int, check_positions: bool = True) -> DataFrame:
+    """_skip, bin1, bin2 and count; rows with a reason to be skipped (column _skip) have no bins."""
+    why = F.col("_skip") if "_skip" in rows.columns else F.lit(None).cast("string")
     where = contigs.select("contig_id", "length").join(chrom_offset(contigs, bin_size), "contig_id")
     for side in (1, 2):
         own = where.select(F.col("contig_id").alias(f"chrom{side}_id"), F.col("offset").alias(f"_offset{side}"), F.col("length").alias(f"_length{side}"))
@@ -44,31 +57,41 @@ def pixels(pairs: DataFrame, contigs: DataFrame, bin_size: int, min_mapq: int =
     def bin_of(side: int):
         at = F.col(f"_offset{side}") + F.expr(f"(pos{side} - 1) div {bin_size}")
         if not check_positions:
-            return at
+            return F.when(why.isNull(), at)
         outside = F.coalesce((F.col(f"pos{side}") < 1) | (F.col(f"pos{side}") > F.col(f"_length{side}")), F.lit(True))
-        return F.when(outside, F.raise_error(F.concat(F.lit("position outside its contig: "), F.col(f"pos{side}").cast("string"))).cast("bigint")).otherwise(at)
+        return F.when(why.isNotNull(), None).when(outside, F.raise_error(F.concat(F.lit("position outside its contig: "), F.col(f"pos{side}").cast("string"))).cast("bigint")).otherwise(at)
 
-    ends = rows.select(bin_of(1).alias("_x"), bin_of(2).alias("_y"))
-    return ends.groupBy(F.least("_x", "_y").alias("bin1"), F.greatest("_x", "_y").alias("bin2")).agg(F.count("*").alias("count"))
+    ends = rows.select(why.alias("_skip"), bin_of(1).alias("_x"), bin_of(2).alias("_y"))
+    return ends.groupBy("_skip", F.least("_x", "_y").alias("bin1"), F.greatest("_x", "_y").alias("bin2")).agg(F.count("*").alias("count"))
 
 
 def bin1_offset(pixels_: DataFrame, contigs: DataFrame, bin_size: int) -> DataFrame:
     """For each bin, and one past the last, the number of pixels whose first bin lies before it."""
     bins = bin_table(contigs, bin_size).select("contig_id", F.col("bin_id").alias("bin1"))
+    # written once: the pixels behind it may be dear, and it has one row for each bin
     counts = bins.join(pixels_.groupBy("bin1").agg(F.count("*").alias("_n")), "bin1", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    counts = stored(counts, "bin-counts")
     own = Window.partitionBy("contig_id").orderBy("bin1").rowsBetween(Window.unboundedPreceding, -1)
     per = counts.groupBy("contig_id").agg(F.sum("_n").alias("_all"))
     before = per.select("contig_id", F.coalesce(F.sum("_all").over(Window.orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     out = counts.withColumn("_within", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(F.broadcast(before), "contig_id")
     out = out.select("bin1", (F.col("_before") + F.col("_within")).cast("bigint").alias("offset"))
     end = bin_counts(contigs, bin_size).agg(F.coalesce(F.sum("n_bins"), F.lit(0)).cast("bigint").alias("bin1"))
-    total = pixels_.agg(F.count("*").alias("offset"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("offset"))
     return out.unionByName(end.join(F.broadcast(total), F.lit(True)).select("bin1", "offset"))
 
 
 def cool_summary(pairs: DataFrame, contigs: DataFrame, bin_size: int, min_mapq: int = 0) -> DataFrame:
-    """One row: nnz, sum, nbins, nchroms, input_records, skipped_mapq."""
-    found = pixels(pairs, contigs, bin_size, min_mapq).agg(F.count("*").alias("nnz"), F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("sum"))
-    seen = pairs.agg(F.count("*").alias("input_records"), F.count(F.when(F.col("mapq") < min_mapq, 1)).alias("skipped_mapq"))
+    """One row, from one pass over the pairs: nnz, sum, nbins, nchroms, input_records, skipped_mapq, skipped_unmapped."""
+    found = _binned(pairs.withColumn("_skip", skipped(pairs, min_mapq)), contigs, bin_size)
+    rows = lambda test: F.coalesce(F.sum(F.when(test, F.col("count"))), F.lit(0)).cast("bigint")
+    kept = F.col("_skip").isNull()
+    totals = found.agg(
+        F.count(F.when(kept, 1)).alias("nnz"),
+        rows(kept).alias("sum"),
+        rows(F.lit(True)).alias("input_records"),
+        rows(F.col("_skip") == "mapq").alias("skipped_mapq"),
+        rows(F.col("_skip") == "unmapped").alias("skipped_unmapped"),
+    )
     size = bin_counts(contigs, bin_size).agg(F.coalesce(F.sum("n_bins"), F.lit(0)).cast("bigint").alias("nbins"), F.count("*").alias("nchroms"))
-    return found.join(F.broadcast(seen), F.lit(True)).join(F.broadcast(size), F.lit(True))
+    return totals.join(F.broadcast(size), F.lit(True))

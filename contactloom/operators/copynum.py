@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -10,6 +12,8 @@ from contactloom.sources.files import Folder
 
 FILE = "cn.info"
 MOST = (1 << 64) - 1
+#: The number of a contig for which none is declared.
+DEFAULT = 1
 
 
 class CopyNumberError(ValueError):
@@ -26,31 +30,31 @@ class CopyNumbers:
     explicit: dict[str, int]
     contigs: tuple[str, ...]
 
-    def effective(self, contig: str) -> int:
-        if contig not in self.contigs:
-            raise CopyNumberError("CN_UNKNOWN_CONTIG", contig)
-        return self.explicit.get(contig, 1)
-
     def report(self) -> dict:
-        return {"present": self.present, "explicit": dict(self.explicit), "declaration_count": len(self.explicit), "default": 1, "contigs": [{"contig": c, "copy_number": self.effective(c)} for c in self.contigs]}
+        every = dict.fromkeys(self.contigs, DEFAULT) | self.explicit
+        rows = [{"contig": c, "copy_number": n} for c, n in every.items()]
+        return {"present": self.present, "explicit": self.explicit, "declaration_count": len(self.explicit), "default": DEFAULT, "contigs": rows}
+
+
+def value_of(contig: str, value: str | int, contigs: set[str]) -> int:
+    """The number that is declared for a contig, given as a whole number or its digits."""
+    if contig not in contigs:
+        raise CopyNumberError("CN_UNKNOWN_CONTIG", contig)
+    number = int(value) if isinstance(value, str) and re.fullmatch("[0-9]+", value) else value
+    if type(number) is not int or number not in range(1, MOST + 1) or re.search(r"^#|[\s\0]|^$", contig):
+        raise CopyNumberError("CN_VALUE", f"{contig}: {value}")
+    return number
 
 
 def parse(text: str, contigs: list[str]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for line in text.splitlines():
-        fields = line.split()
-        if not fields or fields[0].startswith("#"):
-            continue
-        if len(fields) != 2:
-            raise CopyNumberError("CN_FORMAT", f"two fields are expected: {line!r}")
-        name, value = fields
-        if not (value.isascii() and value.isdigit()) or not 1 <= int(value) <= MOST:
-            raise CopyNumberError("CN_VALUE", f"{name}: {value}")
-        if name not in contigs:
-            raise CopyNumberError("CN_UNKNOWN_CONTIG", name)
-        if name in out:
-            raise CopyNumberError("CN_DUPLICATE", name)
-        out[name] = int(value)
+    """Declarations, one a line: contig and number. Blank lines and comments count for nothing."""
+    known = set(contigs)
+    rows = [f for f in map(str.split, text.splitlines()) if f and f[0][0] != "#"]
+    if wrong := [f for f in rows if len(f) != 2]:
+        raise CopyNumberError("CN_FORMAT", f"a line has a contig and a number: {' '.join(wrong[0])}")
+    out = {contig: value_of(contig, value, known) for contig, value in rows}
+    if len(out) < len(rows):
+        raise CopyNumberError("CN_DUPLICATE", next(c for c, n in Counter(f[0] for f in rows).items() if n > 1))
     return out
 
 
@@ -64,13 +68,10 @@ def read(spark: SparkSession, path: str, contigs: list[str]) -> CopyNumbers:
 
 
 def replace(spark: SparkSession, path: str, contigs: list[str], numbers: dict[str, int]) -> CopyNumbers:
-    """Declare exactly these."""
-    for name, value in numbers.items():
-        if name not in contigs:
-            raise CopyNumberError("CN_UNKNOWN_CONTIG", name)
-        if name.startswith("#") or "\0" in name or name.split() != [name] or isinstance(value, bool) or not isinstance(value, int) or not 1 <= value <= MOST:
-            raise CopyNumberError("CN_VALUE", f"{name}: {value}")
-    Folder(spark, path).write(FILE, "".join(f"{n}\t{v}\n" for n, v in sorted(numbers.items())))
+    """Declare exactly these: the file is replaced in one step."""
+    known = set(contigs)
+    lines = [f"{contig}\t{value_of(contig, numbers[contig], known)}\n" for contig in sorted(numbers)]
+    Folder(spark, path).write(FILE, "".join(lines))
     return read(spark, path, contigs)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from contactloom.operators import copynum, stats
 from contactloom.operators.validate import counts, read_issues, row_issues, sequence_mismatches
 from contactloom.sources import metadata as meta
-from contactloom.sources.dataset import DECLARED, Dataset, open_dataset
+from contactloom.sources.dataset import DECLARED, Dataset, open_dataset, read_buckets
 from contactloom.sources.files import Folder
 
 COORDINATES = {"pairs": "1-based", "concat": "0-based half-open"}
@@ -133,6 +134,9 @@ def validate(spark: SparkSession, path: str, level: str = "quick", max_issues: i
         issue("UNSUPPORTED_ID_SCOPE", str(data["read_idx_scope"]), file="_metadata")
     if not isinstance(data.get("chunksize", 1), int) or data.get("chunksize", 1) < 1:
         issue("INVALID_CHUNKSIZE", str(data.get("chunksize")), file="_metadata")
+    for name, kind in (("creation_time", str), ("is_with_mapq", bool), ("complete_groups", bool), ("q1_min_mapq", int)):
+        if name in data and type(data[name]) is not kind:
+            issue("INVALID_METADATA_FIELD", f"{name}: {data[name]!r}", file="_metadata")
     if issues:
         return report()
     try:
@@ -149,7 +153,11 @@ def validate(spark: SparkSession, path: str, level: str = "quick", max_issues: i
         copynum.read(spark, path, [n for n, _ in opened.contigs])
     except copynum.CopyNumberError as e:
         issue(e.code, str(e), file=copynum.FILE)
-    declared = declared_counts(spark, path)
+    try:
+        declared = declared_counts(spark, path)
+    except ValueError as e:
+        declared = {}
+        issue("INSPECTION_FAILED", f"the counts can't be read: {e}", "incomplete", file="_metadata_counts")
     try:
         seen = {k.replace("_reads", "_concats"): int(v or 0) for k, v in counts(opened.scan()).first().asDict().items()}
     except Exception as e:  # a file that can't be decoded, in whatever way
@@ -161,30 +169,45 @@ def validate(spark: SparkSession, path: str, level: str = "quick", max_issues: i
         elif declared[k] != v:
             issue("COUNT_MISMATCH", f"{k}: {declared[k]} declared, {v} found", file="_metadata_counts")
     done.append("counts")
-    if level == "full" and not opened.native:
-        rows = opened.scan(ordered=True)
-        files = opened.shards()
-        found = row_issues(rows, opened.contig_table())
-        n = found.groupBy("code").count().collect()
-        for r in found.orderBy("_shard", "_row").limit(max_issues).collect():
-            issue(r["code"], "a row breaks a condition", file=f"q0/{files[r['_shard']]}", row=r["_row"] + 1)
-        total += max(0, sum(r["count"] for r in n) - max_issues)
-        done.append("row values")
-        if opened.kind == "concat":
-            for r in read_issues(rows).limit(max_issues).collect():
-                issue(r["code"], "reads are out of order or differ in length", file=f"q0/{files[r['_shard']]}", row=r["_row"] + 1)
-        done.append("read groups")
-        q = "mapq" if opened.kind == "pairs" else "mapping_quality"
-        copy = Dataset(spark, path, opened.kind, opened.metadata, opened.contigs, False)
-        second = copy.scan(1, ordered=True) if opened.shards("q1") else rows.limit(0)
-        if opened.scope == "global":
-            wrong = sequence_mismatches(rows.where(F.col(q) >= 1), second).count()
+    if level == "full":
+        try:
+            full_scan(opened, seen, issue, done, max_issues)
+        except Exception as e:  # whatever keeps the rows from being read to their end
+            issue("SCAN_FAILED", str(e)[:300], "incomplete")
+    return report({"records": seen})
+
+
+def full_scan(data: Dataset, seen: dict[str, int], issue: Callable, done: list[str], most: int) -> None:
+    """What every row says: its values, the order of reads, and the two qualities against each other. Rows are named by
+    their file (of the exchange layout) or writing task (of the native one), and by their number in it."""
+    rows = data.scan(ordered=True)
+    q = "mapq" if data.kind == "pairs" else "mapping_quality"
+    files = [] if data.native else data.shards()
+    where = lambda r: {"file": f"q0/{files[r['_shard']]}" if files else f"task {r['_shard']}", "row": r["_row"] + 1}
+    for what, name, found in (("a row breaks a condition", "row values", row_issues(rows, data.contig_table())), ("reads are out of order or differ in length", "read groups", read_issues(rows) if data.kind == "concat" else None)):
+        if found is not None:
+            first = found.orderBy("_shard", "_row").limit(most).collect()
+            for k, r in enumerate(first):
+                # the last one stands for those that aren't shown as well
+                issue(r["code"], what, n=found.count() - k if k == most - 1 else 1, **where(r))
+        done.append(name)
+    if data.native:
+        for quality, low in (("qbucket=1", True), ("qbucket=0", False)):
+            wrong = read_buckets(data.spark, data.path, data.kind).where((F.col("qbucket") == int(low)) & ((F.col(q) < 1) if low else (F.col(q) >= 1))).count()
+            if wrong:
+                issue("Q1_MAPQ", f"{wrong} rows lie in {quality}", n=wrong)
+    else:
+        # the copy as it lies there, before any filter
+        second = [f"{data.path}/q1/{f}" for f in data.shards("q1")]
+        raw = data.spark.read.parquet(*second) if second else None
+        if raw is not None and (wrong := raw.where(F.col(q) < 1).count()):
+            issue("Q1_MAPQ", f"{wrong} rows of q1 have no quality", n=wrong)
+        copied = raw.count() if raw is not None else 0
+        if copied != seen["q1_records"]:
+            issue("SCANNED_COUNT_MISMATCH", f"q1 has {copied} rows, q0 {seen['q1_records']} with a quality")
+        if data.scope == "global":
+            copy = data.scan(1, ordered=True) if second else rows.limit(0)
+            wrong = sequence_mismatches(rows.where(F.col(q) >= 1), copy).count()
             if wrong:
                 issue("Q0_Q1_SEQUENCE_MISMATCH", f"{wrong} places differ", "incomplete")
-        done.append("q0/q1 sequence")
-    elif level == "full":
-        rows = opened.scan().withColumns({"_shard": F.lit(0), "_row": F.monotonically_increasing_id()})
-        for r in row_issues(rows, opened.contig_table()).limit(max_issues).collect():
-            issue(r["code"], "a row breaks a condition", row=r["_row"] + 1)
-        done.append("row values")
-    return report({"records": seen})
+    done.append("q0/q1 sequence")

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contactloom.schema import InvalidInput
@@ -85,9 +85,8 @@ def endpoint(regions: list[Region], side: int) -> Column:
 
 def semi_join(rows: DataFrame, regions: list[Region], contig: str, start: Column, end: Column) -> DataFrame:
     """Rows that overlap, for region lists too long to be written out: a broadcast left semi join on the
-    contig with the range as its residual. The list came from the caller, so its size is known."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(r.contig_id, r.start, r.end) for r in merged(regions)], "_contig int, _start bigint, _end bigint")
+    contig with the range as its residual."""
+    table = interval_table(rows.sparkSession, regions)
     return rows.join(F.broadcast(table), (F.col(contig) == F.col("_contig")) & (start < F.col("_end")) & (end > F.col("_start")), "left_semi")
 
 
@@ -101,11 +100,18 @@ def filter_pairs(pairs: DataFrame, regions: list[Region], mode: str = "either")
     in_region = lambda df, n: semi_join(df, regions, f"chrom{n}_id", F.col(f"pos{n}") - 1, F.col(f"pos{n}"))
     if mode == "both":
         return in_region(in_region(pairs, 1), 2)
-    # rows of the second part are those whose first end is in no region, so none comes twice
-    spark = pairs.sparkSession
-    table = spark.createDataFrame([(r.contig_id, r.start, r.end) for r in merged(regions)], "_contig int, _start bigint, _end bigint")
-    test = (F.col("chrom1_id") == F.col("_contig")) & (F.col("pos1") - 1 < F.col("_end")) & (F.col("pos1") > F.col("_start"))
-    return in_region(pairs, 1).unionByName(in_region(pairs.join(F.broadcast(table), test, "left_anti"), 2))
+    # one pass: merged intervals of a contig are disjoint, so each end meets at most one and no row comes twice
+    table = interval_table(pairs.sparkSession, regions)
+    for n in (1, 2):
+        own = table.select(*[F.col(c).alias(f"{c}{n}") for c in table.columns])
+        test = (F.col(f"chrom{n}_id") == F.col(f"_contig{n}")) & (F.col(f"pos{n}") - 1 < F.col(f"_end{n}")) & (F.col(f"pos{n}") > F.col(f"_start{n}"))
+        pairs = pairs.join(F.broadcast(own), test, "left")
+    return pairs.where("_contig1 is not null or _contig2 is not null").drop(*[f"{c}{n}" for c in table.columns for n in (1, 2)])
+
+
+def interval_table(spark: SparkSession, regions: list[Region]) -> DataFrame:
+    """The merged intervals. The list came from the caller, so its size is known and it may be broadcast."""
+    return spark.createDataFrame([(r.contig_id, r.start, r.end) for r in merged(regions)], "_contig int, _start bigint, _end bigint")
 
 
 def filter_alignments(rows: DataFrame, regions: list[Region]) -> DataFrame:

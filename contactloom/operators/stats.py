@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lower bounds of the distance classes of pairs within a contig, with their names. Fixed values.
@@ -35,13 +35,17 @@ def pairs_summary(pairs: DataFrame, min_mapq: int = 0) -> DataFrame:
     return pairs.agg(*quality_counts(pairs, "mapq", min_mapq), same.alias("cis_records"), other.alias("trans_records"), _ratio(same, n).alias("cis_fraction"), _ratio(other, n).alias("trans_fraction"))
 
 
-def distances(pairs: DataFrame, min_mapq: int = 0) -> DataFrame:
-    """bucket and n for all distance classes, empty ones included."""
+def distance_class() -> Column:
     gap = F.abs(F.col("pos1") - F.col("pos2"))
     name = F.lit(DISTANCES[0][1])
     for low, label in DISTANCES[1:]:
         name = F.when(gap >= low, label).otherwise(name)
-    found = pairs.where((F.col("mapq") >= min_mapq) & (F.col("chrom1_id") == F.col("chrom2_id"))).groupBy(name.alias("bucket")).agg(F.count("*").alias("_n"))
+    return name
+
+
+def distances(pairs: DataFrame, min_mapq: int = 0) -> DataFrame:
+    """bucket and n for all distance classes, empty ones included."""
+    found = pairs.where((F.col("mapq") >= min_mapq) & (F.col("chrom1_id") == F.col("chrom2_id"))).groupBy(distance_class().alias("bucket")).agg(F.count("*").alias("_n"))
     names = pairs.sparkSession.createDataFrame([(n,) for _, n in DISTANCES], "bucket string")
     return names.join(found, "bucket", "left").select("bucket", F.coalesce("_n", F.lit(0)).alias("n"))
 
@@ -105,21 +109,47 @@ def reasons(rows: DataFrame, min_mapq: int = 0) -> DataFrame:
     return rows.where(F.col("mapping_quality") >= min_mapq).groupBy("filter_reason").agg(F.count("*").alias("n"))
 
 
-def report(rows: DataFrame, contigs: DataFrame, path: str, min_mapq: int = 0) -> dict:
-    """The whole statistics report. What reaches the driver are counts: contigs, qualities, orders, reasons."""
+def tagged(rows: DataFrame, min_mapq: int = 0) -> DataFrame:
+    """tag, key and n: every histogram of the rows in one pass and one aggregate with sums on the map side. Keys are
+    contigs, qualities, reasons, strands and distance classes, so there are few."""
     pairs = "chrom1_id" in rows.columns
-    chosen = rows.where(F.col("mapq" if pairs else "mapping_quality") >= min_mapq)
-    out = {"path": path, "format": "pairs" if pairs else "concat", "source_quality": "q0", "min_mapq": min_mapq}
-    out |= (pairs_summary if pairs else concat_summary)(rows, min_mapq).first().asDict()
-    out["mapq_histogram"] = [r["n"] for r in mapq_histogram(chosen).orderBy("mapq").collect()]
-    order = {r["contig"]: r["contig_id"] for r in contigs.collect()}
-    out["per_contig"] = sorted(({"contig": r["contig"], "count": r["n"]} for r in per_contig(rows, contigs, min_mapq).collect()), key=lambda r: order[r["contig"]])
-    out["per_contig_unit"] = "endpoints" if pairs else "alignments"
-    table = lambda df, key: {str(r[key]): r["n"] for r in sorted(df.collect(), key=lambda r: str(r[key]))}
+    quality = F.col("mapq" if pairs else "mapping_quality")
+    entry = lambda tag, key: F.struct(F.lit(tag).alias("tag"), key.cast("string").alias("key"))
     if pairs:
-        out["cis_distance_bp"] = table(distances(rows, min_mapq), "bucket")
-        out["strand_pairs"] = table(strand_pairs(rows, min_mapq), "strands")
+        cis = F.col("chrom1_id") == F.col("chrom2_id")
+        chosen = [entry("contig", F.col("chrom1_id")), entry("contig", F.col("chrom2_id")), entry("strands", F.concat("strand1", "strand2")), entry("cis", cis), entry("distance", F.when(cis, distance_class()).otherwise("none"))]
     else:
-        out["read_order_histogram"] = table(read_orders(rows, min_mapq), "order")
-        out["filter_reasons"] = table(reasons(rows, min_mapq), "filter_reason")
+        chosen = [entry("contig", F.col("chrom_id")), entry("reason", F.col("filter_reason"))]
+    entries = F.when(quality >= min_mapq, F.array(entry("mapq", quality), *chosen)).otherwise(F.array(entry("below", F.lit("all"))))
+    return rows.select(F.explode(entries).alias("e")).groupBy("e.tag", "e.key").agg(F.count("*").alias("n"))
+
+
+def report(rows: DataFrame, contigs: DataFrame, path: str, min_mapq: int = 0) -> dict:
+    """The whole statistics report: pairs are read once, alignments once more for their reads and once for sums of
+    floating numbers. What reaches the driver are counts: contigs, qualities, orders, reasons."""
+    pairs = "chrom1_id" in rows.columns
+    found: dict[str, dict[str, int]] = {}
+    for r in tagged(rows, min_mapq).collect():
+        found.setdefault(r["tag"], {})[r["key"]] = r["n"]
+    of = lambda tag: dict(sorted(found.get(tag, {}).items()))
+    qualities = {int(q): n for q, n in of("mapq").items()}
+    chosen, below = sum(qualities.values()), sum(of("below").values())
+    part = lambda n, of_all: n / of_all if of_all else None
+    out = {
+        "path": path, "format": "pairs" if pairs else "concat", "source_quality": "q0", "min_mapq": min_mapq,
+        "scanned_records": chosen + below, "selected_records": chosen, "filtered_records": below, "selected_fraction": part(chosen, chosen + below),
+        "mapq_zero_fraction": part(qualities.get(0, 0), chosen), "mapq_ge30_fraction": part(sum(n for q, n in qualities.items() if q >= 30), chosen),
+        "mapq_histogram": [qualities.get(q, 0) for q in range(256)],
+        "per_contig": [{"contig": r["contig"], "count": of("contig").get(str(r["contig_id"]), 0)} for r in contigs.orderBy("contig_id").collect()],
+        "per_contig_unit": "endpoints" if pairs else "alignments",
+    }
+    if pairs:
+        same, other = of("cis").get("true", 0), of("cis").get("false", 0)
+        out |= {"cis_records": same, "trans_records": other, "cis_fraction": part(same, chosen), "trans_fraction": part(other, chosen)}
+        out["cis_distance_bp"] = {name: of("distance").get(name, 0) for _, name in DISTANCES}
+        out["strand_pairs"] = of("strands")
+        return out
+    out |= concat_summary(rows, min_mapq).first().asDict()
+    out["read_order_histogram"] = {str(r["order"]): r["n"] for r in sorted(read_orders(rows, min_mapq).collect(), key=lambda r: str(r["order"]))}
+    out["filter_reasons"] = of("reason")
     return out

@@ -13,20 +13,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.operators.query import quality
-from contactloom.operators.regions import Region, overlaps
+from contactloom.operators.regions import LITERAL_REGIONS, Region, filter_alignments, filter_pairs, merged, overlaps
 from contactloom.schema import InvalidInput
 
 MOST_IDS, MOST_ID_BYTES = 100_000, 4 << 20
 LITERAL_IDS = 200
 
 
-def _place(contig: str, start: Column, end: Column, chroms: list[int] | None, regions: list[Region] | None) -> Column | None:
-    tests = []
+def _at_end(contig: str, start: Column, end: Column, chroms: list[int] | None, regions: list[Region] | None) -> Column:
+    """Whether contigs and (few) regions hold at one end."""
+    tests = [F.lit(True)]
     if chroms is not None:
         tests.append(F.col(contig).isin(chroms) if chroms else F.lit(False))
     if regions is not None:
         tests.append(overlaps(regions, F.col(contig), start, end))
-    return reduce(lambda a, b: a & b, tests) if tests else None
+    return reduce(lambda a, b: a & b, tests)
+
+
+def _within(regions: list[Region] | None, chroms: list[int] | None) -> tuple[list[Region] | None, list[int] | None]:
+    """Both conditions as one where there are regions: those that lie in one of the contigs."""
+    if regions is None or chroms is None:
+        return regions, chroms
+    return [r for r in regions if r.contig_id in set(chroms)], None
 
 
 def _by_id(rows: DataFrame, column: str, ids: list | None) -> DataFrame:
@@ -48,18 +56,24 @@ def subset_pairs(pairs: DataFrame, min_mapq: int = 0, chroms: list[int] | None =
     if mode not in ("either", "both"):
         raise InvalidInput(f"pairs mode is 'either' or 'both', not {mode!r}")
     rows = _by_id(quality(pairs, min_mapq), "read_id", read_ids)
-    ends = [_place(f"chrom{n}_id", F.col(f"pos{n}") - 1, F.col(f"pos{n}"), chroms, regions) for n in (1, 2)]
-    if ends[0] is None:
+    if chroms is None and regions is None:
         return rows
-    return rows.where(ends[0] | ends[1] if mode == "either" else ends[0] & ends[1])
+    regions, chroms = _within(regions, chroms)
+    if regions is not None and len(merged(regions)) > LITERAL_REGIONS:
+        return filter_pairs(rows, regions, mode)
+    one, two = (_at_end(f"chrom{n}_id", F.col(f"pos{n}") - 1, F.col(f"pos{n}"), chroms, regions) for n in (1, 2))
+    return rows.where(one | two if mode == "either" else one & two)
 
 
 def subset_alignments(
     rows: DataFrame, min_mapq: int = 0, chroms: list[int] | None = None, regions: list[Region] | None = None, read_ids: list[int] | None = None, mode: str = "matching_alignments"
 ) -> DataFrame:
     found = _by_id(quality(rows, min_mapq), "read_idx", read_ids)
-    place = _place("chrom_id", F.col("start_pos"), F.col("end_pos"), chroms, regions)
-    found = found if place is None else found.where(place)
+    regions, chroms = _within(regions, chroms)
+    if regions is not None and len(merged(regions)) > LITERAL_REGIONS:
+        found = filter_alignments(found, regions)
+    else:
+        found = found.where(_at_end("chrom_id", F.col("start_pos"), F.col("end_pos"), chroms, regions))
     if mode == "matching_alignments":
         return found
     if mode != "complete_reads":

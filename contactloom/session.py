@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one is set only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``. Where it isn't set, a session whose
+    executors run in the driver's own process gets a temporary one; a cluster's would be written to folders that no other machine
+    sees, so that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="shared-")
+    return folder.rstrip("/")
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

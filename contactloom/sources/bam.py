@@ -1,7 +1,8 @@
 """BAM files as a Spark data source, decoded in Python.
 
 One task reads one file, streaming its compressed blocks; records leave in Arrow-sized
-batches. Paths have to be readable where executors run.
+batches. Files of any scheme that Arrow's file systems know (``s3://``, ``gs://``, ``hdfs://``) are read
+through them, others have to be readable where executors run.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -24,35 +26,47 @@ TAG_BYTES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 TAG_CODE = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I"}
 
 
+def opened(path: str):
+    scheme = path.partition("://")[0] if "://" in path else "file"
+    if scheme == "file":
+        return open(path.removeprefix("file://"), "rb")
+    own, place = fs.FileSystem.from_uri(path)
+    return own.open_input_stream(place)
+
+
 def inflated(path: str) -> Iterator[bytes]:
-    """The uncompressed blocks of a file of gzip members."""
-    with open(path, "rb") as f:
-        state, rest = zlib.decompressobj(31), f.read(1 << 16)
+    """The uncompressed blocks of a file of gzip members. A member without its end is an error."""
+    with opened(path) as f:
+        rest = f.read(1 << 16)
         if rest[:4] == b"CRAM":
             raise ValueError("CRAM isn't supported")
         while rest:
-            out = state.decompress(rest)
-            if out:
-                yield out
-            if state.eof:
-                rest = state.unused_data or f.read(1 << 16)
-                state = zlib.decompressobj(31)
-            else:
-                rest = f.read(1 << 16)
-        if state.unconsumed_tail:
-            raise ValueError("the file is cut off")
+            state = zlib.decompressobj(31)
+            while not state.eof:
+                if not rest:
+                    raise ValueError("the file is cut off")
+                if out := state.decompress(rest):
+                    yield out
+                rest = state.unused_data if state.eof else f.read(1 << 16)
+            rest = rest or f.read(1 << 16)
 
 
 class Stream:
     def __init__(self, path: str):
         self.blocks, self.data = inflated(path), b""
 
+    def more(self) -> bool:
+        """Whether a byte follows."""
+        while not self.data and (block := next(self.blocks, None)) is not None:
+            self.data = block
+        return bool(self.data)
+
     def take(self, n: int) -> bytes:
         parts, have = [self.data], len(self.data)
         while have < n:
             block = next(self.blocks, None)
             if block is None:
-                raise EOFError
+                raise ValueError("the file is cut off")
             parts.append(block)
             have += len(block)
         joined = b"".join(parts)
@@ -128,12 +142,8 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         stream, ordinal = Stream(partition.value), 0
         header(stream)
-        while True:
-            try:
-                size = stream.number()
-            except EOFError:
-                return
-            yield record(stream.take(size), ordinal, self.with_identity)
+        while stream.more():
+            yield record(stream.take(stream.number()), ordinal, self.with_identity)
             ordinal += 1
 
 
@@ -148,11 +158,11 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"].removeprefix("file://"), self.options.get("identity", "true") == "true")
+        return _Reader(self.options["path"], self.options.get("identity", "true") == "true")
 
 
 def read_bam(spark: SparkSession, path: str, identity: bool = True) -> tuple[DataFrame, list[tuple[str, int]]]:
     """Records for imports and the contigs of the header."""
     spark.dataSource.register(BamSource)
-    contigs = header(Stream(path.removeprefix("file://")))
+    contigs = header(Stream(path))
     return spark.read.format("bam").option("identity", str(identity).lower()).load(path), contigs

@@ -3,7 +3,8 @@
 Two layouts are read. In the exchange layout ``q0/`` has all rows and ``q1/`` a second copy
 of those with quality; contigs are names, integers unsigned. In the native layout rows lie
 once, under ``qbucket=0`` and ``qbucket=1``, with contig numbers and signed integers, so a
-quality bound prunes a partition and positions prune row groups.
+quality bound prunes a partition and positions prune row groups; ``_ord`` holds the place of each row in the
+dataset's order, which survives the split: the writing task above, the row in it below.
 """
 
 from __future__ import annotations
@@ -11,18 +12,28 @@ from __future__ import annotations
 import datetime
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.operators.ids import logical_ids
+from contactloom.operators.ids import logical_ids, shard_offsets
 from contactloom.operators.query import quality
 from contactloom.operators.validate import counts
 from contactloom.schema import CONCAT_COLUMNS, CONCAT_DDL, PAIRS_COLUMNS, PAIRS_DDL, InvalidInput, checked
+from contactloom.session import stored
 from contactloom.sources import metadata as meta
 from contactloom.sources.files import Folder, checked_contigs, contig_frame
 
+#: Bits of ``_ord`` that count the rows of a task.
+ROW_BITS = 33
+#: Columns that give the order of rows that are to be written.
+ORDER = ("source", "_shard", "_row")
+
 #: Exchange column names of our columns.
 NAMES = {
     "pairs": {"read_idx": "read_id", "chrom1": "chrom1_id", "chrom2": "chrom2_id"},
@@ -67,7 +78,8 @@ class Dataset:
         if self.native:
             rows = read_buckets(self.spark, self.path, self.kind, files)
             rows = rows.withColumn("_file", F.col("_metadata.file_name")) if with_file else rows
-            return quality(rows, 0 if complete else min_mapq).select(*columns, *(["_file"] if with_file else []))
+            rows = rows.withColumns({"_shard": F.shiftright("_ord", ROW_BITS).cast("int"), "_row": F.col("_ord").bitwiseAND((1 << ROW_BITS) - 1)}) if ordered else rows
+            return quality(rows, 0 if complete else min_mapq).select(*columns, *(["_shard", "_row"] if ordered else []), *(["_file"] if with_file else []))
         name = "q1" if min_mapq and not complete and not local else "q0"
         shards = self.shards(name)
         taken = shards if files is None else [f.rpartition("/")[2] for f in files]
@@ -99,7 +111,7 @@ class Dataset:
 
 def read_buckets(spark: SparkSession, path: str, kind: str, files: list[str] | None = None) -> DataFrame:
     """Rows of the native layout with ``qbucket``; the folders are named, as the dataset's own files lie beside them."""
-    ddl = (PAIRS_DDL if kind == "pairs" else CONCAT_DDL) + ", qbucket int"
+    ddl = (PAIRS_DDL if kind == "pairs" else CONCAT_DDL) + ", _ord bigint, qbucket int"
     found = [f"{path}/qbucket={q}" for q in (0, 1) if Folder(spark, f"{path}/qbucket={q}").exists()]
     found = found if files is None else [f"{path}/{f}" for f in files]
     return spark.read.schema(ddl).option("basePath", path).parquet(*found) if found else spark.createDataFrame([], ddl)
@@ -131,7 +143,9 @@ def codec(name: str = "zstd", level: int | None = None) -> dict[str, str]:
 def write_dataset(rows: DataFrame, path: str, kind: str, contigs: list[tuple[str, int]], layout: str = "native", chunk_size: int = 1_000_000, compression: str = "zstd", level: int | None = None, sidecars: dict[str, str] | None = None) -> dict:
     """Check every row and write a dataset that appears whole or not at all; returns its counts.
 
-    Alignments of a read stay in one file: they are partitioned by read before files are cut.
+    Rows keep the order of ``source``, ``_shard`` and ``_row`` where they have such columns, else that in which they
+    come. In the exchange layout no shard has more than ``chunk_size`` rows, but for one that a longer read has to itself:
+    a read's alignments stay in one shard.
     """
     spark = rows.sparkSession
     checked_contigs(contigs)
@@ -142,33 +156,41 @@ def write_dataset(rows: DataFrame, path: str, kind: str, contigs: list[tuple[str
         raise FileExistsError(path)
     part = Folder(spark, f"{path}.partial-{uuid.uuid4().hex[:8]}")
     columns = PAIRS_COLUMNS if kind == "pairs" else CONCAT_COLUMNS
-    order = [c for c in ("_shard", "_row") if c in rows.columns]
+    order = [c for c in ORDER if c in rows.columns]
     rows = checked(rows.select(*columns, *order), contig_frame(spark, contigs))
     try:
         q = "mapq" if kind == "pairs" else "mapping_quality"
-        if kind == "concat":
+        contig_columns = ("chrom1_id", "chrom2_id") if kind == "pairs" else ("chrom_id",)
+        if layout == "exchange":
+            for c in contig_columns:
+                own = contig_frame(spark, contigs).select(F.col("contig_id").alias(c), F.col("contig").alias("_name"))
+                rows = rows.join(F.broadcast(own), c).withColumn(c, F.col("_name")).drop("_name")
+        # the sort comes last: Spark drops one that has a join behind it
+        if kind == "concat" and layout == "exchange":
+            rows = in_chunks(rows, chunk_size, order)
+        elif kind == "concat":
             rows = rows.repartitionByRange("read_idx").sortWithinPartitions("read_idx", *order)
         elif order:
             rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        options = codec(compression, level) | ({"maxRecordsPerFile": str(chunk_size)} if kind == "pairs" else {})
+        options = codec(compression, level) | ({"maxRecordsPerFile": str(chunk_size)} if kind == "pairs" or layout == "native" else {})
         if layout == "native":
-            rows.drop(*order).withColumn("qbucket", (F.col(q) >= 1).cast("int")).write.options(**options).partitionBy("qbucket").parquet(part.path)
+            rows.drop(*order).withColumns({"_ord": F.monotonically_increasing_id(), "qbucket": (F.col(q) >= 1).cast("int")}).write.options(**options).partitionBy("qbucket").parquet(part.path)
             written = read_buckets(spark, part.path, kind)
         elif layout == "exchange":
             names = {new: old for old, new in NAMES[kind].items()}
-            out = rows.drop(*order)
-            for c in ("chrom1_id", "chrom2_id") if kind == "pairs" else ("chrom_id",):
-                own = contig_frame(spark, contigs).select(F.col("contig_id").alias(c), F.col("contig").alias("_name"))
-                out = out.join(F.broadcast(own), c).withColumn(c, F.col("_name")).drop("_name")
-            out = out.select(*[F.col(c).alias(names.get(c, c)) for c in columns])
-            out.write.options(**options).parquet(f"{part.path}/q0")
+            out = rows.select(*[F.col(c).alias(names.get(c, c)) for c in columns], *(["_chunk"] if kind == "concat" else []))
+            if kind == "concat":
+                out.write.options(**options).partitionBy("_chunk").parquet(f"{part.path}/q0")
+            else:
+                out.write.options(**options).parquet(f"{part.path}/q0")
             _number_shards(Folder(spark, f"{part.path}/q0"))
-            written = spark.read.schema(out.schema).parquet(f"{part.path}/q0")
+            written = spark.read.schema(out.drop("_chunk").schema).parquet(f"{part.path}/q0")
             # the second copy has the order of the first, file by file
             number = F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).cast("int")
             copy = written.withColumns({"_shard": number, "_row": F.col("_metadata.row_index")}).where(F.col(q) >= 1)
-            copy = copy.repartitionByRange("_shard", "_row").sortWithinPartitions("_shard", "_row").drop("_shard", "_row")
-            copy.write.options(**options).parquet(f"{part.path}/q1")
+            # and its shards: fewer rows each, so none is too large and no read is split
+            copy = copy.withColumnRenamed("_shard", "_chunk").repartition("_chunk").sortWithinPartitions("_chunk", "_row").drop("_row")
+            copy.write.options(**options).partitionBy("_chunk").parquet(f"{part.path}/q1")
             _number_shards(Folder(spark, f"{part.path}/q1"))
         else:
             raise InvalidInput(f"no such layout: {layout!r}")
@@ -187,12 +209,44 @@ def write_dataset(rows: DataFrame, path: str, kind: str, contigs: list[tuple[str
     return found
 
 
+def in_chunks(rows: DataFrame, chunk_size: int, order: list[str]) -> DataFrame:
+    """Alignments with ``_chunk``, numbers of shards in the order of the reads, one task and file for each. Reads are
+    counted and cut into chunks within range partitions; the driver adds up one number for each of these."""
+    reads = rows.groupBy("read_idx").agg(F.count("*").alias("_n")).repartitionByRange("read_idx").sortWithinPartitions("read_idx")
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, chunk, used = TaskContext.get().partitionId(), 0, 0
+        for frame in frames:
+            ends, at = np.cumsum(frame["_n"].to_numpy()), 0
+            chunks, begun = np.empty(len(ends), dtype=np.int64), -used
+            while at < len(ends):
+                start = int(ends[at - 1]) if at else 0
+                to = int(np.searchsorted(ends, begun + chunk_size, side="right"))
+                if to <= at and begun < start:
+                    # the open chunk has rows and none of the reads left fits
+                    chunk, begun = chunk + 1, start
+                    continue
+                to = max(to, at + 1)
+                chunks[at:to] = chunk
+                at = to
+            used = int(ends[-1] - begun) if len(ends) else used
+            yield pd.DataFrame({"read_idx": frame["read_idx"], "_shard": part, "_local": chunks})
+
+    kind = rows.schema["read_idx"].dataType.simpleString()
+    found = stored(reads.mapInPandas(cut, f"read_idx {kind}, _shard int, _local bigint"), "chunks")
+    offsets = shard_offsets(found.groupBy("_shard").agg((F.max("_local") + 1).alias("_n")), "_n")
+    found = found.join(F.broadcast(offsets), "_shard").select("read_idx", (F.col("_before") + F.col("_local")).alias("_chunk"))
+    return rows.join(found, "read_idx").repartition("_chunk").sortWithinPartitions("_chunk", "read_idx", *order)
+
+
 def _number_shards(folder: Folder) -> None:
-    parts = sorted(n for n, _ in folder.names() if re.match(r"part-\d+", n))
+    """Parts, or those of folders ``_chunk=…``, become ``0.parquet``, ``1.parquet``, … in their order."""
+    chunks = sorted(int(n.removeprefix("_chunk=")) for n, _ in folder.names() if n.startswith("_chunk="))
+    parts = [f"_chunk={c}/{n}" for c in chunks for n, _ in folder.names(f"_chunk={c}") if n.startswith("part-")] or sorted(n for n, _ in folder.names() if re.match(r"part-\d+", n))
     for i, n in enumerate(parts):
         folder.rename(n, f"{i}.parquet")
     for n, _ in folder.names():
-        if n.startswith(("_SUCCESS", ".")):
+        if n.startswith(("_SUCCESS", ".", "_chunk=")):
             folder.remove(n)
 
 

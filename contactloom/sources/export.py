@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import uuid
 
 from pyspark.sql import DataFrame
@@ -49,8 +50,8 @@ def header_lines(form: str, columns: list[str], contigs: list[tuple[str, int]])
 
 
 def export(rows: DataFrame, path: str, kind: str, contigs: list[tuple[str, int]], form: str | None = None, columns: list[str] | None = None, limit: int | None = None, header: bool = True, one_file: bool = True) -> dict:
-    """Write text, gzipped if the name ends in .gz. ``one_file``: the driver streams partition after partition into
-    one file; else executors write a folder of ordered parts."""
+    """Write text, gzipped if the name ends in .gz. Executors write ordered parts; with ``one_file`` their bytes are then
+    joined within the JVM (gzip members make one gzip file), else they stay a folder."""
     form = form or kind
     if form not in ("pairs", "concat", "tsv") or form != "tsv" and form != kind:
         raise InvalidInput(f"{kind} can't be written as {form}")
@@ -65,27 +66,26 @@ def export(rows: DataFrame, path: str, kind: str, contigs: list[tuple[str, int]]
     if order:
         body = body.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
     head = header_lines(form, columns, contigs) if header else []
+    packed = path.endswith(".gz")
+    where = path if not one_file else f"{path}.parts-{uuid.uuid4().hex[:8]}"
+    body.write.option("compression", "gzip" if packed else "none").text(where)
+    out = {"format": form, "records": spark.read.text(where).count(), "output": path, "columns": columns}
     if not one_file:
-        body.write.option("compression", "gzip" if path.endswith(".gz") else "none").text(path)
-        return {"format": form, "records": spark.read.text(path).count(), "output": path, "columns": columns}
-    part = Folder(spark, f"{path}.partial-{uuid.uuid4().hex[:8]}")
-    jvm, n = spark.sparkContext._jvm, 0
-    stream = part.fs.create(part._at(""), True)
-    if path.endswith(".gz"):
-        stream = jvm.java.util.zip.GZIPOutputStream(stream)
+        return out
+    parts, whole = Folder(spark, where), Folder(spark, f"{path}.partial-{uuid.uuid4().hex[:8]}")
+    begin = "".join(f"{line}\n" for line in head).encode()
     try:
-        buffer = [f"{line}\n" for line in head]
-        for row in body.toLocalIterator(prefetchPartitions=True):
-            buffer.append(f"{row.value}\n")
-            n += 1
-            if len(buffer) >= 20_000:
-                stream.write(bytearray("".join(buffer).encode()))
-                buffer = []
-        stream.write(bytearray("".join(buffer).encode()))
-        stream.close()
-        part.move_to(path)
+        stream = whole.fs.create(whole._at(""), True)
+        try:
+            stream.write(bytearray(gzip.compress(begin) if packed else begin))
+            for name in sorted(n for n, _ in parts.names() if n.startswith("part-")):
+                parts.append_to(stream, name)
+        finally:
+            stream.close()
+        whole.move_to(path)
     except BaseException:
-        stream.close()
-        part.remove()
+        whole.remove()
         raise
-    return {"format": form, "records": n, "output": path, "columns": columns}
+    finally:
+        parts.remove()
+    return out

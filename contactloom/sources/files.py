@@ -60,8 +60,39 @@ class Folder:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        self.fs.delete(self._at(name), False)
-        self.fs.rename(part, self._at(name))
+        self._put(part, self._at(name))
+
+    def _put(self, old, new) -> None:
+        """Rename over what is there, in one step of the file system."""
+        hadoop = self._jvm.org.apache.hadoop.fs
+        rename = getattr(hadoop, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        context = hadoop.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(old), context.makeQualified(new), over)
+
+    def size(self, name: str) -> int:
+        return self.fs.getFileStatus(self._at(name)).getLen()
+
+    def footer(self, name: str) -> bytes:
+        """The footer of a Parquet file: its metadata, their length and the closing sign."""
+        size = self.fs.getFileStatus(self._at(name)).getLen()
+        stream = self.fs.open(self._at(name))
+        try:
+            stream.seek(max(0, size - 8))
+            tail = bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            stream.seek(max(0, size - 8 - int.from_bytes(tail[:4], "little")))
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def append_to(self, stream, name: str) -> None:
+        """Copy a file's bytes to an open stream, within the JVM."""
+        own = self.fs.open(self._at(name))
+        try:
+            self._jvm.org.apache.commons.io.IOUtils.copyLarge(own, stream)
+        finally:
+            own.close()
 
     def rename(self, old: str, new: str) -> None:
         if not self.fs.rename(self._at(old), self._at(new)):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row
 
@@ -29,6 +29,6 @@ def batches(rows: DataFrame, batch_rows: int = 65_536, boundary: str = "rows") -
         if out and len(out) + len(read) > batch_rows:
             yield out
             out = []
-        out = list(chain(out, read))
+        out.extend(read)
     if out:
         yield out

@@ -62,16 +62,20 @@ def test_region_boundaries_duplicates_and_modes(contacts):
     assert query.query_pairs(contacts, None, 30).count() == 3
 
 
-def test_many_regions_equal_few(spark):
-    rng = random.Random(71291)
-    rows = [(str(i), rng.randrange(2), rng.randint(1, 1000), rng.randrange(2), rng.randint(1, 1000), "+", "-", rng.randrange(61)) for i in range(240)]
-    df = pairs_of(spark, rows).repartition(3)
-    for mode in ("either", "both"):
-        for n in (1, 3, 90):
-            own = [Region(rng.randrange(2), s, s + rng.randint(1, 40 if n < 90 else 4)) for s in rng.sample(range(900), n)]
-            inside = lambda c, p, own=own: any(r.contig_id == c and r.start < p <= r.end for r in own)
-            want = sorted(r[0] for r in rows if (inside(r[1], r[2]) or inside(r[3], r[4]) if mode == "either" else inside(r[1], r[2]) and inside(r[3], r[4])))
-            assert sorted(r.read_id for r in query.query_pairs(df, own, 0, mode).collect()) == want
+def test_region_lists_of_any_length(spark):
+    rng = random.Random(408)
+    places = [(f"p{k}", *(v for _ in range(2) for v in (rng.choice([0, 1, 4]), rng.randint(1, 3000))), "+", "+", 7) for k in range(150)]
+    rows = pairs_of(spark, places)
+    for count in (2, 70, 200):
+        own = [Region(rng.choice([0, 4]), at, at + rng.choice([1, 5, 12])) for at in (rng.randrange(2900) for _ in range(count))]
+        covered = {(r.contig_id, p) for r in own for p in range(r.start + 1, r.end + 1)}
+        ends = {name: [(c, p) in covered for c, p in ((a, b), (d, e))] for name, a, b, d, e, *_ in places}
+        for mode, holds in (("either", any), ("both", all)):
+            want = sorted(name for name, hit in ends.items() if holds(hit))
+            assert sorted(r.read_id for r in query.query_pairs(rows, own, 0, mode).collect()) == want
+            assert sorted(r.read_id for r in subset.subset_pairs(rows, regions=own, mode=mode).collect()) == want
+            within = {name: [h and c == 4 for h, c in zip(ends[name], (a, d), strict=True)] for name, a, _, d, *_ in places}
+            assert sorted(r.read_id for r in subset.subset_pairs(rows, chroms=[4], regions=own, mode=mode).collect()) == sorted(n for n, hit in within.items() if holds(hit))
 
 
 def test_complete_reads_keep_low_quality_rows(spark):
@@ -93,48 +97,91 @@ def test_subset_conditions(contacts, spark):
         n(read_ids=[1])
 
 
-def expand_rows(spark):
-    a = (7, 200, 50, 60, "+", 0, 2, 30, 30, 0.9, "", 0)
-    b = (7, 200, 0, 10, "-", 0, 0, 1, 0, 0.9, "", 1)
-    c = (7, 200, 20, 30, "+", 0, BIG, BIG + 10, 30, 0.9, "", 2)
-    return concat_of(spark, [a, b, c, (9, 200, 0, 10, "+", 1, 0, 10, 60, 0.9, "", 3)])
-
-
-def test_expand(spark):
-    rows = expand_rows(spark)
-    found = got(expand.expand(rows), "read_id", "pos1", "pos2", "mapq")
-    assert found == [("7:0:1", 1, BIG + 6, 0), ("7:0:2", 1, 17, 0), ("7:1:2", BIG + 6, 17, 30)]
-    count = lambda **k: expand.expand(rows, **k).count()
-    assert [count(min_mapq=1, max_order=3), count(max_order=3), count(min_mapq=61), count(min_order=4)] == [1, 0, 0, 0]
-    for n in (1, 3, 17):
-        assert got(expand.expand(rows.repartition(n)), "read_id", "pos1", "pos2", "mapq") == found
-
-
-def test_binning(spark):
-    contigs = contigs_of(spark, ("a", 25), ("b", 12), ("unused", 10))
-    rows = [("1", 0, 1, 0, 21, 10), ("2", 0, 25, 0, 1, 20), ("3", 0, 11, 0, 20, 20), ("4", 0, 11, 1, 1, 30), ("5", 1, 11, 0, 21, 30), ("6", 0, 21, 1, 12, 0), ("7", 1, 12, 1, 11, 40)]
-    pairs = pairs_of(spark, [(i, c, p, d, q, "+", "+", m) for i, c, p, d, q, m in rows])
-    pixels = binning.pixels(pairs, contigs, 10)
-    assert got(pixels, "bin1", "bin2", "count") == [(0, 2, 2), (1, 1, 1), (1, 3, 1), (2, 4, 2), (4, 4, 1)]
-    assert got(binning.chrom_offset(contigs, 10), "contig_id", "offset") == [(0, 0), (1, 3), (2, 5)]
-    assert [x for _, x in got(binning.bin1_offset(pixels, contigs, 10), "bin1", "offset")] == [0, 1, 3, 4, 4, 5, 5]
-    s = binning.cool_summary(pairs, contigs, 10, 20).first()
-    assert (s["sum"], s["nnz"], s["skipped_mapq"], s["nbins"]) == (5, 5, 2, 6)
-    with pytest.raises(Exception, match="outside its contig"):
-        binning.pixels(pairs_of(spark, [("x", 0, 26, 0, 1, "+", "+", 9)]), contigs, 10).collect()
+def random_alignments(rng, reads, contigs, longest):
+    """Rows of reads with one to six alignments, some at the same place in the read."""
+    rows = []
+    for read in range(1, reads + 1):
+        for _ in range(rng.randint(1, 6)):
+            contig, at, size = rng.randrange(contigs), rng.randrange(longest), rng.randint(1, 90)
+            begin = 50 * rng.randrange(4)
+            rows.append((read, 1000, begin, begin + 40, rng.choice("+-"), contig, at, at + size, rng.choice([0, 5, 20, 44]), 0.75, "pass", len(rows)))
+    return rows
 
 
-def test_pair_statistics(spark):
-    contigs = contigs_of(spark, ("a", 2_000_000), ("b", 2_000_000))
-    rows = pairs_of(spark, [("1", 0, 5, 0, 5, "+", "+", 0), ("2", 0, 1, 0, 1001, "+", "-", 30), ("3", 0, 1, 1, 7, "-", "+", 60), ("4", 1, 1, 1, 1_000_001, "-", "-", 20)])
-    s = stats.pairs_summary(rows).first()
-    assert (s.scanned_records, s.cis_records, s.trans_records, s.cis_fraction, s.mapq_zero_fraction, s.mapq_ge30_fraction) == (4, 3, 1, 0.75, 0.25, 0.5)
-    assert {r.bucket: r.n for r in stats.distances(rows).collect()} == {"0-999": 1, "1000-9999": 1, "10000-99999": 0, "100000-999999": 0, "1000000+": 1}
-    assert got(stats.per_contig(rows, contigs), "contig", "n") == [("a", 5), ("b", 3)]
-    empty = stats.pairs_summary(rows, 255).first()
-    assert empty.cis_fraction is None and empty.filtered_records == 4
-    report = stats.report(rows, contigs, "x")
-    assert sum(report["mapq_histogram"]) == 4 and report["per_contig"][0] == {"contig": "a", "count": 5}
+def test_expansion_equals_a_double_loop(spark):
+    alignments = random_alignments(random.Random(77), 40, 3, BIG)
+    rows = concat_of(spark, alignments)
+
+    def plain(min_mapq=0, min_order=2, max_order=None):
+        out = []
+        for read in sorted({r[0] for r in alignments}):
+            own = sorted((r for r in alignments if r[0] == read and r[8] >= min_mapq), key=lambda r: (r[2], r[11]))
+            if len(own) >= max(min_order, 2) and (max_order is None or len(own) < max_order):
+                middle = [(r[6] + r[7]) // 2 + 1 if (r[7] - r[6]) % 2 == 0 else r[6] + (r[7] - r[6]) // 2 + 1 for r in own]
+                out += [(f"{read}:{i}:{j}", own[i][5], middle[i], own[j][5], middle[j], own[i][4], own[j][4], min(own[i][8], own[j][8])) for i in range(len(own)) for j in range(i + 1, len(own))]
+        return sorted(out)
+
+    columns = ("read_id", "chrom1_id", "pos1", "chrom2_id", "pos2", "strand1", "strand2", "mapq")
+    for options in ({}, {"min_mapq": 20}, {"min_order": 3, "max_order": 5}, {"min_mapq": 5, "max_order": 3}, {"min_mapq": 45}):
+        assert got(expand.expand(rows.repartition(4), **options), *columns) == plain(**options)
+
+
+def test_matrices_equal_a_plain_count(spark):
+    rng, sizes, width = random.Random(31), [("x", 47), ("nil", 8), ("y", 130), ("z", 9)], 8
+    contigs = contigs_of(spark, *sizes)
+    ends = lambda: (lambda c: (c, rng.randint(1, sizes[c][1])))(rng.choice([0, 2, 3]))
+    rows = [(f"m{k}", *ends(), *ends(), "-", "+", rng.randrange(40)) for k in range(300)]
+    bins = [(c, a) for c, (_, n) in enumerate(sizes) for a in range(0, n, width)]
+    number = {b: k for k, b in enumerate(bins)}
+    for q in (0, 15):
+        want: dict = {}
+        for _, c, p, d, r, _, _, m in rows:
+            if m >= q:
+                key = tuple(sorted((number[c, (p - 1) // width * width], number[d, (r - 1) // width * width])))
+                want[key] = want.get(key, 0) + 1
+        pixels = binning.pixels(pairs_of(spark, rows), contigs, width, q)
+        assert got(pixels, "bin1", "bin2", "count") == sorted((*k, n) for k, n in want.items())
+        before = [sum(k[0] < b for k in want) for b in range(len(bins) + 1)]
+        assert got(binning.bin1_offset(pixels, contigs, width), "bin1", "offset") == list(enumerate(before))
+        s = binning.cool_summary(pairs_of(spark, rows), contigs, width, q).first().asDict()
+        low = sum(r[7] < q for r in rows)
+        assert s == {"nnz": len(want), "sum": 300 - low, "input_records": 300, "skipped_mapq": low, "skipped_unmapped": 0, "nbins": len(bins), "nchroms": 4}
+    assert got(binning.chrom_offset(contigs, width), "contig_id", "offset") == [(c, number[c, 0]) for c in range(4)]
+    outside = pairs_of(spark, [("m", 1, 9, 0, 1, "+", "+", 9)])
+    with pytest.raises(Exception, match="outside its contig"):
+        binning.pixels(outside, contigs, width).collect()
+    assert binning.pixels(outside, contigs, width, 10).count() == 0
+
+
+def test_pair_statistics_equal_a_plain_count(spark):
+    rng = random.Random(64)
+    contigs = contigs_of(spark, ("long", 9_000_000), ("short", 5_000), ("none", 10))
+    top = (9_000_000, 5_000)
+    rows = []
+    for k in range(400):
+        a = rng.randrange(2)
+        b = a if rng.random() < 0.7 else 1 - a
+        p = rng.randint(1, top[a])
+        r = min(top[a], p + rng.choice([0, 999, 1000, 20_000, 99_999, 100_000, 999_999, 1_000_000])) if a == b else rng.randint(1, top[b])
+        rows.append((f"s{k}", a, p, b, r, rng.choice("+-"), rng.choice("+-"), rng.choice([0, 12, 29, 30, 41])))
+    frame = pairs_of(spark, rows)
+    for q in (0, 12, 42):
+        own = [r for r in rows if r[7] >= q]
+        cis = [abs(r[4] - r[2]) for r in own if r[1] == r[3]]
+        part = lambda n, own=own: n / len(own) if own else None
+        bounds = [0, 1_000, 10_000, 100_000, 1_000_000, 1 << 60]
+        classes = [sum(low <= d < high for d in cis) for low, high in zip(bounds, bounds[1:], strict=False)]
+        s = stats.pairs_summary(frame, q).first()
+        assert (s.scanned_records, s.selected_records, s.filtered_records, s.cis_records, s.trans_records) == (400, len(own), 400 - len(own), len(cis), len(own) - len(cis))
+        assert (s.cis_fraction, s.mapq_zero_fraction, s.mapq_ge30_fraction) == (part(len(cis)), part(sum(r[7] == 0 for r in own)), part(sum(r[7] >= 30 for r in own)))
+        found = {r.bucket: r.n for r in stats.distances(frame, q).collect()}
+        assert [found[name] for _, name in stats.DISTANCES] == classes
+        ends = [sum(r[1] == c for r in own) + sum(r[3] == c for r in own) for c in range(3)]
+        assert got(stats.per_contig(frame, contigs, q), "contig", "n") == sorted(zip(("long", "short", "none"), ends, strict=True))
+        report = stats.report(frame, contigs, "x", q)
+        assert {k: report[k] for k in s.asDict()} == s.asDict() and sum(report["mapq_histogram"]) == len(own)
+        assert [r["count"] for r in report["per_contig"]] == ends and list(report["cis_distance_bp"].values()) == classes
+        assert sum(report["strand_pairs"].values()) == len(own) and report["strand_pairs"].get("+-", 0) == sum(r[5:7] == ("+", "-") for r in own)
 
 
 def test_concat_statistics(spark):
@@ -153,19 +200,36 @@ def test_logical_ids(spark):
     assert [r.logical_id for r in found] == [1, 1, 2, 3, 3, 4, 5, 6]
 
 
-def test_import_order_and_positions(spark):
+def test_imports_equal_a_double_loop(spark):
+    rng = random.Random(90)
     ddl = "rg string, name string, mate int, flag int, read_start bigint, strand string, chrom_id int, start_pos bigint, end_pos bigint, mapping_quality smallint, ordinal bigint"
-    rows = [("", "z", 0, 0, 20, "-", 0, 20, 30, 0, 0), ("", "single", 0, 0, 0, "+", 0, 0, 10, 30, 1), ("", "z", 0, 0, 0, "+", 1, 50, 60, 30, 2), ("", "z", 0, 0, 10, "+", 0, 0, 10, 30, 3)]
-    records = spark.createDataFrame(rows, ddl)
-    columns = ("read_id", "chrom1_id", "pos1", "chrom2_id", "pos2", "strand1", "strand2", "mapq")
-    assert got(imports.import_pairs(records), *columns) == [("z:0:1", 0, 1, 1, 51, "+", "+", 30), ("z:0:2", 0, 21, 1, 51, "-", "+", 0), ("z:1:2", 0, 1, 0, 21, "+", "-", 0)]
-    five = {r.read_id: r.pos1 for r in imports.import_pairs(records, five_prime=True).collect()}
-    assert five["z:0:2"] == 30
-    s = imports.import_statistics(records, min_order=2, by_mate=False).first()
-    assert (s.input_records, s.selected_read_groups, s.skipped_order_groups) == (4, 1, 1)
-    assert got(imports.import_reads(records), "read_idx", "name", "n") == [(1, "single", 1), (2, "z", 3)]
-    mixed = spark.createDataFrame([("", "q", 0, 0, 0, "+", 0, 0, 1, 9, 0), ("", "q", 1, 0, 0, "+", 0, 0, 1, 9, 1)], ddl)
-    assert imports.group_problems(mixed).count() == 1
+    rows = []
+    for k in range(160):
+        at = rng.randrange(500)
+        rows.append((rng.choice(["", "lane"]), f"n{rng.randrange(30)}", rng.choice([1, 2]), rng.choice([0, 0, 0, 256, 512, 4]), 10 * rng.randrange(3), rng.choice("+-"), rng.randrange(3), at, at + rng.randint(1, 60), rng.choice([3, 17, 50]), k))
+    records = spark.createDataFrame(rows, ddl).repartition(3)
+    for q, five in ((0, False), (10, True)):
+        groups: dict = {}
+        for r in rows:
+            if r[3] == 0 and r[9] >= q:
+                groups.setdefault((r[0], r[1]), []).append(r)
+        want = []
+        for (_, name), own in groups.items():
+            own = sorted(own, key=lambda r: (r[2], r[4], r[10]))
+            ends = [(r[6], r[8] if five and r[5] == "-" else r[7] + 1, r[5], r[9]) for r in own]
+            for i, a in enumerate(ends):
+                for j, b in enumerate(ends[i + 1 :], i + 1):
+                    x, y = (b, a) if a[:2] > b[:2] else (a, b)
+                    want.append((f"{name}:{i}:{j}", x[0], x[1], y[0], y[1], x[2], y[2], min(a[3], b[3])))
+        columns = ("read_id", "chrom1_id", "pos1", "chrom2_id", "pos2", "strand1", "strand2", "mapq")
+        assert got(imports.import_pairs(records, q, five_prime=five), *columns) == sorted(want)
+        s = imports.import_statistics(records, q, min_order=3, by_mate=False).first()
+        assert (s.input_records, s.selected_read_groups, s.skipped_order_groups) == (160, sum(len(g) > 2 for g in groups.values()), sum(len(g) < 3 for g in groups.values()))
+        reads = sorted({(r[0], r[1], r[2]) for g in groups.values() for r in g})
+        found = imports.import_reads(records, q).orderBy("read_idx").collect()
+        assert [(r.read_idx, r.rg, r.name, r.mate) for r in found] == [(k, *x) for k, x in enumerate(reads, 1)]
+    mixed = spark.createDataFrame([("", "u", mate, 0, 0, "-", 0, 3, 4, 8, mate) for mate in (0, 2)], ddl)
+    assert imports.group_problems(mixed).count() == 1 and imports.group_problems(records).count() == 0
 
 
 def test_filter_reasons_are_ordered(spark):
