@@ -294,7 +294,7 @@ def bin1_offset(spark, sf_dir):
     "cool_summary",
     _pixels_sql(1)
     + """ SELECT (SELECT count(*) FROM pixels) AS nnz, (SELECT CAST(sum("count") AS BIGINT) FROM pixels) AS "sum", (SELECT CAST(sum((length + 9999) // 10000) AS BIGINT) FROM contigs) AS nbins,
-     (SELECT count(*) FROM contigs) AS nchroms, (SELECT count(*) FROM pairs) AS input_records, (SELECT count(*) FROM pairs WHERE mapq < 1) AS skipped_mapq""",
+     (SELECT count(*) FROM contigs) AS nchroms, (SELECT count(*) FROM pairs) AS input_records, (SELECT count(*) FROM pairs WHERE mapq < 1) AS skipped_mapq, CAST(0 AS BIGINT) AS skipped_unmapped""",
 )
 def cool_summary(spark, sf_dir):
     return binning.cool_summary(views.pairs(spark, sf_dir), views.contigs(spark, sf_dir), BIN, 1)
@@ -427,12 +427,23 @@ def zone_candidates(spark, sf_dir):
     return zonemap.candidate_parts(zones, TARGET, mode="both")
 
 
-@query_of("q1_consistency", "SELECT CAST(0 AS BIGINT) AS mismatches")
+@query_of(
+    "q1_consistency",
+    """+ ranked AS (SELECT *, row_number() OVER (PARTITION BY chrom1_id ORDER BY read_id, pos1, pos2, mapq) AS r FROM pairs WHERE mapq >= 1),
+     damaged AS (SELECT read_id, CASE WHEN mapq = 33 THEN pos1 + 1 ELSE pos1 END AS pos1, mapq, chrom1_id, CASE WHEN r = 4 THEN 5 WHEN r = 5 THEN 4 ELSE r END AS r FROM ranked WHERE NOT (chrom1_id = 24 AND r > 20)),
+     a AS (SELECT row_number() OVER (ORDER BY chrom1_id, r) AS place, read_id, pos1 FROM ranked), b AS (SELECT row_number() OVER (ORDER BY chrom1_id, r) AS place, read_id, pos1 FROM damaged)
+     SELECT place FROM a FULL JOIN b USING (place) WHERE a.read_id IS DISTINCT FROM b.read_id OR a.pos1 IS DISTINCT FROM b.pos1""",
+)
 def q1_consistency(spark, sf_dir):
+    """Places at which a damaged copy differs: positions changed, rows exchanged, and the last ones gone."""
+    from pyspark.sql import Window
+
     from contactloom.operators.validate import sequence_mismatches
 
-    rows = views.pairs(spark, sf_dir).withColumns({"_shard": F.col("chrom1_id"), "_row": F.xxhash64("read_id", "pos1", "pos2", "mapq", "strand1", "strand2", "chrom2_id")})
-    return sequence_mismatches(rows.where("mapq >= 1"), query.quality(rows, 1)).agg(F.count("*").alias("mismatches"))
+    row = F.row_number().over(Window.partitionBy("chrom1_id").orderBy("read_id", "pos1", "pos2", "mapq")).cast("bigint")
+    rows = query.quality(views.pairs(spark, sf_dir), 1).withColumns({"_shard": F.col("chrom1_id"), "_row": row}).select("read_id", "pos1", "mapq", "_shard", "_row")
+    copy = rows.where("not (_shard = 24 and _row > 20)").withColumns({"pos1": F.expr("case when mapq = 33 then pos1 + 1 else pos1 end"), "_row": F.expr("case _row when 4 then 5L when 5 then 4L else _row end")})
+    return sequence_mismatches(rows, copy).select(F.col("_place").cast("bigint").alias("place"))
 
 
 @query_of(

@@ -157,7 +157,9 @@ def write_dataset(rows: DataFrame, path: str, kind: str, contigs: list[tuple[str
     part = Folder(spark, f"{path}.partial-{uuid.uuid4().hex[:8]}")
     columns = PAIRS_COLUMNS if kind == "pairs" else CONCAT_COLUMNS
     order = [c for c in ORDER if c in rows.columns]
-    rows = checked(rows.select(*columns, *order), contig_frame(spark, contigs))
+    kinds = dict(f.split() for f in (PAIRS_DDL if kind == "pairs" else CONCAT_DDL).split(", "))
+    typed = [F.col(c).cast(kinds[c]).alias(c) if c != "read_idx" or layout == "native" else F.col(c) for c in columns]
+    rows = checked(rows.select(*typed, *order), contig_frame(spark, contigs))
     try:
         q = "mapq" if kind == "pairs" else "mapping_quality"
         contig_columns = ("chrom1_id", "chrom2_id") if kind == "pairs" else ("chrom_id",)

@@ -116,9 +116,9 @@ class Folder:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value`` and ``ordinal`` (growing in file order). Gzip is told by its first bytes; if the name doesn't
+    """``value`` and ``ordinal`` (growing in file order) of a file, or a folder of parts. Gzip is told by its first bytes; if the name doesn't
     say so, Spark's text reader wouldn't unpack the file, and one task streams it."""
-    if Folder(spark, path).start(2) == b"\x1f\x8b" and not path.endswith(".gz"):
+    if not Folder(spark, path).is_folder() and Folder(spark, path).start(2) == b"\x1f\x8b" and not path.endswith(".gz"):
 
         def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:

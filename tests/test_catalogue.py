@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from contactloom.operators import expand, query
-from contactloom.plans import catalogue, views
+from contactloom.plans import catalogue, files, views  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
