@@ -85,16 +85,113 @@ def test_language_without_labels(corpus):
     assert language_id.identify(docs).columns == ["doc_id", "text", "lang", "source", "lang_pred", "score"]
 
 
-def test_language_scores_equal_a_plain_count(corpus):
-    docs, _ = corpus
+def plain_form(text):
+    """The runs of letters and marks, in lower case, between single spaces."""
+    import unicodedata
+
+    out = " "
+    for c in (text or "").lower():
+        if unicodedata.category(c)[0] in "LM":
+            out += c
+        elif out[-1] != " ":
+            out += " "
+    return out if out[-1] == " " else out + " "
+
+
+def plain_features(text):
+    """How often each feature occurs, window by window."""
+    from collections import Counter
+
+    form, found = plain_form(text), Counter()
+    for size in range(1, language_id.ORDERS + 1):
+        for at in range(len(form) - size + 1):
+            codes = np.array([ord(c) for c in form[at : at + size]], dtype=np.uint32)
+            numbers, places = language_id.features(codes, np.full(size, size), language_id.SLOT_BITS)
+            found[int(numbers[(places == 0)][-1])] += 1
+    return found
+
+
+def test_language_model_equals_a_plain_count(spark):
     from pyspark.sql import functions as F
 
+    texts = [("x", "Schung, the eau!"), ("x", "日本語の文 3 é́"), ("y", "aa ab... 7 ÀB"), ("y", "ab"), ("y", None), ("z", "!!"), (None, "none")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").repartition(2)
     model = language_id.fit(docs, F.lit(True))
-    text = "Schung, the eau!"
-    grams, bounds = language_id.ngrams([text])
-    total = model.prior.copy()
-    for g in grams:
-        for f in g[bounds[0] : bounds[1]]:
-            total += model.weights[f]
-    name, score = model.score([text])
-    assert name == [model.languages[int(total.argmax())]] and score[0] == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-3)
+    assert model.languages == ["x", "y", "z"] and np.exp(model.prior) == pytest.approx(np.array([2, 2, 1]) / 5)
+    counts = np.full((len(model.weights), 3), 0.5)
+    for lang, t in texts:
+        if lang and t:
+            for f, n in plain_features(t).items():
+                counts[f, "xyz".index(lang)] += n
+    width = 1 << language_id.SLOT_BITS
+    plain = np.concatenate([np.log(part / part.sum(axis=0)) for part in counts.reshape(-1, width, 3)])
+    assert model.weights == pytest.approx(plain, rel=1e-4)
+    for t in ("Schung the", "ab aa", "日本", "", "語 語 x"):
+        found, total = plain_features(t), np.zeros(3)
+        for f, n in found.items():
+            total += n * plain[f]
+        size = sum(found.values())
+        total = total * min(1, language_id.ORDERS * language_id.CERTAIN / max(size, 1)) + model.prior
+        name, score = model.score([t])
+        if size == 1:
+            assert name == ["und"] and score[0] == 0
+        else:
+            assert name == [model.languages[int(total.argmax())]] and score[0] == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-3)
+
+
+def test_pieces_of_long_texts_count_like_the_whole():
+    from collections import Counter
+
+    texts = ["ab, cd " * 40 + "1234567890" * 9 + "é é", "", "12" * 70, "xyz", None, "a" * 200, ". a" * 99 + "b"]
+    for budget in (7, 30, 1 << 18):
+        found = [Counter() for _ in texts]
+        for text, feature, n in language_id.counted(texts, language_id.SLOT_BITS, budget):
+            for t, f, k in zip(text.tolist(), feature.tolist(), n.tolist(), strict=True):
+                found[t][f] += k
+        assert found == [plain_features(t) for t in texts], budget
+
+
+def test_a_column_named_like_a_result_is_kept(spark):
+    docs = spark.createDataFrame([(i, f"the ing and {i}" if i % 2 else "die ung und", "en" if i % 2 else "de", "mine", "mine") for i in range(20)] + [(30, "7", "en", "mine", "mine")], "doc_id long, text string, lang string, score string, _found string")
+    rows = language_id.of_known_language(docs, 0.5).collect()
+    assert len(rows) == 20 and all((r.score, r._found) == ("mine", "mine") for r in rows)
+
+
+def plain_logit(net, text):
+    """The network word by word and window by window."""
+    import re
+
+    words = [w.encode() for w in re.findall(r"[a-z\u0080-\U0010ffff]+", (text or "").lower())]
+    vectors = []
+    for w in words:
+        numbers, _ = toxicity.word_numbers([w.decode()])
+        vectors.append(sum(net.table[view][numbers[view][0]] for view in range(len(toxicity.VIEWS))))
+    total, column = float(net.shift), 0
+    for kernel in net.kernels:
+        width, _, filters = kernel.shape
+        for f in range(filters):
+            best = -np.inf
+            for at in range(len(vectors) + 1):
+                best = max(best, sum(float(vectors[at + j] @ kernel[j, :, f]) for j in range(width) if at + j < len(vectors)))
+            total += max(best + float(net.bias[column]), 0) * float(net.out[column])
+            column += 1
+    return total
+
+
+def test_scores_equal_a_plain_forward_pass(corpus):
+    docs, labels = corpus
+    from contactloom.llm.common import id_bucket
+
+    net = toxicity.fit(docs, labels, id_bucket("doc_id", 5) != 0).net
+    for t in ("the villain and", "", None, "GROBIAN, und 7 méchant", "re at on " * 20):
+        raw = plain_logit(net, t) * net.scale + net.offset
+        assert net.score([t])[0] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-5)
+
+
+def test_the_training_sample_is_bounded(corpus):
+    docs, labels = corpus
+    from pyspark.sql import functions as F
+
+    few = toxicity.fit(docs, labels, F.lit(True), toxicity.Settings(characters=2000, epochs=1))
+    again = toxicity.fit(docs.repartition(5), labels.repartition(2), F.lit(True), toxicity.Settings(characters=2000, epochs=1))
+    assert few.net is not None and few.score(["the villain"]) == pytest.approx(again.score(["the villain"]))

@@ -55,9 +55,60 @@ def test_quality_counts_and_verdicts(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_rules_look_at_whole_lines_in_any_script(spark):
+    long = " ".join(["word"] * 40)
+    good = [
+        "Dear all," + " " * 20, "यह एक वाक्य है।", "هل هذا سؤال؟", "这是一个句子。", "Elle a dit « bonjour » puis « au revoir » à tous ses amis de la ville.",
+        f"A design in {long} dialog in the analog inlay, with one cookie and a copyright.", f"If a > b and b > c then {long}.", f"**Bold** {long} **bold** {long} **bold**.",
+        f"The privacy policy was debated {long}.", 'He said: "So it is." ' + "\u00a0" * 30,
+    ]
+    bad = ["Home | News | Sport | Login.", "All rights reserved.", "We use cookies. Accept cookies.", "a### b&&& c*** d%%%.", "no end of a sentence", "»»»", "Click here to sign in."]
+    docs = spark.createDataFrame([(i, f"{line}\n{long}.") for i, line in enumerate(good + bad)], "doc_id long, text string")
+    found = {r.doc_id: r.clean_text.split("\n")[0] for r in quality_rules.measured(docs).collect()}
+    assert [line for i, line in enumerate(good) if found[i] != line] == []
+    assert [line for i, line in enumerate(bad, len(good)) if found[i] == line] == []
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    rng = random.Random(3)
+    text = "\n".join(sentence(rng, 12) for _ in range(8))
+    docs = spark.createDataFrame([(1, text + "\nno end", "a", "b", "c", "d", 5)], "doc_id long, text string, kept string, lost string, _keys string, `a.b` string, _c0 int")
+    [r] = quality_rules.clean(docs).collect()
+    assert quality_rules.clean(docs).columns == docs.columns and tuple(r) == (1, text, "a", "b", "c", "d", 5)
+
+
 # --- sharding
 
 
+def plain_level(values, cuts):
+    return [0 if v is None else max(sum(c <= v for c in cuts) - 1, 0) for v in values]
+
+
+def test_shards_equal_a_plain_order(spark):
+    rng = random.Random(21)
+    rows = [(i, sentence(rng, rng.randint(1, 30)), f"common_beginning_{rng.randrange(9)}" if i % 4 else None, "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(6)
+    found = {r.doc_id: r for r in sharding.document_shards(docs).collect()}
+    # levels of the source by cumulated rows, of the size by its quantiles, of the language all the same
+    named, per, before, cuts = [r for r in rows if r[2]], Counter(r[2] for r in rows if r[2]), 0, {}
+    for v in sorted(per):
+        cuts.setdefault(before * 64 // len(named), v)
+        before += per[v]
+    assert sharding.string_cuts(docs, "source", 64) == sorted(cuts.values())
+    source = plain_level([r[2] for r in rows], sorted(cuts.values()))
+    sizes = sorted(len(r[1].encode()) + 16 for r in rows)
+    quantiles = sorted({float(sizes[max(-(-k * len(sizes) // 64) - 1, 0)]) for k in range(1, 64)})
+    size = [sum(q < len(r[1].encode()) + 16 for q in quantiles) for r in rows]
+    curve = sharding.hilbert_index(np.array([source, [0] * len(rows), size]).T, sharding.BITS)
+    order = sorted(range(len(rows)), key=lambda i: (curve[i], zlib.crc32(rows[i][1].encode()), rows[i][0]))
+    want = {}
+    for rank, i in enumerate(order):
+        shard = rank * 40 // len(rows)
+        want[i] = (shard, rank - -(-shard * len(rows) // 40))
+    assert {i: (r.shard, r.slot) for i, r in found.items()} == want
+
+
+
 def test_curve_visits_every_cell_by_single_steps():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
@@ -231,6 +282,38 @@ def test_all_edits_within_the_limit_are_found():
         assert all(found[t, t] <= S.edits(len(w)) for t, w in enumerate(items))
 
 
+def test_long_and_short_items_are_found():
+    rng = random.Random(13)
+    S = decontamination.Settings()
+    items = [sentence(rng, n)[:-1].split() for n in (8, 9, 13, 20, 300, 400, 800) for _ in range(4)]
+    held = decontamination.Items(list(range(len(items))), [" ".join(w) for w in items], S)
+    sieve = decontamination.Sieve(S)
+    sieve.add([" ".join(w) for w in items])
+    for kinds in (["insert"], ["delete"], ["change"], ["insert", "delete", "change"]):
+        texts = [" ".join([*sentence(rng, 40)[:-1].split(), *edited(rng, w, kinds, S.edits(len(w))), *sentence(rng, 30)[:-1].split()]) for w in items]
+        data, starts, ends, bounds = decontamination.word_spans([*texts, "nothing of the kind", None])
+        [words] = decontamination.prefix_hashes(data, starts, ends, [None])
+        found = {(t, i): d for t, i, d, _ in held.search(words, bounds)}
+        missed = [len(items[t]) for t in range(len(texts)) if (t, t) not in found]
+        assert missed == [], kinds
+        assert sieve.suspects(words, bounds).tolist() == [True] * len(texts) + [False, False]
+
+
+def test_distances_equal_the_table():
+    rng = random.Random(14)
+    for _ in range(2000):
+        a, b = ([rng.randrange(3) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        row = list(range(len(a) + 1))
+        best = (row[-1], 0)
+        for j, w in enumerate(b, 1):
+            last, row[0] = row[0], 0
+            for i, own in enumerate(a, 1):
+                last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + (own != w))
+            best = min(best, (row[-1], j))
+        limit = rng.randint(0, 9)
+        assert decontamination.edit_distance(a, b, limit) == (best if best[0] <= limit else (limit + 1, 0))
+
+
 def test_items_of_any_script_are_found():
     items = ["天地玄黄，宇宙洪荒。日月盈昃，辰宿列张。", "12 + 7 = 19; 34 - 5 = 29; 8 * 9 = 72", "3 + 4 = 7", "吾輩は猫である", "one two three four’s “five” six—seven eight", "!?", "7"]
     held = decontamination.Items(list(range(len(items))), items, decontamination.Settings())

@@ -160,3 +160,56 @@ def test_examples_under_all_limits(spark):
         assert sum(x[0] for x in own) <= 1000 and sum(x[1] or 0 for x in own) <= 8 and sum(x[2] or 0 for x in own) <= 500
     lower = max(sum(x[k] or 0 for b in bins.values() for x in b) / m for k, m in ((0, 1000), (1, 8), (2, 500)))
     assert len(bins) <= 1.15 * lower + 1
+
+
+def test_tiny_documents_fill_sequences(spark):
+    docs = spark.createDataFrame([(i, "a b") for i in range(6000)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack_documents(docs, WORD).collect()
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert sum(used.values()) == 18_000 and sum(n >= 4095 for n in used.values()) == 4
+
+
+def test_conversations_under_three_limits(spark):
+    rng = np.random.default_rng(3)
+    turns = [(c, k, ("user", "assistant")[k % 2], "word " * int(rng.integers(0, 60))) for c in range(300) for k in range(int(rng.integers(1, 9)))]
+    turns += [(900, 0, None, None), (901, 0, "assistant", ""), (None, 0, "assistant", "x")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(4)
+    examples = packing.conversation_examples(frame, WORD)
+    want = {}
+    for c, _, role, text in turns:
+        n = len(ids(WORD, text)) + 1
+        t, k, loss = want.get(c, (0, 0, 0))
+        want[c] = (t + n, k + 1, loss + n * (role == "assistant"))
+    demand = {r.id: (r.n_tokens, r.n_segments, r.n_loss) for r in examples.collect()}
+    assert demand == {None if c is None else str(c): d for c, d in want.items()}
+    for limits in (packing.Limits(1024, 24, 400), packing.Limits(512, 200, 4096), packing.Limits(4096, 10, 4096)):
+        rows = packing.pack_examples(examples.coalesce(1), limits).collect()
+        assert sorted(str(r.id) for r in rows) == sorted(map(str, demand))
+        used: dict = {}
+        for r in rows:
+            d = demand[r.id]
+            u = used.setdefault(r.sequence_id, [0, 0, 0])
+            assert r.offset == u[0] and r.length == d[0] and not r.oversize
+            used[r.sequence_id] = [x + y for x, y in zip(u, d, strict=True)]
+        capacity = (limits.tokens, limits.segments, limits.loss_tokens)
+        assert all(x <= y for u in used.values() for x, y in zip(u, capacity, strict=True))
+        # no packing needs fewer sequences than the fullest of the three dimensions
+        least = max(-(-sum(d[k] for d in demand.values()) // capacity[k]) for k in range(3))
+        assert len(used) <= 1.15 * least + 1, limits
+
+
+def test_unknown_shapes_are_not_cut(tmp_path):
+    import json
+
+    file = json.loads(open(BYTE).read())
+    file["pre_tokenizer"] = {"type": "Split", "pattern": {"String": "x y"}, "behavior": "Isolated", "invert": False}
+    path = str(tmp_path / "other.json")
+    open(path, "w").write(json.dumps(file))
+    encoder, counter = Encoder(path), token_counts.Counter(path, frozenset())
+    assert not encoder.stretches and Encoder(BYTE).stretches and Encoder(WORD).stretches
+    texts = ["a x yb x y", "one two", None, ""]
+    found, sizes = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(found, np.cumsum(sizes)[:-1])] == [ids(path, t) for t in texts]
+    assert counter.count(texts).tolist() == [len(ids(path, t)) for t in texts]
