@@ -46,23 +46,36 @@ def skipped(pairs: DataFrame, min_mapq: int) -> Column:
     return F.coalesce("skip", reason) if "skip" in pairs.columns else reason
 
 
+#: Why a pair has no bins, as keys in place of theirs.
+NO_BINS = {"mapq": -1, "unmapped": -2}
+
+
 def _binned(rows: DataFrame, contigs: DataFrame, bin_size: int, check_positions: bool = True) -> DataFrame:
-    """_skip, bin1, bin2 and count; rows with a reason to be skipped (column _skip) have no bins."""
-    why = F.col("_skip") if "_skip" in rows.columns else F.lit(None).cast("string")
-    where = contigs.select("contig_id", "length").join(chrom_offset(contigs, bin_size), "contig_id")
+    """bin1, bin2 and count; rows with a reason to be skipped (column _skip) have one of NO_BINS as bin1.
+
+    Both bins make one whole number, bin1 times all bins plus bin2, so that the aggregate's key is as cheap as can be.
+    """
+    bins = bin_counts(contigs, bin_size)
+    total = bins.agg(F.greatest(F.sum("n_bins"), F.lit(1)).cast("bigint").alias("_bins"))
+    where = contigs.select("contig_id", "length").join(chrom_offset(contigs, bin_size), "contig_id").join(F.broadcast(total), F.lit(True))
     for side in (1, 2):
-        own = where.select(F.col("contig_id").alias(f"chrom{side}_id"), F.col("offset").alias(f"_offset{side}"), F.col("length").alias(f"_length{side}"))
+        own = where.select(F.col("contig_id").alias(f"chrom{side}_id"), F.col("offset").alias(f"_offset{side}"), F.col("length").alias(f"_length{side}"), *(["_bins"] if side == 1 else []))
         rows = rows.join(F.broadcast(own), f"chrom{side}_id", "left" if check_positions else "inner")
 
-    def bin_of(side: int):
+    def bin_of(side: int) -> Column:
         at = F.col(f"_offset{side}") + F.expr(f"(pos{side} - 1) div {bin_size}")
         if not check_positions:
-            return F.when(why.isNull(), at)
+            return at
         outside = F.coalesce((F.col(f"pos{side}") < 1) | (F.col(f"pos{side}") > F.col(f"_length{side}")), F.lit(True))
-        return F.when(why.isNotNull(), None).when(outside, F.raise_error(F.concat(F.lit("position outside its contig: "), F.col(f"pos{side}").cast("string"))).cast("bigint")).otherwise(at)
+        return F.when(outside, F.raise_error(F.concat(F.lit("position outside its contig: "), F.col(f"pos{side}").cast("string"))).cast("bigint")).otherwise(at)
 
-    ends = rows.select(why.alias("_skip"), bin_of(1).alias("_x"), bin_of(2).alias("_y"))
-    return ends.groupBy("_skip", F.least("_x", "_y").alias("bin1"), F.greatest("_x", "_y").alias("bin2")).agg(F.count("*").alias("count"))
+    key = F.least(bin_of(1), bin_of(2)) * F.col("_bins") + F.greatest(bin_of(1), bin_of(2))
+    if "_skip" in rows.columns:
+        for reason, code in NO_BINS.items():
+            key = F.when(F.col("_skip") == reason, F.lit(code).cast("bigint")).otherwise(key)
+    found = rows.groupBy(key.alias("_key")).agg(F.count("*").alias("count")).join(F.broadcast(total), F.lit(True))
+    first = F.when(F.col("_key") < 0, F.col("_key")).otherwise(F.expr("_key div _bins"))
+    return found.select(first.alias("bin1"), F.pmod("_key", "_bins").alias("bin2"), "count")
 
 
 def bin1_offset(pixels_: DataFrame, contigs: DataFrame, bin_size: int) -> DataFrame:
@@ -85,13 +98,13 @@ def cool_summary(pairs: DataFrame, contigs: DataFrame, bin_size: int, min_mapq:
     """One row, from one pass over the pairs: nnz, sum, nbins, nchroms, input_records, skipped_mapq, skipped_unmapped."""
     found = _binned(pairs.withColumn("_skip", skipped(pairs, min_mapq)), contigs, bin_size)
     rows = lambda test: F.coalesce(F.sum(F.when(test, F.col("count"))), F.lit(0)).cast("bigint")
-    kept = F.col("_skip").isNull()
+    kept = F.col("bin1") >= 0
     totals = found.agg(
         F.count(F.when(kept, 1)).alias("nnz"),
         rows(kept).alias("sum"),
         rows(F.lit(True)).alias("input_records"),
-        rows(F.col("_skip") == "mapq").alias("skipped_mapq"),
-        rows(F.col("_skip") == "unmapped").alias("skipped_unmapped"),
+        rows(F.col("bin1") == NO_BINS["mapq"]).alias("skipped_mapq"),
+        rows(F.col("bin1") == NO_BINS["unmapped"]).alias("skipped_unmapped"),
     )
     size = bin_counts(contigs, bin_size).agg(F.coalesce(F.sum("n_bins"), F.lit(0)).cast("bigint").alias("nbins"), F.count("*").alias("nchroms"))
     return totals.join(F.broadcast(size), F.lit(True))

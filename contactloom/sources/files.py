@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactloom.session import shared_dir
+
 SMALL = 16 << 20
 
 
@@ -63,12 +63,20 @@ class Folder:
         self._put(part, self._at(name))
 
     def _put(self, old, new) -> None:
-        """Rename over what is there, in one step of the file system."""
+        """Rename over what is there, in one step of the file system. Where Hadoop has no such rename for a store, what is
+        there goes first."""
         hadoop = self._jvm.org.apache.hadoop.fs
         rename = getattr(hadoop, "Options$Rename")
         over = self.spark.sparkContext._gateway.new_array(rename, 1)
         over[0] = rename.OVERWRITE
-        context = hadoop.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context = hadoop.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        except Py4JJavaError as e:
+            if "UnsupportedFileSystem" not in str(e.java_exception):
+                raise
+            self.fs.delete(new, False)
+            self.fs.rename(old, new)
+            return
         context.rename(context.makeQualified(old), context.makeQualified(new), over)
 
     def size(self, name: str) -> int:
@@ -116,25 +124,17 @@ class Folder:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value`` and ``ordinal`` (growing in file order) of a file, or a folder of parts. Gzip is told by its first bytes; if the name doesn't
-    say so, Spark's text reader wouldn't unpack the file, and one task streams it."""
-    if not Folder(spark, path).is_folder() and Folder(spark, path).start(2) == b"\x1f\x8b" and not path.endswith(".gz"):
-
-        def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for content in frame["content"]:
-                    part: list[str] = []
-                    for line in io.TextIOWrapper(gzip.GzipFile(fileobj=io.BytesIO(content)), encoding="utf-8"):
-                        part.append(line.rstrip("\n"))
-                        if len(part) == 50_000:
-                            yield pd.DataFrame({"value": part})
-                            part = []
-                    yield pd.DataFrame({"value": part})
-
-        rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
-    else:
-        rows = spark.read.text(path)
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    """``value`` and ``ordinal`` (growing in file order) of a file, or a folder of parts. Gzip is told by its first bytes; as
+    Spark goes by names, a file whose name doesn't say so is first copied to one that does, byte by byte and within the JVM. Gzip can't be
+    split, so one task streams such a file; block-compressed or partitioned text is read by many."""
+    folder = Folder(spark, path)
+    if not folder.is_folder() and folder.start(2) == b"\x1f\x8b" and not path.endswith(".gz"):
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        source, path = jvm.org.apache.hadoop.fs.Path(path), f"{shared_dir(spark)}/named-{uuid.uuid4().hex}.gz"
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(folder.fs, source, target.getFileSystem(conf), target, False, conf)
+        target.getFileSystem(conf).deleteOnExit(target)
+    return spark.read.text(path).withColumn("ordinal", F.monotonically_increasing_id())
 
 
 def contig_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
