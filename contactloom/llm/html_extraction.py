@@ -305,7 +305,8 @@ def deduce(pages: DataFrame) -> DataFrame:
     elements = elements.groupBy("host", "token", "kind").agg(*vector, F.count("*").alias("pages"), F.sum("n").alias("times"), *[F.sum(c).alias(c) for c in measures[2:]])
     elements = stored(elements, "element-tokens")
     texts = some.select("host", "one", "two", F.explode("tokens").alias("token")).where("token is not null").withColumn("n", F.lit(1))
-    texts = texts.groupBy("host", "token").agg(*vector, F.count("*").alias("times"))
+    # most blocks are a page's own; those of a class are on so many pages at least
+    texts = texts.groupBy("host", "token").agg(*vector, F.count("*").alias("times")).where(F.col("times") >= LEAST_PAGES)
     differ = some.select("host", "one", "two").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
     hosts = stored(some.groupBy("host").agg(F.count("*").alias("all_pages")).join(differ, "host"), "hosts")
     # the common template: the hosts' sums once more
