@@ -27,7 +27,8 @@ Nothing is dropped: long postings take the exact way of step 5. Where one class
 of a great star is, its row is copied and its pairs spread over the copies. Every table is written to
 the shared folder; the driver holds counts and two arrays of fixed size.
 
-Defined results: a text without words has an empty set, is linked with nothing and kept;
+Defined results: texts of any length are taken whole, one alone in its batch where it is long, in memory of some ten times its
+size; a text without words has an empty set, is linked with nothing and kept;
 equal texts are one group; rows that share a doc_id are one document; rows without an id join
 no group's name: they are kept only if no row with an id has an equal set; an empty table
 gives an empty table. Extra columns are ignored by :func:`groups` and kept by

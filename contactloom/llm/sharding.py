@@ -1,6 +1,6 @@
 """Shards along a Hilbert curve over several metadata columns.
 
-Each column is quantised by its own quantiles over all rows, so that hot values take
+Each column is quantised by its own quantiles over all rows, text columns by whole values in their order weighted by their rows, so that hot values take
 several levels' worth of rows without starving the others; the levels are the coordinates
 of a Hilbert curve, rows are sorted by curve index, and the order is cut into runs of
 equal row counts. Neighbours on the curve are near in every column, so a shard spans a
@@ -11,7 +11,7 @@ broken by checksum and id, so copies stay together where a cell allows and no ce
 hot, has to fit one task. Ranks come from the sorted table's partition sizes: the driver
 holds one number for each partition.
 
-Defined results: a null text has size 16 and checksum 0; null metadata takes the lowest
+Defined results: of a text, however long, only size and checksum leave the row; a null text has size 16 and checksum 0; null metadata takes the lowest
 level; repeated rows take a slot each; an empty table gives an empty table.
 """
 

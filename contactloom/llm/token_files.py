@@ -9,7 +9,8 @@ array operations. A block holds whole documents: their ids and lengths stand bef
 words. Blocks are rows of a Parquet table in the shared folder, in ascending doc_id order
 within and across shards; Spark's commit protocol makes a lost task harmless.
 
-Defined results: a null text has the end id alone; null doc_ids come first and are kept;
+Defined results: a document lies in one block, so that one of any length is one block (of at most 2 GB, the bound of a value in
+Spark, as of its text); a null text has the end id alone; null doc_ids come first and are kept;
 rows with the same doc_id are each kept, ordered by a hash of their text; an empty table
 gives no blocks and no rows.
 """

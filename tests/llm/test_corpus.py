@@ -314,6 +314,18 @@ def test_distances_equal_the_table():
         assert decontamination.edit_distance(a, b, limit) == (best if best[0] <= limit else (limit + 1, 0))
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(15)
+    item = sentence(rng, 30)
+    long = " ".join([sentence(rng, 1000) for _ in range(150)] + [item])
+    docs = spark.createDataFrame([(1, long, "s", "en"), (2, long + " x", "s", "en"), (3, item, "s", "en")], "doc_id long, text string, source string, lang string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.end_word) for r in decontamination.leaks(docs, bench).collect()) == [(1, 150_030), (2, 150_030), (3, 30)]
+    assert {r.doc_id: r.component_id for r in minhash.groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.size for r in sharding.document_shards(docs).collect()} == {1: len(long) + 16, 2: len(long) + 18, 3: len(item) + 16}
+    assert {r.doc_id for r in quality_rules.measured(docs).where("n_words > 150000").collect()} == {1, 2}
+
+
 def test_items_of_any_script_are_found():
     items = ["天地玄黄，宇宙洪荒。日月盈昃，辰宿列张。", "12 + 7 = 19; 34 - 5 = 29; 8 * 9 = 72", "3 + 4 = 7", "吾輩は猫である", "one two three four’s “five” six—seven eight", "!?", "7"]
     held = decontamination.Items(list(range(len(items))), items, decontamination.Settings())
