@@ -46,34 +46,40 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
     ids = ids.astype(np.uint64)
     slim = ids.astype(np.uint32) if int(ids.max()) < 1 << 32 else ids
-    # one row for each group, with room behind it: what lies over a group's end fits anywhere
+    # one row for each group, with room behind it where nothing fits: no word reaches over the end of a group
     n_groups, room = -(-n // GROUP), PACKS[0][0]
     holds = np.zeros((n_groups, GROUP), dtype=np.uint8)
     for count, bits in reversed(PACKS):
-        fits = np.ones((n_groups, GROUP + room), dtype=bool)
+        fits = np.zeros((n_groups, GROUP + room), dtype=bool)
         narrow = slim < (1 << bits) if bits < 60 or slim is ids else np.ones(n, dtype=bool)
         whole = n // GROUP
         fits[:whole, :GROUP] = narrow[: whole * GROUP].reshape(whole, GROUP)
         if whole < n_groups:
             fits[whole, : n - whole * GROUP] = narrow[whole * GROUP :]
         width = 1
-        while width < count:
+        while width < count and fits.any():
             more = min(width, count - width)
             fits[:, : GROUP + room - more] &= fits[:, more:].copy()
             width += more
-        np.maximum(holds, fits[:, :GROUP] * np.uint8(count), out=holds)
+        if fits.any():
+            np.maximum(holds, fits[:, :GROUP] * np.uint8(count), out=holds)
     holds = holds.reshape(-1)[:n]
     step = np.maximum(holds, 1)
-    for end in [*range(GROUP, n, GROUP), n]:
-        # no word reaches over the end of a group
-        near = slice(max(0, end - room), end)
-        step[near] = np.minimum(step[near], np.arange(end - near.start, 0, -1))
-    steps, chosen, i = step.tobytes(), [], 0
-    take = chosen.append
+    # where the next word begins, and the one eight words on: the loop then takes eight at once
+    after = np.append(np.arange(n, dtype=np.int32) + step, np.int32(n))
+    leap = after
+    for _ in range(3):
+        leap = leap[leap]
+    leaps, heads, i = memoryview(leap), [], 0
+    take = heads.append
     while i < n:
         take(i)
-        i += steps[i]
-    first = np.array(chosen, dtype=np.int64)
+        i = leaps[i]
+    chosen = [np.array(heads, dtype=np.int32)]
+    for _ in range(7):
+        chosen.append(after[chosen[-1]])
+    first = np.stack(chosen, axis=1).ravel().astype(np.int64)
+    first = first[first < n]
     picked = np.array([OF_COUNT.get(c, 0) for c in range(room + 1)])[holds[first]]
     place = np.arange(len(first))
     if not picked.all():
@@ -88,13 +94,8 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             continue
         count, bits = PACKS[s - 1]
         packed = np.full(len(p), s << 60, dtype=np.uint64)
-        short = np.flatnonzero(step[p] < count)
-        if bits:
-            for j in range(count):
-                packed |= padded[p + j] << np.uint64(j * bits)
-            for k in short.tolist():
-                held = ids[p[k] : p[k] + step[p[k]]].tolist()
-                packed[k] = (s << 60) | sum(v << (j * bits) for j, v in enumerate(held))
+        for j in range(count if bits else 0):
+            packed |= padded[p + j] << np.uint64(j * bits)
         words[w] = packed
     starts = np.searchsorted(first, np.arange(0, n, GROUP))
     return words, place[starts].astype(np.uint32), place[picked == 0].astype(np.uint64)
