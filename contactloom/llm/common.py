@@ -155,3 +155,4 @@ def batches(texts: Sequence[str | None], budget: int = 1_000_000) -> Iterable[tu
         size += n
     if len(texts) > start:
         yield start, len(texts)
+    give_back()

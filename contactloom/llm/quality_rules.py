@@ -83,15 +83,26 @@ def passes(line: Column, small: Column, rules: LineRules) -> Column:
     )
 
 
+def _window(at: Column) -> Column:
+    """The 64-bit hash of the three words from place ``at`` on."""
+    return F.xxhash64(F.get("_hashes", at), F.get("_hashes", at + 1), F.get("_hashes", at + 2))
+
+
 def _repeated_positions() -> Column:
     """Start positions of 3-word windows that occur at least twice, as an array of longs.
 
-    The 64-bit hash of each window is sorted together with its position, so equal windows are
-    neighbours: n log n for a text of any length.
+    A window's hash, with its position in place of the low bits, is one long, so the sort is one of plain numbers:
+    n log n for a text of any length. Equal windows are then neighbours, but for others that share the upper bits; so the
+    full hashes of near neighbours that share them are compared.
     """
-    pairs = F.col("_pairs")
-    twice = F.filter(pairs, lambda p, i: (p.h == F.get(pairs, i + 1).h) | (p.h == F.get(pairs, i - 1).h))
-    return F.transform(twice, lambda p: p.i)
+    keys, mask = F.col("_keys"), F.col("_mask")
+    place = lambda k: k.bitwiseAND(mask).cast("int")
+
+    def like(k: Column, other: Column) -> Column:
+        return F.coalesce(k.bitwiseXOR(other).bitwiseAND(F.bitwise_not(mask)) == 0, F.lit(False)) & (_window(place(k)) == _window(place(other)))
+
+    twice = F.filter(keys, lambda k, i: like(k, F.get(keys, i + 1)) | like(k, F.get(keys, i - 1)) | like(k, F.get(keys, i + 2)) | like(k, F.get(keys, i - 2)))
+    return F.transform(twice, lambda k: k.bitwiseAND(mask))
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost", "clean_text", "base_failed", "kept")
@@ -113,8 +124,8 @@ def _judged(docs: DataFrame, rules: LineRules) -> DataFrame:
         }
     )
     starts = F.slice("_hashes", F.lit(1), F.greatest(F.size("_hashes") - 2, F.lit(0)))
-    third = lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2))
-    t = t.withColumn("_pairs", F.sort_array(F.transform(starts, lambda h, i: F.struct(third(h, i).alias("h"), i.cast("long").alias("i")))))
+    t = t.withColumn("_mask", F.expr("shiftleft(1L, cast(ceil(log2(n_words + 1)) as int)) - 1"))
+    t = t.withColumn("_keys", F.sort_array(F.transform(starts, lambda h, i: _window(i).bitwiseAND(F.bitwise_not(F.col("_mask"))).bitwiseOR(i.cast("long")))))
     t = t.withColumn("_sum", _repeated_positions())
     t = t.withColumns(
         {
