@@ -9,7 +9,11 @@ import struct
 import uuid
 import zlib
 from argparse import Namespace
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +27,7 @@ from contactloom.plans.catalogue import END1, END2, HIT, REASON, TARGET, _import
 from contactloom.schema import CONCAT_COLUMNS, PAIRS_COLUMNS
 from contactloom.session import shared_dir
 from contactloom.sources import dataset, export, paf
-from contactloom.sources.bam import read_bam
+from contactloom.sources.bam import FIXED, created, read_bam
 from contactloom.sources.files import Folder
 from contactloom.streaming.batches import batches
 from contactloom.streaming.ingest import finish, ingest
@@ -208,35 +212,62 @@ def paf_to_concat(spark, sf_dir):
 
 
 def bam_file(spark: SparkSession, sf_dir: str) -> str:
-    """The import records as one BAM file: matches of the alignment's length, one of them wrong, between soft clips."""
-    path, contigs = place(spark, "bam"), contig_list(spark, sf_dir)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
-
-    def put(data: bytes) -> None:
-        for a in range(0, len(data), 60_000):
-            part = data[a : a + 60_000]
-            squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
-            body = squeeze.compress(part) + squeeze.flush()
-            stream.write(bytearray(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))))
-
-    put(b"BAM\1" + struct.pack("<ii", 0, len(contigs)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs))
-    held = b""
-    for r in views.import_records(spark, sf_dir).coalesce(4).toLocalIterator():
-        size, rest = r.end_pos - r.start_pos, 1000 - r.read_start - (r.end_pos - r.start_pos)
-        front, back = (rest, r.read_start) if r.strand == "-" else (r.read_start, rest)
-        ops = [n << 4 | op for n, op in ((front, 4), (size, 0), (back, 4)) if n]
-        name, flag = r.name.encode() + b"\0", r.flag | 1 | (64 if r.mate == 1 else 128) | (16 if r.strand == "-" else 0)
-        body = struct.pack("<iiBBHHHiiii", r.chrom_id, r.start_pos, len(name), r.mapping_quality, 0, len(ops), flag, 1000, -1, -1, 0) + name + struct.pack(f"<{len(ops)}I", *ops) + b"\x11" * 500 + b"\xff" * 1000
-        body += b"NMC\1RGZ" + r.rg.encode() + b"\0"
-        held += struct.pack("<i", len(body)) + body
-        if len(held) > 1 << 20:
-            put(held)
-            held = b""
-    put(held)
+    """The import records as one BAM file: matches of the alignment's length, one of them wrong, between soft clips. Each
+    task writes blocks of its own, which are joined in the rows' order; a task that runs twice leaves a part that nobody names."""
+    path, parts, contigs = place(spark, "bam"), place(spark, "blocks"), contig_list(spark, sf_dir)
+
+    def packed(part: bytes) -> bytes:
+        squeeze = zlib.compressobj(1, zlib.DEFLATED, -15)
+        body = squeeze.compress(part) + squeeze.flush()
+        return b"".join((b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0", struct.pack("<H", len(body) + 25), body, struct.pack("<II", zlib.crc32(part), len(part))))
+
+    def records(frame: pd.DataFrame) -> Iterator[bytes]:
+        """Blocks of 36 records, the fields of which are laid out for all at once."""
+        n, bases = len(frame), b"\x11" * 500 + b"\xff" * 1000
+        names, tags = [x.encode() + b"\0" for x in frame["name"].tolist()], [b"NMC\1RGZ" + x.encode() + b"\0" for x in frame["rg"].tolist()]
+        reverse, start, size = (frame["strand"] == "-").to_numpy(), frame["read_start"].to_numpy(), (frame["end_pos"] - frame["start_pos"]).to_numpy()
+        rest = 1000 - start - size
+        ops = np.stack([np.where(reverse, rest, start) << 4 | 4, size << 4, np.where(reverse, start, rest) << 4 | 4], axis=1).astype("<u4")
+        there = ops >> 4 > 0
+        ends = 4 * np.cumsum(there.sum(axis=1))
+        cigars = ops[there].tobytes()
+        head = np.zeros(n, FIXED)
+        head["n_ops"], head["contig"], head["pos"], head["quality"], head["name_size"] = there.sum(axis=1), frame["chrom_id"], frame["start_pos"], frame["mapping_quality"], [len(x) for x in names]
+        head["flag"] = frame["flag"].to_numpy() | 1 | np.where(frame["mate"] == 1, 64, 128) | np.where(reverse, 16, 0)
+        head["n_bases"], head["next_contig"], head["next_pos"] = 1000, -1, -1
+        head["size"] = 32 + len(bases) + head["name_size"].astype("int32") + 4 * head["n_ops"] + np.array([len(x) for x in tags], dtype="int32")
+        heads, parts, at = head.tobytes(), [], 0
+        for k, (name, tag, end) in enumerate(zip(names, tags, ends.tolist(), strict=True)):
+            parts += (heads[36 * k : 36 * k + 36], name, cigars[at:end], bases, tag)
+            at = end
+            if len(parts) == 180:
+                yield b"".join(parts)
+                parts = []
+        if parts:
+            yield b"".join(parts)
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
+        with created(f"{parts}/{name}") as out:
+            for frame in frames:
+                for block in records(frame):
+                    out.write(packed(block))
+        yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "name": [name]})
+
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    Folder(spark, parts).fs.mkdirs(hadoop.Path(parts))
+    # a row makes 1.6 kB, so tasks are many, whatever the table's size; a read's rows stand in the order of their ordinals
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey").sortWithinPartitions("l_orderkey", *views.LINE_ORDER.split(", "))
+    rows = rows.selectExpr(*[f"{e} AS {n}" for n, e in views.IMPORT_RECORDS.items() if n != "ordinal"])
+    names = [r.name for r in rows.mapInPandas(write, "task int, name string").orderBy("task").collect()]
+    where, folder = hadoop.Path(path), Folder(spark, parts)
+    stream = where.getFileSystem(conf).create(where)
+    stream.write(bytearray(packed(b"BAM\1" + struct.pack("<ii", 0, len(contigs)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs))))
+    for name in names:
+        folder.append_to(stream, name)
     stream.write(bytearray.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000"))
     stream.close()
+    folder.remove()
     return path
 
 

@@ -19,8 +19,8 @@ PAIRS = {
     "strand2": "CASE WHEN l_returnflag = 'N' THEN '+' ELSE '-' END",
     "mapq": "CAST((l_partkey * 7 + l_suppkey * 13 + l_linenumber) % 61 AS SMALLINT)",
 }
-_LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
-_RANK = f"CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}) AS BIGINT)"
+LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+_RANK = f"CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS BIGINT)"
 _PLACE = {
     "strand": "CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END",
     "chrom_id": "CAST(l_suppkey % 25 AS INT)",
