@@ -15,6 +15,7 @@ from contactloom.functions.text import bin_size, to_json
 from contactloom.operators import binning, copynum, expand, imports, index, inspect, merge, query, stats, subset
 from contactloom.operators.regions import parse_region
 from contactloom.schema import InvalidInput
+from contactloom.session import stored
 from contactloom.sources import dataset, export, paf
 from contactloom.sources.bam import read_bam
 from contactloom.sources.files import Folder, contig_frame
@@ -92,6 +93,9 @@ def convert(spark: SparkSession, a: argparse.Namespace, mode: str) -> dict:
         return {"output": a.output, "mode": mode, "format": kind, "counts": dataset.write_dataset(pairs, a.output, kind, contigs)}
     wants_pairs = mode.endswith("pairs")
     records, contigs = read_bam(spark, a.path, not wants_pairs) if mode.startswith("bam") else paf.read_paf(spark, a.path, a.contigsizes)
+    if mode.startswith("bam"):
+        # three passes follow, and decoding is the dearest part of them
+        records = stored(records, "records")
     problem = imports.group_problems(records).limit(1).collect()
     if problem:
         raise ValueError(f"{problem[0]['name']}: {problem[0]['problem']}")

@@ -51,7 +51,7 @@ def group_problems(records: DataFrame) -> DataFrame:
     mixed = per.where("kinds > 1").select("rg", "name", F.lit("mixed paired and unpaired").alias("problem"))
     if "read_length" not in records.columns:
         return mixed
-    lengths = records.groupBy("rg", "name", "mate").agg(F.countDistinct("read_length").alias("k")).where("k > 1")
+    lengths = records.groupBy("rg", "name", "mate").agg(F.min("read_length").alias("low"), F.max("read_length").alias("high")).where("low <> high")
     return mixed.unionByName(lengths.select("rg", "name", F.lit("read lengths differ").alias("problem")))
 
 
