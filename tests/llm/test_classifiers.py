@@ -195,3 +195,16 @@ def test_the_training_sample_is_bounded(corpus):
     few = toxicity.fit(docs, labels, F.lit(True), toxicity.Settings(characters=2000, epochs=1))
     again = toxicity.fit(docs.repartition(5), labels.repartition(2), F.lit(True), toxicity.Settings(characters=2000, epochs=1))
     assert few.net is not None and few.score(["the villain"]) == pytest.approx(again.score(["the villain"]))
+
+
+def test_every_labelled_row_is_learned_from(corpus):
+    """Shards far smaller than the table give a network of all rows."""
+    docs, labels = corpus
+    from contactloom.llm.common import id_bucket
+
+    model = toxicity.fit(docs, labels, id_bucket("doc_id", 5) != 0, toxicity.Settings(characters=30_000))
+    rows = [r for r in docs.where("doc_id < 900").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    predicted = model.score([r.text for r in rows]) >= 0.5
+    assert sum(p == (r.doc_id % 5 == 0) for p, r in zip(predicted, rows, strict=True)) >= 0.95 * len(rows)
+    few = toxicity._shards(docs, labels.where("doc_id < 900").selectExpr("doc_id", "toxic").groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic"), 900, toxicity.Settings(characters=3000)).collect()
+    assert len(few) > 20 and sum(len(r.labels) for r in few) == 900
