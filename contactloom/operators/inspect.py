@@ -200,9 +200,9 @@ def full_scan(data: Dataset, seen: dict[str, int], issue: Callable, done: list[s
         # the copy as it lies there, before any filter
         second = [f"{data.path}/q1/{f}" for f in data.shards("q1")]
         raw = data.spark.read.parquet(*second) if second else None
-        if raw is not None and (wrong := raw.where(F.col(q) < 1).count()):
+        copied, wrong = raw.agg(F.count("*"), F.count(F.when(F.col(q) < 1, 1))).first() if raw is not None else (0, 0)
+        if wrong:
             issue("Q1_MAPQ", f"{wrong} rows of q1 have no quality", n=wrong)
-        copied = raw.count() if raw is not None else 0
         if copied != seen["q1_records"]:
             issue("SCANNED_COUNT_MISMATCH", f"q1 has {copied} rows, q0 {seen['q1_records']} with a quality")
         if data.scope == "global":

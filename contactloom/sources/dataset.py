@@ -92,8 +92,13 @@ class Dataset:
         for old, new in NAMES[self.kind].items():
             rows = rows.withColumnRenamed(old, new)
         if ordered or local:
-            place = F.create_map(*[F.lit(x) for i, f in enumerate(shards) for x in (f, i)])
-            rows = rows.withColumns({"_shard": place[F.col("_metadata.file_name")].cast("int"), "_row": F.col("_metadata.row_index")})
+            # shards may be many thousands, too many for a list that is searched for each row
+            rows = rows.withColumns({"_name": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
+            if shards == [f"{i}.parquet" for i in range(len(shards))]:
+                rows = rows.withColumn("_shard", F.split_part("_name", F.lit("."), F.lit(1)).cast("int")).drop("_name")
+            else:
+                places = self.spark.createDataFrame(list(enumerate(shards)), "_shard int, _name string")
+                rows = rows.join(F.broadcast(places), "_name").drop("_name")
         numbers = self.contig_table()
         for c in ("chrom1_id", "chrom2_id") if self.kind == "pairs" else ("chrom_id",):
             own = numbers.select(F.col("contig").alias(c), F.col("contig_id").alias("_number"))
