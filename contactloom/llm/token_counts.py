@@ -12,14 +12,13 @@ that grows with its stretches alone; repeated rows are counted alike; an empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from contactloom.llm.common import batches, filled_id, python_ready, restored_id
-from contactloom.llm.tokens import STRETCH, Encoder, library
+from contactloom.llm.tokens import Encoder, library, stretches
 
 
 def byte_signs() -> dict[str, int]:
@@ -66,12 +65,10 @@ class Counter(Encoder):
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         whole = {i: len(ids) for i, ids in self.whole(texts).items()}
-        split = [STRETCH.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
+        codes, distinct = stretches([None if i in whole else t for i, t in enumerate(texts)])
         self._turn()
-        flat = list(chain.from_iterable(split))
-        counts = self._found(flat)
-        total = np.concatenate([[0], np.cumsum(counts)])
-        out = np.diff(total[np.cumsum([0] + [len(s) for s in split])])
+        counts = np.append(0, self._found(distinct))[codes]
+        out = np.diff(np.cumsum(counts)[codes == 0])
         for i, n in whole.items():
             out[i] = n
         return out

@@ -17,8 +17,12 @@ import re
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
-STRETCH = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?#$%&*|]|$)|\s*\S+|\s+")
+#: Kinds of bytes. A stretch is ``\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?#$%&*|]|$)|\s*\S+|\s+``.
+OTHER, LETTER, STOP, WHITE, BETWEEN, LATIN, WIDE = range(7)
+#: Stands around texts; one of ``DISPUTED``, so that no text that is cut has it.
+EDGE = "\x1c"
 #: Python counts these as white space, the Unicode property that the tokenizers use does not.
 DISPUTED = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: A stretch that is one pre-token, and so shows its own end in the ids of many such stretches.
@@ -29,8 +33,13 @@ FULL = 600_000
 MARK = " \0"
 CALL = 4000
 
+_KINDS = {LETTER: b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", STOP: b".,;:!?#$%&*|", WHITE: b"\t\n\v\f\r ", BETWEEN: EDGE.encode(), LATIN: b"\xc3", WIDE: b"\xc2\xe1\xe2\xe3"}
+KIND = bytes(next((k for k, own in _KINDS.items() if b in own), OTHER) for b in range(256))
+#: White space above ASCII.
+WHITES = [np.frombuffer(c.encode(), dtype=np.uint8) for c in map(chr, range(128, 0x3001)) if c.isspace()]
+
 _BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
-#: Normaliser and pre-tokenizer of files whose splits STRETCH knows. Fixed values.
+#: Normaliser and pre-tokenizer of files whose splits are those of stretches. Fixed values.
 SHAPES = (
     (None, _BYTES | {"use_regex": True}),
     (
@@ -82,6 +91,36 @@ def encoder(path: str, full: int | None = None) -> Encoder:
     return _ENCODER[path]
 
 
+def stretches(texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+    """The distinct stretches of many texts, and for each stretch in order its number from 1. A 0 stands
+    before the first text and after each."""
+    data = f"{EDGE}{EDGE.join([t or '' for t in texts])}{EDGE if texts else ''}".encode()
+    signs = np.frombuffer(data, dtype=np.uint8)
+    kind = np.frombuffer(bytearray(data).translate(KIND), dtype=np.uint8)
+    above = np.flatnonzero(kind >= LATIN)
+    latin = above[kind[above] == LATIN]
+    wide = above[kind[above] == WIDE]
+    kind[above] = OTHER
+    latin = latin[(signs[latin + 1] != 0x97) & (signs[latin + 1] != 0xB7)]
+    kind[latin] = kind[latin + 1] = LETTER
+    for white in WHITES if len(wide) else ():
+        own = wide[signs[wide] == white[0]]
+        for j in range(1, len(white)):
+            own = own[signs[own + j] == white[j]]
+        for j in range(len(white)):
+            kind[own + j] = WHITE
+    white, between, letter = kind == WHITE, kind == BETWEEN, kind == LETTER
+    begins = between.copy()
+    begins[1:] |= between[:-1]
+    begins[1:] |= white[1:] & ~white[:-1]
+    turns = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    first, after = turns[::2], turns[1::2]
+    begins[after[(kind[after] == STOP) & ((kind[first - 1] == WHITE) | (kind[first - 1] == BETWEEN))]] = True
+    starts = np.append(np.flatnonzero(begins), len(data))
+    cut = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+    return cut.indices.to_numpy(), cut.dictionary.to_numpy(zero_copy_only=False)[1:].tolist()
+
+
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers of all ranges ``start`` to ``start + count``, one range after another."""
     after = np.cumsum(counts)
@@ -157,16 +196,15 @@ class Encoder:
                 of_mark[ends - k] = True
             self._add(part, ids[~of_mark], np.diff(ends, prepend=-1) - len(mark))
 
-    def _found(self, flat: list[str]) -> np.ndarray:
+    def _found(self, distinct: list[str]) -> np.ndarray:
         """What is known of each stretch; unknown ones are learned."""
-        at = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            new = {flat[i] for i in missing}
-            used = list(new.intersection(self.aside[0]))
-            self._move(used)
-            self._learn(list(new.difference(used)))
-            at[missing] = [self.known[flat[i]] for i in missing]
+            new, aside = [distinct[i] for i in missing], self.aside[0]
+            self._move([s for s in new if s in aside])
+            self._learn([s for s in new if s not in aside])
+            at[missing] = [self.known[s] for s in new]
         return at
 
     def _move(self, stretches: list[str]) -> None:
@@ -189,14 +227,12 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has. A null text has none."""
         whole = self.whole(texts)
-        split = [STRETCH.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
+        codes, distinct = stretches([None if i in whole else t for i, t in enumerate(texts)])
         self._turn()
-        flat = list(chain.from_iterable(split))
-        at = self._found(flat)
-        starts, counts = self.ends[at], self.ends[at + 1] - self.ends[at]
-        after = np.cumsum(counts)
+        at = self._found(distinct)
+        starts, counts = np.append(0, self.ends[at])[codes], np.append(0, self.ends[at + 1] - self.ends[at])[codes]
         ids = self.ids[_ranges(starts, counts)]
-        bounds = np.concatenate([[0], after])[np.cumsum([0] + [len(s) for s in split])]
+        bounds = np.cumsum(counts)[codes == 0]
         sizes = np.diff(bounds)
         if whole:
             parts = [np.array(whole[i], dtype=np.uint32) if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]

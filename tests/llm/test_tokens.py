@@ -1,5 +1,6 @@
 """Token ids, counts, packing and files against the tokenizers library."""
 
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from contactloom.llm import packing, token_counts, token_files
-from contactloom.llm.tokens import Encoder, library
+from contactloom.llm.tokens import Encoder, library, stretches
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 TEXTS = [None, "", " ", "Hello there, world.  It's\n\nfine ", "a<|endoftext|> b", "x\x1cy z", "one two " * 3000, "ÀÉ é́ ñ.", "\0 \0", "Hello there, world.  It's\n\nfine "]
@@ -43,6 +44,42 @@ def test_a_full_table_is_set_aside(monkeypatch):
         assert len(e.known) <= 8
 
 
+WIDE = st.text(alphabet=st.sampled_from(list("aZé×÷ÿÀß .,|'#9\n\t\x85\xa0\u1680\u2000\u200a\u200b\u2028\u202f\u205f\u2060\u3000\u3001日😀¢â")), max_size=20)
+
+
+@given(st.lists(st.one_of(st.none(), WIDE), max_size=5))
+@settings(max_examples=500, deadline=None)
+def test_texts_are_cut_where_the_pattern_cuts(texts):
+    pattern = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?#$%&*|]|$)|\s*\S+|\s+")
+    codes, distinct = stretches(texts)
+    parts = np.split(codes, np.flatnonzero(codes == 0))[1:]
+    assert len(set(distinct)) == len(distinct) and len(parts) == len(texts) + 1 and len(parts[-1]) == 1
+    assert [[distinct[k - 1] for k in p[1:].tolist()] for p in parts[:-1]] == [pattern.findall(t or "") for t in texts]
+
+
+class Watched(dict):
+    asked = 0
+
+    def get(self, *key):
+        self.asked += 1
+        return super().get(*key)
+
+    def __iter__(self):
+        raise AssertionError("the whole table is read")
+
+
+@pytest.mark.parametrize("kind", [Encoder, lambda path: token_counts.Counter(path, frozenset())])
+def test_tables_are_asked_once_for_each_stretch_of_a_batch(kind):
+    e = kind(BYTE)
+    read = e.count if isinstance(e, token_counts.Counter) else e.encode
+    read(["aside words"])
+    e.aside = (Watched(e.known), e.ids, e.ends)
+    e._begin()
+    e.known = Watched()
+    read(["one two words. " * 3000, "one two words. " * 3000])
+    assert 0 < e.known.asked <= 10 and "one" in e.known and " words" in e.known
+
+
 def test_proven_strings_are_single_tokens():
     proven = token_counts.proven_strings(BYTE)
     assert len(proven) > 40_000 and " the" in proven
