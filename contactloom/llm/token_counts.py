@@ -18,15 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from contactloom.llm.common import batches, filled_id, python_ready, restored_id
-from contactloom.llm.tokens import Encoder, library, stretches
-
-
-def byte_signs() -> dict[str, int]:
-    """The printable sign that stands for each byte in a byte-level vocabulary: printable
-    Latin-1 signs stand for themselves, the others follow from 256 on in order."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+from contactloom.llm.tokens import Encoder, byte_signs, library, stretches
 
 
 def proven_strings(path: str) -> frozenset[str]:

@@ -15,6 +15,7 @@ import json
 import os
 import re
 from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ PLAIN = re.compile("[ ][A-Za-zÀ-ÖØ-öø-ÿ]+")
 FULL = 600_000
 #: Stands between stretches that are encoded in one call; its last id belongs to no other text.
 MARK = " \0"
-CALL = 4000
+CALL = 500
 
 _KINDS = {LETTER: b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", STOP: b".,;:!?#$%&*|", WHITE: b"\t\n\v\f\r ", BETWEEN: EDGE.encode(), LATIN: b"\xc3", WIDE: b"\xc2\xe1\xe2\xe3"}
 KIND = bytes(next((k for k, own in _KINDS.items() if b in own), OTHER) for b in range(256))
@@ -58,6 +59,18 @@ _LIBRARY: dict[str, object] = {}
 _ENCODER: dict[str, Encoder] = {}
 
 
+def byte_signs() -> dict[str, int]:
+    """The printable sign that stands for each byte in a byte-level vocabulary: printable
+    Latin-1 signs stand for themselves, the others follow from 256 on in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+#: The sign of each byte.
+SIGNS = {b: c for c, b in byte_signs().items()}
+
+
 def disputed(text: str) -> bool:
     return any(c in text for c in DISPUTED)
 
@@ -141,10 +154,31 @@ class Encoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.edge[[i for t, i in vocabulary.items() if (t.endswith(ending) if ending else t.startswith("Ġ"))]] = True
         self.edge_ends = bool(ending)
+        self.merger = self._merger()
         self._begin()
         self.aside = (self.known, self.ids, self.ends)
         self._begin()
 
+    def _merger(self):
+        """The model by itself, where it gives plain stretches that stand one after another the ids of the library: byte
+        signs that are all known, merges alone, none of them over the beginning of a stretch, no added token of letters."""
+        file = json.loads(self.tokenizer.to_str())
+        model = file["model"]
+        plain = file.get("normalizer") is None and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        if not self.stretches or not plain or any(PLAIN.fullmatch(" " + t["content"]) for t in file.get("added_tokens") or []):
+            return None
+        over = re.compile("[A-Za-z]Ġ|(?:^|Ã)[" + "".join(SIGNS[b] for b in range(0x80, 0xC0)) + "]Ġ")
+        whole = all(c in model["vocab"] for c in SIGNS.values()) and not any(map(over.search, model["vocab"]))
+        return self.tokenizer.model if whole else None
+
+    def _plain_ids(self, part: list[str]) -> np.ndarray:
+        """The ids of plain stretches that stand one after another."""
+        if self.merger is None:
+            [e] = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)
+            return np.array(e.ids, dtype=np.uint32)
+        signs = "".join(part).encode().decode("latin-1").translate(SIGNS)
+        return np.fromiter(map(attrgetter("id"), self.merger.tokenize(signs)), dtype=np.uint32)
+
     def _begin(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
@@ -176,8 +210,7 @@ class Encoder:
             self._add(single, np.fromiter(chain.from_iterable(found), dtype=np.uint32), np.array([len(x) for x in found]))
         for i in range(0, len(plain), CALL):
             part = plain[i : i + CALL]
-            [e] = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)
-            ids = np.array(e.ids, dtype=np.uint32)
+            ids = self._plain_ids(part)
             edges = np.flatnonzero(self.edge[ids])
             counts = np.diff(edges, prepend=-1) if self.edge_ends else np.diff(edges, append=len(ids))
             if len(edges) != len(part) or counts.sum() != len(ids):

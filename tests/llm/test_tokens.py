@@ -80,6 +80,27 @@ def test_tables_are_asked_once_for_each_stretch_of_a_batch(kind):
     assert 0 < e.known.asked <= 10 and "one" in e.known and " words" in e.known
 
 
+def test_the_model_alone_merges_plain_stretches(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZÀÉÖØßàéöøÿ") + ["th", "ing", "er", "ción", "tion"] * 5
+    words = [" " + "".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(3000)]
+    e = Encoder(BYTE)
+    assert e.merger is not None and Encoder(WORD).merger is None
+    e.encode(words)
+    assert [e.ids[e.ends[k] : e.ends[k + 1]].tolist() for k in map(e.known.get, words)] == [ids(BYTE, w) for w in words]
+    file = json.loads(open(BYTE).read())
+    for key, value in (("added_tokens", [file["added_tokens"][0] | {"content": "tion"}]), ("model", file["model"] | {"ignore_merges": True}), ("model", file["model"] | {"vocab": file["model"]["vocab"] | {"eĠt": 60_000}})):
+        path = str(tmp_path / "other.json")
+        open(path, "w").write(json.dumps(file | {key: value}))
+        other = Encoder.__new__(Encoder)
+        other.tokenizer, other.stretches = Tokenizer.from_file(path), True
+        assert other._merger() is None
+
+
 def test_proven_strings_are_single_tokens():
     proven = token_counts.proven_strings(BYTE)
     assert len(proven) > 40_000 and " the" in proven
