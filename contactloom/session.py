@@ -23,15 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the written table.
+def stored(df: DataFrame, tag: str, options: dict | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, with the writer's ``options``, and return the written table.
 
     This cuts the lineage: a lost executor costs the tasks that read its shuffle files,
     never the work before this table. The folder goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -208,3 +208,31 @@ def test_every_labelled_row_is_learned_from(corpus):
     assert sum(p == (r.doc_id % 5 == 0) for p, r in zip(predicted, rows, strict=True)) >= 0.95 * len(rows)
     few = toxicity._shards(docs, labels.where("doc_id < 900").selectExpr("doc_id", "toxic").groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic"), 900, toxicity.Settings(characters=3000)).collect()
     assert len(few) > 20 and sum(len(r.labels) for r in few) == 900
+
+
+def test_shards_are_stored_and_handed_on_in_small_rows(spark):
+    """The JVM's buffers are as large as its largest row; a shard still reaches one task, whole and in order."""
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, "en", 1500)), "en" if i % 3 else None) for i in range(400)] + [(400, "the ing " * 60_000, "de"), (401, None, "de")], "doc_id long, text string, lang string").repartition(3)
+    marked = docs.selectExpr("doc_id", "cast(doc_id % 4 = 0 as int) toxic")
+    shards = toxicity._shards(docs, marked, 402, toxicity.Settings(characters=1_000_000))
+    rows = shards.collect()
+    assert max(len(r.numbers) for r in rows if len(r.labels) > 1) < 1 << 20
+    assert sum(len(r.labels) for r in rows) == 402
+
+    def seen(own):
+        yield [(s.number, [t.shape[1] for t in s.texts], s.labels.tolist(), s.langs, np.random.default_rng(1).bytes(2 << 20)) for s in own]
+
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    found = []
+    for size in (before, "10k"):
+        spark.conf.set(key, size)
+        try:
+            found.append(sorted(x for part in toxicity._passed(shards, seen) for x in part))
+        finally:
+            spark.conf.set(key, before)
+    assert found[0] == found[1] and len({x[0] for x in found[0]}) == len(found[0]) > 2
+    assert all(len(x[1]) == len(x[2]) == len(x[3]) for x in found[0]) and sum(len(x[1]) for x in found[0]) == 402
+    sizes = {r.doc_id: len(r.text.split()) if r.text else 0 for r in docs.collect()}
+    assert sorted(n for x in found[0] for n in x[1]) == sorted(sizes.values())
