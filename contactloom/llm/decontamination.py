@@ -78,6 +78,8 @@ class Settings:
     items_in_block: int = 20_000
     #: Occurrences of items' word pairs that are looked at together.
     pairs_at_once: int = 2_000_000
+    #: Steps of walks that are held together.
+    embedded_at_once: int = 500_000
     seed: int = 5
 
     def edits(self, words: int) -> int:
@@ -94,33 +96,43 @@ class Settings:
         return int(np.ceil(n / self.walks))
 
 
-def walk(windows: np.ndarray, seed: int) -> np.ndarray:
-    """The CGK embedding of word hashes, one sequence a row, 0 behind its end. The walk advances by
-    half a word a step in the mean; its first two steps for each word are those that keys sample from."""
-    n, size = windows.shape
-    odd = np.random.default_rng(seed).integers(1, 1 << 63, 2 * size, dtype=np.uint64) | np.uint64(1)
-    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
-    at, rows, out = np.zeros(n, dtype=np.int64), np.arange(n), np.empty((n, 2 * size), dtype=np.uint64)
-    for step in range(2 * size):
-        word = padded[rows, at]
-        out[:, step] = word
-        at = np.minimum(at + (((word + np.uint64(step)) * odd[step]) >> np.uint64(63)).astype(np.int64), size)
-    return out
+def step_numbers(settings: Settings, size: int) -> np.ndarray:
+    """One odd number for each walk and step. Those of a smaller size are the first ones of a larger size."""
+    draw = lambda w: np.random.default_rng(settings.seed * 1000 + w).integers(1, 1 << 63, 2 * size, dtype=np.uint64)
+    return np.stack([draw(w) for w in range(settings.walks)]) | np.uint64(1)
 
 
-def sample_keys(windows: np.ndarray, settings: Settings) -> list[np.ndarray]:
-    """One array of keys for each (walk, sample)."""
-    size, out = windows.shape[1], []
+def sample_places(settings: Settings, size: int) -> np.ndarray:
+    """For each (walk, sample) a row of the positions that make its key, as rows of :func:`walks`."""
+    out = []
     for w in range(settings.walks):
-        path = walk(windows, settings.seed * 1000 + w)
         rng = np.random.default_rng([settings.seed, w, size])
-        for _ in range(settings.keys()):
-            key = np.full(len(windows), 0x243F6A8885A308D3, dtype=np.uint64)
-            for p in np.sort(rng.choice(2 * size, settings.sampled, replace=False)):
-                key = (key ^ path[:, p]) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(31)
-            out.append(key)
-    return out
+        out += [np.sort(rng.choice(2 * size, settings.sampled, replace=False)) * settings.walks + w for _ in range(settings.keys())]
+    return np.stack(out).astype(np.int32)
+
+
+def walks(windows: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """The CGK embeddings of word hashes, one sequence a row: its words, then as many zeros. Row ``step * walks + walk``
+    of the result holds a column for each sequence. A walk advances by half a word a step in the mean; its first two
+    steps for each word are those that keys sample from."""
+    n, width = windows.shape
+    at = np.repeat(np.arange(n)[None] * width, len(odd), axis=0)
+    flat, out = np.ascontiguousarray(windows).ravel(), np.empty((width, *at.shape), dtype=np.uint64)
+    for step in range(width):
+        word = np.take(flat, at, out=out[step], mode="clip")
+        at += (((word + np.uint64(step)) * odd[:, step, None]) >> np.uint64(63)).view(np.int64)
+    return out.reshape(width * len(odd), n)
+
+
+def sample_keys(windows: np.ndarray, odd: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A row of keys for each (walk, sample) of sequences as :func:`walks` takes them; no two samples have keys in common."""
+    path = walks(windows, odd[:, : windows.shape[1]])
+    key = np.uint64(0x243F6A8885A308D3) + np.arange(len(places), dtype=np.uint64)[:, None] * np.uint64(0xC2B2AE3D27D4EB4F)
+    for rows in places.T:
+        key = key ^ path[rows]
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    return key
 
 
 def edit_distance(item: list[int], text: list[int], limit: int) -> tuple[int, int]:
@@ -182,14 +194,23 @@ class Items:
                 by_size[int(b - a)].setdefault(words[a:b].tobytes(), (words[a:b], []))[1].append(i)
         self.sizes = sorted(by_size)
         self.items: dict[int, list[tuple[np.ndarray, list[int]]]] = {s: list(by_size[s].values()) for s in self.sizes}
-        self.keys: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.odd = step_numbers(settings, self.sizes[-1] if self.sizes else 1)
+        self.places = {s: sample_places(settings, s) for s in self.sizes}
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.holders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         masks: dict[int, int] = defaultdict(int)
         for place, s in enumerate(self.sizes):
-            self.keys[s] = []
-            for keys in sample_keys(np.stack([w for w, _ in self.items[s]]), settings):
-                order = np.argsort(keys, kind="stable")
-                self.keys[s].append((keys[order], order))
+            keys, holder = [], []
+            for a in range(0, len(self.items[s]), self._at_once(s)):
+                windows = np.stack([np.pad(w, (0, s)) for w, _ in self.items[s][a : a + self._at_once(s)]])
+                keys.append(sample_keys(windows, self.odd, self.places[s]).ravel())
+                holder.append(np.tile(np.arange(a, a + len(windows)), len(self.places[s])))
+            keys, holder = np.concatenate(keys), np.concatenate(holder)
+            order = np.argsort(keys, kind="stable")
+            bits = (8 * len(keys)).bit_length()
+            slots = np.zeros(1 << bits, dtype=bool)
+            slots[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.keys[s] = keys[order], holder[order], slots
             own = [np.unique(pair_hashes(w)) for w, _ in self.items[s]]
             for h in np.unique(np.concatenate(own)).tolist():
                 masks[h] |= 1 << place % 64
@@ -223,29 +244,26 @@ class Items:
         mask = np.zeros(len(words) + 1, dtype=np.uint64)
         mask[spots[true]] = self.masks[at[true]]
         mask[bounds[1:-1][bounds[1:-1] > 0] - 1] = 0  # pairs over the end of a text
-        run = np.zeros(len(words) + 1 + self.sizes[-1], dtype=np.int32)
-        np.cumsum(mask[:-1] != 0, out=run[1 : len(words) + 1])
-        run[len(words) + 1 :] = run[len(words)]
-        n = len(words)
+        held = np.flatnonzero(mask)
+        of_size = mask[held]
         padded = np.concatenate([words, np.zeros(self.sizes[-1], np.uint64)])
         for place, size in enumerate(self.sizes):
             edits, least = self.settings.edits(size), self.settings.pairs(size)
-            starts = np.flatnonzero(run[size - 1 : n + size - 1] - run[:n] >= least)
+            spots = held[(of_size & np.uint64(1 << place % 64)) != 0]
+            starts = _starts(spots, size, least)
             if not len(starts):
                 continue
             text = np.searchsorted(bounds, starts, side="right") - 1
             end = bounds[text + 1]
             # a window may run over its text's end by as much as an item may have lost
-            own = np.concatenate([[0], np.cumsum(((mask >> np.uint64(place % 64)) & np.uint64(1)).astype(np.int32))])
-            use = (own[np.minimum(starts + size - 1, end)] - own[starts] >= least) & (starts + size - edits <= end)
+            enough = np.searchsorted(spots, np.minimum(starts + size - 1, end)) - np.searchsorted(spots, starts) >= least
+            use = enough & (starts + size - edits <= end)
             starts = starts[use]
             if not len(starts):
                 continue
             candidates = self._candidates(padded, starts, end[use], text[use], size)
-            steps = np.zeros(n + 1, dtype=np.int32)
-            steps[starts] += 1
-            steps[np.minimum(starts + size - 1, n)] -= 1
-            spots = np.flatnonzero((np.cumsum(steps)[:-1] > 0) & (mask[:n] != 0))
+            before = np.searchsorted(starts, spots, side="right") - 1
+            spots = spots[(before >= 0) & (spots - starts[before] <= size - 2)]
             self._sharing(hashes, spots, bounds, size, 0, len(self.items[size]), candidates)
             for (t, k), at in candidates.items():
                 item, ids = self.items[size][k]
@@ -264,16 +282,27 @@ class Items:
     def _candidates(self, padded: np.ndarray, starts: np.ndarray, end: np.ndarray, text: np.ndarray, size: int) -> dict[tuple[int, int], set[int]]:
         """(text, item of this size) that share a key, with the starts of the windows."""
         out: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for a in range(0, len(starts), 8192):
-            at = starts[a : a + 8192, None] + np.arange(size)
-            windows = np.where(at < end[a : a + 8192, None], padded[at], np.uint64(0))
-            for (known, order), keys in zip(self.keys[size], sample_keys(windows, self.settings), strict=True):
-                low, high = np.searchsorted(known, keys, side="left"), np.searchsorted(known, keys, side="right")
-                for row in np.flatnonzero(high > low).tolist():
-                    for k in order[low[row] : high[row]].tolist():
-                        out[int(text[a + row]), k].add(int(starts[a + row]))
+        known, holder, slots = self.keys[size]
+        shift = np.uint64(65 - len(slots).bit_length())
+        for a in range(0, len(starts), self._at_once(size)):
+            own = starts[a : a + self._at_once(size)]
+            at = own[:, None] + np.arange(size)
+            windows = np.zeros((len(own), 2 * size), dtype=np.uint64)
+            windows[:, :size] = np.where(at < end[a : a + len(own), None], padded[at], np.uint64(0))
+            keys = sample_keys(windows, self.odd, self.places[size]).ravel()
+            maybe = np.flatnonzero(slots[(keys >> shift).view(np.int64)])
+            low, high = np.searchsorted(known, keys[maybe], side="left"), np.searchsorted(known, keys[maybe], side="right")
+            times = high - low
+            item = holder[np.arange(times.sum()) + np.repeat(low - np.cumsum(times) + times, times)]
+            pairs = np.unique(item * len(own) + np.repeat(maybe % len(own), times))
+            for k, row in zip((pairs // len(own)).tolist(), (pairs % len(own)).tolist(), strict=True):
+                out[int(text[a + row]), k].add(int(own[row]))
         return out
 
+    def _at_once(self, size: int) -> int:
+        """Sequences that are embedded together."""
+        return max(1, self.settings.embedded_at_once // (2 * size * self.settings.walks))
+
     def _sharing(self, hashes: np.ndarray, spots: np.ndarray, bounds: np.ndarray, size: int, a: int, b: int, out: dict[tuple[int, int], set[int]]) -> None:
         """Add to ``out`` the windows that hold enough pairs of one of the items ``a`` to ``b`` of this size, by their first and last start."""
         least, (pairs, holder) = self.settings.pairs(size), self.holders[size]
@@ -299,6 +328,15 @@ class Items:
             out[t, int(k[e])] |= {max(int(bounds[t]), int(at[e + least - 1]) - size + 2), int(at[e])}
 
 
+def _starts(spots: np.ndarray, size: int, least: int) -> np.ndarray:
+    """The starts of the windows of ``size`` words in which ``least`` of these word pairs lie, in ascending order."""
+    near = np.flatnonzero(spots[least - 1 :] - spots[: max(0, len(spots) - least + 1)] <= size - 2)
+    first, last = np.maximum(spots[near + least - 1] - size + 2, 0), spots[near]
+    first[1:] = np.maximum(first[1:], last[:-1] + 1)
+    times = last - first + 1
+    return np.arange(times.sum()) + np.repeat(first - np.cumsum(times) + times, times)
+
+
 def _regions(at: list[int], reach: int) -> Iterator[tuple[int, int]]:
     """Ranges of starts whose windows overlap."""
     first = last = at[0]
