@@ -113,27 +113,55 @@ def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length
     """64-bit hashes of the first ``n`` bytes of each word (None: all bytes), one array for each length.
 
     A word's byte ``j`` is multiplied by a fixed number of ``j``, so one running sum serves
-    every prefix length.
+    every prefix length. Where only whole words are asked for, those of up to ``SHORT`` bytes are
+    summed byte by byte instead, the n-th bytes of all words at once, which needs no array as long as the text.
     """
-    sizes = ends - starts
-    total = int(sizes.sum())
+    lengths, sizes = list(lengths), ends - starts
+    if lengths == [None]:
+        sums = np.empty(len(sizes), dtype=np.uint64)
+        long = np.flatnonzero(sizes > SHORT)
+        if len(long):
+            sums[long] = np.diff(_running(data, starts[long], sizes[long])[np.concatenate([[0], np.cumsum(sizes[long])])])
+        by_size = np.argsort(np.minimum(sizes, SHORT + 1).astype(np.uint8), kind="stable")[: len(sizes) - len(long)]
+        upto = np.searchsorted(sizes[by_size], np.arange(SHORT + 1), side="right")
+        at, short = starts[by_size], np.zeros(len(by_size), dtype=np.uint64)
+        for j, a in enumerate(upto[:-1].tolist()):
+            if a == len(at):
+                break
+            short[a:] += (data[at[a:] + j].astype(np.uint64) + np.uint64(1)) * MULTIPLIERS[j]
+        sums[by_size] = short
+        return [_mixed(sums, sizes, 0)]
     first = np.concatenate([[0], np.cumsum(sizes)])
-    inner = np.arange(total, dtype=np.int64) - np.repeat(first[:-1], sizes)
-    letters = data[inner + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)
-    running = np.zeros(total + 1, dtype=np.uint64)
-    place = MULTIPLIERS[inner & 63] + (inner >> 6).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4E)
-    np.cumsum(letters * place, out=running[1:])
+    running = _running(data, starts, sizes)
     out = []
     for n in lengths:
         taken = sizes if n is None else np.minimum(sizes, n)
-        h = running[first[:-1] + taken] - running[first[:-1]]
-        h ^= (taken.astype(np.uint64) + np.uint64(0 if n is None else 977 * n)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append(h ^ (h >> np.uint64(32)))
+        out.append(_mixed(running[first[:-1] + taken] - running[first[:-1]], taken, 0 if n is None else 977 * n))
     return out
 
 
+#: Bytes of a word that are summed one by one; fewer than there are multipliers.
+SHORT = 24
+
+
+def _running(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of the words' bytes times their multipliers before each byte, and before the end."""
+    total = int(sizes.sum())
+    inner = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    letters = data[inner + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)
+    running = np.zeros(total + 1, dtype=np.uint64)
+    place = MULTIPLIERS[inner & 63] + (inner >> 6).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4E)
+    np.cumsum(letters * place, out=running[1:])
+    return running
+
+
+def _mixed(sums: np.ndarray, taken: np.ndarray, salt: int) -> np.ndarray:
+    h = sums ^ (taken.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on after their task, beside those of other stages."""
     pa.default_memory_pool().release_unused()

@@ -14,7 +14,9 @@ candidate is then verified by exact edit distance, so the result is that of the
 
 Embedding every window would be waste: an edit spoils at most two neighbouring word pairs
 of an item, so a window that doesn't hold enough of the pairs of items of its size can't
-be within the limit. Neither pair test loses anything. All of it runs where the document lies;
+be within the limit. Neither pair test loses anything. Nor is a window embedded that begins with none of the
+first ``edits + 1`` words of an item: a closest stretch may begin with a word it shares with the item, as leaving
+out those before it costs no more. And a candidate that lacks more of the item's words than the limit isn't verified. All of it runs where the document lies;
 nothing is shuffled but found (document, item) pairs. Items are taken in blocks of a
 fixed size, so what is broadcast is bounded whatever the benchmark's size; where there are several, one pass
 with a table of fixed size over all items' pairs leaves the texts that the blocks then search.
@@ -53,17 +55,39 @@ def kinds() -> np.ndarray:
 
 
 def word_spans(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The characters of many texts, lower-cased, the starts and ends of the words in them, and for text ``i``
+    """The UTF-8 bytes of many texts, lower-cased, the starts and ends of the words in them, and for text ``i``
     the word range ``bounds[i]:bounds[i + 1]``."""
-    parts = ["" if t is None else t.lower() for t in texts]
-    data = np.frombuffer(f" {' '.join(parts)} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kind = kinds()[data]
-    edges = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
-    starts, ends = np.flatnonzero(edges & (kind[1:] > 0)) + 1, np.flatnonzero(edges & (kind[:-1] > 0)) + 1
+    parts = [b"" if t is None else t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8)
+    kind = np.where(np.arange(256) < 128, kinds()[:256], 0).astype(np.uint8)[data]
+    single = _mark_wide(data, kind)
+    if single:
+        # a character that is a word by itself is marked 3 at its first byte and 2 at the others
+        edges = (kind[1:] != kind[:-1]) & ((kind[1:] != 2) | (kind[:-1] != 3)) | (kind[1:] == 3)
+        starts, ends = np.flatnonzero(edges & (kind[1:] > 0)) + 1, np.flatnonzero(edges & (kind[:-1] > 0)) + 1
+    else:
+        edges = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        starts, ends = edges[::2], edges[1::2]
     text_at = np.concatenate([[1], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64) + 1])
     return data, starts, ends, np.searchsorted(starts, text_at)
 
 
+def _mark_wide(data: np.ndarray, kind: np.ndarray) -> bool:
+    """Set the kinds of the bytes of all characters above ASCII; whether some are words by themselves."""
+    lead = np.flatnonzero(data >= 0xC0)
+    first = data[lead].astype(np.int32)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = first & (0x3F >> size - 1)
+    rest = [(more, lead[more] + j) for j in (1, 2, 3) if len(more := np.flatnonzero(size > j))]
+    for more, at in rest:
+        code[more] = code[more] << 6 | data[at] & 0x3F
+    own = kinds()[code]
+    for more, at in rest:
+        kind[at] = own[more]
+    kind[lead] = own + (own == 2)
+    return bool((own == 2).any())
+
+
 @dataclass(frozen=True)
 class Settings:
     """``hamming``: the part of the walk's positions in which sequences may differ and still share a key
@@ -198,6 +222,7 @@ class Items:
         self.places = {s: sample_places(settings, s) for s in self.sizes}
         self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.holders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.heads = {s: np.unique(np.concatenate([w[: settings.edits(s) + 1] for w, _ in self.items[s]])) for s in self.sizes}
         masks: dict[int, int] = defaultdict(int)
         for place, s in enumerate(self.sizes):
             keys, holder = [], []
@@ -261,16 +286,23 @@ class Items:
             starts = starts[use]
             if not len(starts):
                 continue
-            candidates = self._candidates(padded, starts, end[use], text[use], size)
+            head = self.heads[size]
+            begin = np.flatnonzero(head[np.minimum(np.searchsorted(head, words[starts]), len(head) - 1)] == words[starts])
+            candidates = self._candidates(padded, starts[begin], end[use][begin], text[use][begin], size)
             before = np.searchsorted(starts, spots, side="right") - 1
             spots = spots[(before >= 0) & (spots - starts[before] <= size - 2)]
             self._sharing(hashes, spots, bounds, size, 0, len(self.items[size]), candidates)
             for (t, k), at in candidates.items():
                 item, ids = self.items[size][k]
+                item = item.tolist()
                 best, where = edits + 1, 0
                 for first, last in _regions(sorted(at), size + 2 * edits):
                     low, high = max(int(bounds[t]), first - edits), min(int(bounds[t + 1]), last + size + 2 * edits)
-                    d, e = edit_distance(item.tolist(), words[low:high].tolist(), edits)
+                    stretch = words[low:high].tolist()
+                    # each word of the item that the stretch lacks is an edit
+                    if sum(map(set(stretch).__contains__, item)) < size - edits:
+                        continue
+                    d, e = edit_distance(item, stretch, edits)
                     if d < best:
                         best, where = d, low + e - int(bounds[t])
                 if best <= edits:

@@ -336,6 +336,49 @@ def test_items_of_any_script_are_found():
     assert found == {(0, 0), (1, 1), (1, 6), (2, 2), (2, 6), (3, 3), (4, 4), (6, 6), (7, 0), (9, 6), (10, 4)}
 
 
+def test_only_what_may_be_in_reach_is_embedded_and_verified(monkeypatch):
+    rng = random.Random(16)
+    first, item = (sentence(rng, 40)[:-1].split() for _ in range(2))
+    # each of these but the last holds enough pairs of the item, and lacks more of its words than the limit
+    item = [f"{w}{i}" for i, w in enumerate(item)]
+    texts = [" ".join(["before"] * 30 + item[p : p + 27] + ["after"] * 30) for p in range(14)] + [" ".join(["before", *item, "after"])]
+    held = decontamination.Items([0, 1], [" ".join(first), " ".join(item)], decontamination.Settings())
+    verified, embedded = [], []
+    distance, walks = decontamination.edit_distance, decontamination.walks
+    monkeypatch.setattr(decontamination, "edit_distance", lambda *a: verified.append(a) or distance(*a))
+    monkeypatch.setattr(decontamination, "walks", lambda windows, odd: embedded.extend(windows[:, 0].tolist()) or walks(windows, odd))
+    data, starts, ends, bounds = decontamination.word_spans(texts)
+    [words] = decontamination.prefix_hashes(data, starts, ends, [None])
+    assert held.search(words, bounds) == [(14, 1, 0, 41)]
+    assert len(verified) == 1
+    data, starts, ends, _ = decontamination.word_spans([" ".join(first[:7] + item[:7])])
+    assert embedded and set(embedded) <= set(decontamination.prefix_hashes(data, starts, ends, [None])[0].tolist())
+
+
+def test_words_and_hashes_equal_a_plain_reading():
+    rng = random.Random(17)
+    alphabet = "abcXYZ019 _-.,\n\0\u00a0\u00adéßİΣ\u0301\u2019\ud800नमस्तेกาខ天地ー々ﾊ𠀀𝒜😀\U0010ffff"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [None, "", "天", "a" * 24, "é" * 12 + "b", "x" * 200, "𠀀" * 40]
+    kind = decontamination.kinds()
+    for own in (texts, [t for t in texts if t and t.isascii()], [None, ""]):
+        data, starts, ends, bounds = decontamination.word_spans(own)
+        got = [[data[a:b].tobytes() for a, b in zip(starts[p:q], ends[p:q], strict=True)] for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
+        want = []
+        for t in own:
+            words, last = [], 0
+            for c in (t or "").lower():
+                k = kind[ord(c)]
+                if k == 1 and last == 1:
+                    words[-1] += c
+                elif k:
+                    words.append(c)
+                last = k
+            want.append([w.encode("utf-8", "surrogatepass") for w in words])
+        assert got == want
+        whole, both = decontamination.prefix_hashes(data, starts, ends, [None]), decontamination.prefix_hashes(data, starts, ends, [3, None])
+        assert whole[0].tolist() == both[1].tolist()
+
+
 # --- extraction
 
 
